@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, nbsvm, rules, simhash
+from . import bpe, exact, nbsvm, packing, rules, simhash
 from .base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """Where the public vocabulary files are; the same place on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op3_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +31,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,7 +53,7 @@ FROM norm
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_naive_bayes_svm, op5_simhash_groups, op6_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_naive_bayes_svm, op5_simhash_groups, op6_exact_dedup, op7_byte_bpe, op9_sum_of_squares_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
