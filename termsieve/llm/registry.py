@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, nbsvm, packing, rules, simhash, suffix, warc
+from . import bpe, chat, exact, lm, nbsvm, packing, rules, simhash, suffix, warc
 from .base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op3_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_groups(table(spark, sf_dir, "documents"))
 
@@ -96,7 +100,7 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op2_suffix_dedup, op3_naive_bayes_svm, op5_simhash_groups, op6_exact_dedup, op7_byte_bpe, op8_chat_formatting, op9_sum_of_squares_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op2_suffix_dedup, op3_naive_bayes_svm, op4_deleted_interpolation, op5_simhash_groups, op6_exact_dedup, op7_byte_bpe, op8_chat_formatting, op9_sum_of_squares_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
