@@ -55,9 +55,25 @@ def tree_merge(rows: DataFrame, runs: int, keep_largest: bool = True) -> DataFra
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_largest: bool = True) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialise(digests(docs, id_col, text_col))
-    runs = max(1, rows.rdd.getNumPartitions())
-    winners = tree_merge(rows, runs, keep_largest)
+    winners = tree_merge(rows, max(1, rows.rdd.getNumPartitions()), keep_largest)
     joined = rows.drop("run").join(winners, ["digest", "n_bytes", "check"])
     return joined.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that stay: one of each group of equal texts.
+
+    Rows are fetched by id and checksum, not by digest, so the texts of a large group never meet.
+    """
+    stay = winners_of(docs).select(F.col("keep_id").alias("__keep"), F.col("check").alias("__check"))
+    norm = F.xxhash64(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    one = docs.withColumn("__norm", norm)
+    kept = one.join(stay, one["doc_id"].cast("long").eqNullSafe(stay["__keep"]) & (one["__norm"] == stay["__check"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__norm"]).drop("__norm")
+
+
+def winners_of(docs: DataFrame) -> DataFrame:
+    rows = materialise(digests(docs))
+    return tree_merge(rows, max(1, rows.rdd.getNumPartitions()))

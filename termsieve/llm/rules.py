@@ -58,6 +58,10 @@ def count_rules(c: Chunk, h: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def base_failed(n: dict[str, np.ndarray]) -> np.ndarray:
+    return (n["n_words"] < 10) | (100 * n["n_repeat_words"] > 20 * n["n_words"])
+
+
 def grams(c: Chunk, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bin, document, weight of one occurrence) of each block of features."""
     g2, at = c.word_grams(h, 2)
@@ -120,9 +124,26 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, t
                 h = c.words()
                 n = count_rules(c, h)
                 p = score(c, h, model.value)
-                failed = (n["n_words"] < 10) | (100 * n["n_repeat_words"] > 20 * n["n_words"])
+                failed = base_failed(n)
                 cols = [batch.column("doc_id")[i:j]] + [pa.array(n[k].astype(np.int64)) for k in COUNTS]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))], ["doc_id", *COUNTS, "base_failed", "quality_score", "kept"])
 
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, quality_score double, kept boolean"
     return text_rows(docs).mapInArrow(run, schema)
+
+
+def passing(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that the rules and the model keep. Nothing is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for _, _, data, off in chunks(batch.column("text")):
+                c = Chunk(data, off)
+                h = c.words()
+                n = count_rules(c, h)
+                keep.append(~base_failed(n) & (score(c, h, model.value) >= threshold))
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

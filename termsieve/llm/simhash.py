@@ -74,6 +74,10 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
     return text_rows(docs).mapInArrow(run, "doc_id long, fp binary")
 
 
+def _pack_rows(columns, kinds, names):
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
 def lookups(classes: DataFrame, segments: int, balls: list[int]) -> DataFrame:
     """(seg, key, fp, home): table entries (home) and the looked-up keys of each class.
 
@@ -137,3 +141,94 @@ def link_groups(docs: DataFrame) -> DataFrame:
     comp = components(edges.select("a", "b"))
     named = classes.join(comp, classes["low"] == comp["node"], "left").select("fp", F.coalesce("root", "low").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+# --- near-duplicate groups by word shingles ----------------------------------------------------
+
+#: Fingerprints of 256 bits over word pairs, cut into 10 segments of 24 bits with balls of radius 1.
+#: At a similarity of 0.8 on five-word shingles 9 to 10 % of the bits differ: one pair in fifty is
+#: missed at exactly 0.8, one in 150 at 0.85; candidates per row grow with rows / 2**24.
+NEAR_WORDS, NEAR_LANES, NEAR_SEGMENTS, NEAR_SIZE, NEAR_BITS = 2, 4, 10, 24, 44
+
+
+def segment_keys(fps: DataFrame) -> DataFrame:
+    """(key, id, home) of (id, fp): each segment's own value, and the ball of radius 1 of even ones."""
+    weight = np.int64(1) << np.arange(NEAR_SIZE - 1, -1, -1, dtype=np.int64)
+    kinds, names = (pa.int64(), pa.int64(), pa.bool_()), ["key", "id", "home"]
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                some = batch.slice(lo, 2000)
+                ids = np.asarray(some.column("id"))
+                bits = np.unpackbits(np.frombuffer(b"".join(some.column("fp").to_pylist()), dtype=np.uint8).reshape(len(ids), -1), axis=1)
+                for t in range(NEAR_SEGMENTS):
+                    part = bits[:, t * NEAR_SIZE : (t + 1) * NEAR_SIZE].astype(np.int64)
+                    value = part @ weight + (np.int64(t) << NEAR_SIZE)
+                    even = np.flatnonzero(part.sum(axis=1) % 2 == 0)
+                    yield _pack_rows((value, ids, np.ones(len(ids), bool)), kinds, names)
+                    if len(even):
+                        yield _pack_rows(((value[even, None] ^ weight).ravel(), np.repeat(ids[even], NEAR_SIZE), np.zeros(len(even) * NEAR_SIZE, bool)), kinds, names)
+
+    return fps.select("id", "fp").mapInArrow(run, "key long, id long, home boolean")
+
+
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """(id, shingles): the sorted distinct hashes of each text's shingles."""
+
+    def run(batches):
+        for batch in batches:
+            data, off = buffers(batch.column("text"))
+            raw = data.tobytes()
+            sets = [np.unique(shingle_hashes(raw[i:j], words)).view(np.int64) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return rows.mapInArrow(run, "id long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, fps: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of candidate pairs (a, b) those whose complete distance and then shingle similarity hold."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fa, fb = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
+    near = pairs.join(fa, "a").join(fb, "b").where(distance(F.col("fa"), F.col("fb"), NEAR_LANES) <= NEAR_BITS)
+    near = materialise(near.select("a", "b"))
+    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    sets = materialise(shingle_sets(rows.join(ids, "id", "left_semi"), words))
+    sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    both = near.join(sa, "a").join(sb, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    return materialise(both.where(F.col("n") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("n"))).where("n > 0").select("a", "b"))
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, group_id) of rows that have a near copy: group_id is the group's smallest doc_id.
+
+    Two rows are linked if the Jaccard similarity of their sets of `words`-word shingles reaches
+    `similarity`; groups are connected components. Rows of null id are left out; rows of one id count
+    as one (that of the smallest fingerprint); a text without words is linked to nothing.
+
+    In a segment table most keys hold one or two classes, which are compared. For larger ones each
+    class is first compared with the smallest and the largest id of the key only; what that
+    links makes components. Then the classes outside the key's most frequent component are compared
+    with all others of the key: pairs inside one component add nothing, so no link between groups
+    is lost and a family of n copies costs n comparisons, not n * n.
+    """
+    rows = text_rows(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
+    fps = materialise(fingerprints(rows.withColumnRenamed("id", "doc_id"), NEAR_WORDS, NEAR_LANES).groupBy("doc_id").agg(F.min("fp").alias("fp")).withColumnRenamed("doc_id", "id"))
+    same = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    copies = fps.join(same, "fp").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    keys = segment_keys(same.select(F.col("low").alias("id"), "fp"))
+    tables = keys.where("home").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    met = materialise(keys.join(tables, "key").where("id <> lo OR id <> hi"))
+    ends = met.select(F.col("id").alias("a"), F.col("lo").alias("b")).unionByName(met.select(F.col("id").alias("a"), F.col("hi").alias("b")))
+    links = _verified(ends.unionByName(copies), fps, rows, words, similarity)
+
+    comp = components(links)
+    many = met.where("n > 2").select("key", "id", "home")
+    many = many.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    often = many.where("home").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    many = materialise(many.join(often, "key"))
+    x = many.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), (F.col("root") != F.col("main")).alias("oa"))
+    y = many.where("home").select("key", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") != F.col("main")).alias("ob"))
+    rest = x.where("oa").join(y, "key").where("ra <> rb").select("a", "b").unionByName(x.where("NOT oa").join(y.where("ob"), "key").where("ra <> rb").select("a", "b"))
+    more = _verified(rest, fps, rows, words, similarity)
+    return components(links.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
