@@ -13,6 +13,8 @@ table gives no pieces; a text of any length is cut to whole windows and a rest.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .base import text_rows
+from .kept import LETTERS, Kept
 from .nptext import buffers
 
 WINDOW = 4096
 END_ID = 2
-#: Strings between white space whose ids a worker keeps before the table is emptied.
-KEPT = 300_000
+#: Pieces whose ids a worker keeps.
+KEPT = 600_000
 
 
 class Packer:
@@ -91,36 +94,51 @@ class Packer:
 class WordIds:
     """Ids of texts by the tokenizers library.
 
-    This vocabulary drops white space, so a text's ids are those of its white-space separated
-    strings one after the other; each distinct string is encoded once and kept.
+    This vocabulary drops white space, lower-cases, and cuts between letters and punctuation, so a
+    text's ids are those of its pieces one after the other; each distinct piece is encoded once and
+    kept. ASCII letters are lower-cased first, which the vocabulary would do anyway, but where a
+    text may hold the (lower-case) string of a special token.
     """
 
-    def __init__(self, path: str):
-        import os
+    PIECE = re.compile(LETTERS + rb"|[^\s]+")
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.kept: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.kept = Kept(self.learn, KEPT)
+
+    def learn(self, new: list[bytes]) -> list[bytes]:
+        """The ids of each piece. Words of ASCII letters are encoded many at a time: each is one
+        pretoken, and its last token is one that ends a word."""
+        out: dict[bytes, bytes] = {}
+        plain = [p for p in new if p.isalpha()]
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) == len(some):
+                raw = ids.tobytes()
+                out.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)]))
+        rest = [p for p in new if p not in out]
+        for i in range(0, len(rest), 4096):
+            got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest[i : i + 4096]], add_special_tokens=False)
+            out.update(zip(rest[i : i + 4096], [np.array(e.ids, dtype="<u4").tobytes() for e in got]))
+        return [out[p] for p in new]
 
     def encode(self, raws: list[bytes]) -> Iterator[np.ndarray]:
+        find = self.PIECE.findall
         for lo in range(0, len(raws), 64):
-            some = [r.split() for r in raws[lo : lo + 64]]
-            kept = self.kept
-            need = {w for s in some for w in s if w not in kept}
-            if len(kept) + len(need) > KEPT:
-                kept.clear()
-                need = {w for s in some for w in s}
-            new = sorted(need)
-            for i in range(0, len(new), 4096):
-                got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new[i : i + 4096]], add_special_tokens=False)
-                for w, e in zip(new[i : i + 4096], got):
-                    kept[w] = np.array(e.ids, dtype="<u4").tobytes()
+            some = [find(r if b"<|" in r else r.lower()) for r in raws[lo : lo + 64]]
+            kept = self.kept.of(set().union(*some))
             for s in some:
-                yield np.frombuffer(b"".join([kept[w] for w in s]), dtype="<u4")
+                yield np.frombuffer(b"".join(map(kept.__getitem__, s)), dtype="<u4")
 
 
 _ids: dict[str, WordIds] = {}
