@@ -16,9 +16,11 @@ strings, and only anchors are shuffled, one per about half a window of text.
    verified byte by byte; where a hash collided the batch is sorted by bytes. In these orders the
    classes that agree on o bytes before the anchor and length - o from it are runs, so for each o
    the repeated strings follow, and from the smallest and largest o the bytes covered.
-4. A GRAM-byte string with more than HEAVY classes is not brought into one task: each of its classes
-   emits the hash pairs (128 bits) of the strings through the anchor, and these are counted with
-   partial aggregation.
+4. A GRAM-byte string with more than HEAVY classes is not brought into one task. The places a string
+   can have around the anchor are cut into PARTS ranges; what all strings of a range share (23/24 of
+   their length) is a finer key, by 128 bits of hash, and the few bytes on both sides of it are
+   compared as in 3. Finer keys with more than HUGE rows are settled by counting those bytes
+   with partial aggregation.
 
 All strings are judged on the input. Documents are never crossed. Rows are identified by doc_id and
 a hash of the text.
@@ -45,7 +47,10 @@ LENGTH = 400
 #: Classes of one GRAM-byte string that are compared in one task, at most.
 HEAVY = 4096
 #: Classes sorted at once.
-BATCH = 16384
+BATCH = 4096
+#: Ranges that the places around the anchor of a heavy string are cut into, and classes of one range
+#: that are compared in one task, at most.
+PARTS, HUGE = 16, 1 << 16
 BASE2 = 0xC2B2AE3D27D4EB4F
 INVERSE2 = pow(BASE2, -1, 1 << 64)
 U = np.uint64
@@ -215,18 +220,19 @@ def ordered(items: list[bytes], group_at: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def covered(befores: list[bytes], afters: list[bytes], group_at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each class the bytes covered before and after its anchor (0, 0: none).
+    """For each class the bytes covered before and after its anchor (-1: none).
 
-    befores: the reversed bytes before the anchor; afters: the bytes from it.
+    befores: the reversed bytes before the anchor; afters: the bytes from it. Two classes share a
+    string of `length` bytes, o of them before the anchor, if they agree on o bytes before and
+    length - o after it; o is length - gram at most.
     """
     n = len(afters)
-    reach_b, reach_a = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    reach_b, reach_a = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     order_a, lcp_a = ordered(afters, group_at)
     order_b, lcp_b = ordered(befores, group_at)
     rid, lid = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(length - gram + 1):
-        cut_a, cut_b = lcp_a < length - o, lcp_b < o
-        run_a, run_b = np.cumsum(cut_a) - 1, np.cumsum(cut_b) - 1
+        run_a, run_b = np.cumsum(lcp_a < length - o) - 1, np.cumsum(lcp_b < o) - 1
         rid[order_a], lid[order_b] = run_a, run_b
         some = np.flatnonzero((np.bincount(run_a)[rid] > 1) & (np.bincount(run_b)[lid] > 1))
         if len(some) < 2:
@@ -236,8 +242,9 @@ def covered(befores: list[bytes], afters: list[bytes], group_at: np.ndarray, len
         k = key[at]
         same = k[1:] == k[:-1]
         hit = some[at[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
+        # A run of one class whose string is shorter than o or length - o has no partner, so hits have the bytes.
         reach_b[hit] = o
-        fresh = hit[reach_a[hit] == 0]
+        fresh = hit[reach_a[hit] < 0]
         reach_a[fresh] = length - o
     return reach_b, reach_a
 
@@ -245,81 +252,109 @@ def covered(befores: list[bytes], afters: list[bytes], group_at: np.ndarray, len
 # --- the operator -------------------------------------------------------------------------------
 
 
+def ranges(length: int) -> tuple[int, list[int]]:
+    """PARTS ranges over 0..length - gram: their common width and where they begin."""
+    n = length - gram_size(length) + 1
+    width = -(-n // PARTS)
+    return width, sorted({min(r * width, n - width) for r in range(PARTS)})
+
+
+AROUND = "gram long, around long, sub1 long, sub2 long, o long, before binary, after binary"
+
+
 def _surroundings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """For the wanted anchors (row_id, mark, [(gram, around, at, heavy)]): the bytes around them, or
-    the hashes of all strings through them where heavy."""
+    """For the wanted anchors (row_id, mark, [(gram, around, at, heavy)]): the bytes around them; of
+    heavy ones, for each range of places that a string can have around the anchor, the hashes of
+    what all those strings share and the few bytes on both sides that tell them apart."""
     gram = gram_size(length)
+    width, firsts = ranges(length)
+    names = [x.split()[0] for x in AROUND.split(", ")]
+    kinds = (pa.int64(),) * 5 + (pa.binary(),) * 2
+
+    def span(text: np.ndarray, base: int, inverse: int) -> np.ndarray:
+        p = np.zeros(len(text) + 1, dtype=np.uint64)
+        np.cumsum((text.astype(np.uint64) + U(1)) * powers(base, len(text)), out=p[1:])
+        return lambda a, b: (p[b] - p[a]) * powers(inverse, len(p))[a]
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             data, off = buffers(batch.column("text"))
-            for i, j, want in zip(off[:-1].tolist(), off[1:].tolist(), batch.column("wanted").to_pylist()):
+            wants = batch.column("wanted")
+            for i, j, k in zip(off[:-1].tolist(), off[1:].tolist(), range(batch.num_rows)):
                 text = data[i:j]
-                heavy = [w for w in want if w["heavy"]]
-                for w in want:
+                for w in wants[k].as_py():
+                    at = w["at"]
                     if not w["heavy"]:
-                        at = w["at"]
                         out.append((w["gram"], w["around"], None, None, None, text[max(0, at - length + gram) : at][::-1].tobytes(), text[at : at + length].tobytes()))
-                for w in heavy:
-                    at = w["at"]
-                    lo = max(0, at - length + gram)
-                    part = text[lo : at + length]
-                    starts = np.arange(0, min(at - lo, len(part) - length) + 1)
-                    if not len(starts) or len(part) < length:
-                        continue
-                    h = []
-                    for base, inverse in ((BASE, INVERSE), (BASE2, INVERSE2)):
-                        p = np.zeros(len(part) + 1, dtype=np.uint64)
-                        np.cumsum((part.astype(np.uint64) + U(1)) * powers(base, len(part)), out=p[1:])
-                        h.append(mix((p[starts + length] - p[starts]) * powers(inverse, len(p))[starts]).view(np.int64).tolist())
-                    out += [(w["gram"], w["around"], at - lo - s, x, y, None, None) for s, x, y in zip(starts.tolist(), *h)]
+                    else:
+                        lo = max(0, at - length + gram)
+                        part, here = text[lo : at + length], at - lo
+                        o = np.array([x for x in firsts if x <= here and here + length - x - width + 1 <= len(part)], dtype=np.int64)
+                        if len(o):
+                            a, b = here - o, here + length - o - width + 1
+                            salt = mix(o.astype(np.uint64) + U(w["gram"] & (2**64 - 1)))
+                            h1, h2 = (mix(span(part, *k)(a, b) + salt).view(np.int64).tolist() for k in ((BASE, INVERSE), (BASE2, INVERSE2)))
+                            out += [(w["gram"], w["around"], x, y, z, part[max(0, p - width + 1) : p][::-1].tobytes(), part[q : q + width - 1].tobytes()) for x, y, z, p, q in zip(h1, h2, o.tolist(), a.tolist(), b.tolist())]
                 while len(out) > 4000:
                     yield batch_of(out[:4000])
                     del out[:4000]
             if out:
                 yield batch_of(out)
 
-    names = ["gram", "around", "o", "h1", "h2", "before", "after"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-
     def batch_of(some):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
 
-    return rows.join(wanted, ["row_id", "mark"]).select("text", "wanted").mapInArrow(run, "gram long, around long, o long, h1 long, h2 long, before binary, after binary")
+    return rows.join(wanted, ["row_id", "mark"]).select("text", "wanted").mapInArrow(run, AROUND)
 
 
-def _compare(around: DataFrame, length: int) -> DataFrame:
-    """(gram, around, back, ahead) of classes that share a string with another of their gram."""
-    gram = gram_size(length)
+def _compare(strings: DataFrame, keys: list[str], length: int, gram: int) -> DataFrame:
+    """Adds back and ahead to the rows that share a string with another row of equal keys."""
+    names = [c for c in strings.columns if c not in ("before", "after")]
 
-    def solve(grams: list, arounds: list, befores: list, afters: list):
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(np.array(grams, dtype=np.int64))) + 1, [len(grams)]])
-        back, ahead = covered(befores, afters, bounds, length, gram)
-        hit = np.flatnonzero(ahead)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(grams, np.int64)[hit]), pa.array(np.array(arounds, np.int64)[hit]), pa.array(back[hit]), pa.array(ahead[hit])], ["gram", "around", "back", "ahead"])
+    def solve(held: dict[str, list], n: int):
+        column = [np.array(held[k][:n], dtype=np.int64) for k in keys]
+        fresh = np.zeros(n, dtype=bool)
+        for c in column:
+            fresh[1:] |= c[1:] != c[:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(fresh), [n]])
+        back, ahead = covered(held["before"][:n], held["after"][:n], bounds, length, gram)
+        hit = np.flatnonzero(back >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(held[c][:n], np.int64)[hit]) for c in names] + [pa.array(back[hit]), pa.array(ahead[hit])], [*names, "back", "ahead"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: dict[str, list] = {c: [] for c in (*names, "before", "after")}
         for batch in batches:
-            for own, c in zip(held, ("gram", "around", "before", "after")):
-                own.extend(batch.column(c).to_pylist())
-            if len(held[0]) >= BATCH:
-                last = held[0][-1]
-                n = len(held[0])
-                while n and held[0][n - 1] == last:
-                    n -= 1
-                if n:
-                    yield solve(*[own[:n] for own in held])
-                    held = [own[n:] for own in held]
-        if held[0]:
-            yield solve(*held)
-
-    one = around.where("h1 IS NULL").select("gram", "around", "before", "after")
-    return one.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, around long, back long, ahead long")
-
-
-def repeated(rows: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
+            for i in range(0, batch.num_rows, BATCH):
+                for c, own in held.items():
+                    own.extend(batch.column(c)[i : i + BATCH].to_pylist())
+                n = len(held["before"])
+                if n >= BATCH:
+                    last = [held[k][-1] for k in keys]
+                    while n and [held[k][n - 1] for k in keys] == last:
+                        n -= 1
+                    if n:
+                        yield solve(held, n)
+                        held = {c: own[n:] for c, own in held.items()}
+        if held["before"]:
+            yield solve(held, len(held["before"]))
+
+    schema = ", ".join(f"{c} long" for c in (*names, "back", "ahead"))
+    return strings.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _count(strings: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """What _compare finds in margins (length width - 1, gram 0), by counting with partial aggregation."""
+    k = F.col("k")
+    one = strings.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("k"))
+    one = one.where((F.octet_length("before") >= k) & (F.octet_length("after") >= width - 1 - k))
+    one = one.withColumn("x", F.substring("before", F.lit(1), k)).withColumn("y", F.substring("after", F.lit(1), F.lit(width - 1) - k)).drop("before", "after")
+    twice = one.groupBy(*keys, "k", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    names = [c for c in strings.columns if c not in ("before", "after")]
+    return one.join(twice, [*keys, "k", "x", "y"]).groupBy(*names).agg(F.max("k").cast("long").alias("back"), (F.lit(width - 1) - F.min("k")).cast("long").alias("ahead"))
+
+
+def repeated(rows: DataFrame, length: int = LENGTH, heavy: int = HEAVY, huge: int = HUGE) -> DataFrame:
     """(row_id, mark, hits): for each row with repeats, the anchors and the bytes covered around them.
 
     rows: as `keyed` makes them. Intermediate tables are written to the shared folder.
@@ -343,10 +378,15 @@ def repeated(rows: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataF
     _surroundings(rows, wanted, length).write.parquet(path)
     around = spark.read.parquet(path)
 
-    strings = around.where("h1 IS NOT NULL").select("gram", "around", "o", "h1", "h2")
-    twice = strings.groupBy("gram", "o", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    by_count = strings.join(twice, ["gram", "o", "h1", "h2"]).groupBy("gram", "around").agg(F.max("o").alias("back"), (F.lit(length) - F.min("o")).alias("ahead"))
-    partly = _compare(around, length).unionByName(by_count)
+    light = _compare(around.where("sub1 IS NULL").select("gram", "around", "before", "after"), ["gram"], length, gram)
+    width = ranges(length)[0]
+    key = ["sub1", "sub2"]
+    margins = around.where("sub1 IS NOT NULL")
+    large = margins.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > huge).drop("m")
+    parts = _compare(margins.join(large, key, "left_anti"), key, width - 1, 0).unionByName(_count(margins.join(large, key), key, width))
+    # Places in a range are counted from its first; ranges of one class are put together.
+    parts = parts.groupBy("gram", "around").agg(F.max(F.col("o") + F.col("back")).alias("back"), F.max(F.lit(length - width + 1) - F.col("o") + F.col("ahead")).alias("ahead"))
+    partly = light.unionByName(parts)
     reach = (F.lit(length - gram).cast("long").alias("back"), F.lit(length).cast("long").alias("ahead"))
     whole = classes.where("n > 1").select("gram", "around", *reach)
     settled = whole.unionByName(partly.join(whole.select("gram", "around"), ["gram", "around"], "left_anti"))
