@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 WHITE = np.zeros(256, dtype=bool)
@@ -28,7 +28,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, CHUNK + 1), base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 4 * CHUNK:
+        if n <= 2 * CHUNK:
             _powers[base] = have
     return have[:n]
 
