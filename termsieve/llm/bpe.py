@@ -25,18 +25,21 @@ import regex
 from pyspark.sql import DataFrame
 
 from .base import text_rows
+from .kept import LETTERS, Kept
 from .nptext import buffers
 
-#: Chunks whose ids are kept by a worker before the table is emptied.
-KEPT = 300_000
+#: Chunks whose ids a worker keeps.
+KEPT = 800_000
 #: Bytes of new chunks that are merged at once.
 MERGE_BYTES = 1 << 20
 
 # The public pretokenising pattern of this vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_CHUNK = re.compile(rb" ?[^\s]+|\s+(?!\S)|\s+")
-_WIDE_SPACE = regex.compile(r"[\s\x1c-\x1f&&[^ \t\n\r\f\v]]", regex.V1)
+_CHUNK = re.compile(rb" ?" + LETTERS + rb"| ?[^\s]+|\s+(?!\S)|\s+")
+# White space that bytes patterns do not know, in UTF-8, and the bytes it begins with.
+_WIDE_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_MAYBE_WIDE = re.compile(rb"[\x1c-\x1f\xc2\xe1\xe2\xe3]")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -115,58 +118,50 @@ class Codec:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.kept: dict[bytes, tuple[bytes, int, bytes]] = {}
+        self.kept = Kept(self.learn, KEPT)
 
     def chunks(self, raw: bytes) -> list[bytes]:
-        """Special-token strings and chunks, in order."""
+        """Special-token strings and chunks, in order. A part with white space beyond ASCII is one
+        chunk, since only the full pattern can tell how its runs are cut."""
         v, out = self.vocabulary, []
-        for k, part in enumerate(v.cut.split(raw) if v.cut else [raw]):
+        for k, part in enumerate(v.cut.split(raw) if v.cut and b"<" in raw else [raw]):
             if k % 2:
                 out.append(part)
-            elif part.isascii() and not re.search(rb"[\x1c-\x1f]", part) or not _WIDE_SPACE.search(part.decode("utf-8", "replace")):
+            elif not _MAYBE_WIDE.search(part) or not _WIDE_SPACE.search(part):
                 out += _CHUNK.findall(part)
             elif part:
                 out.append(part)
         return out
 
-    def learn(self, new: list[bytes]) -> None:
-        v = self.vocabulary
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-        i = 0
+    def learn(self, new: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids joined by commas, decoded bytes) of each chunk."""
+        v, out, i = self.vocabulary, [], 0
         while i < len(new):
             words, owner, size, j = [], [], 0, i
             while j < len(new) and (size < MERGE_BYTES or j == i):
-                if new[j] in v.special:
-                    self.kept[new[j]] = (b"%d" % v.special[new[j]], 1, new[j])
-                else:
-                    p = v.pretokens(new[j])
-                    words += p
-                    owner.append((new[j], len(p)))
-                    size += len(new[j])
+                p = [] if new[j] in v.special else v.pretokens(new[j])
+                words += p
+                owner.append(len(p))
+                size += len(new[j])
                 j += 1
             ids, at = v.encode_words(words), 0
-            for chunk, n in owner:
-                own = np.concatenate(ids[at : at + n]).tolist() if n else []
+            for chunk, n in zip(new[i:j], owner):
+                own = np.concatenate(ids[at : at + n]).tolist() if n else [v.special[chunk]] if chunk in v.special else []
                 at += n
                 back = b"".join(map(v.bytes.__getitem__, own))
-                self.kept[chunk] = (b",".join(b"%d" % x for x in own), len(own), chunk if back == chunk else back)
+                out.append((b",".join(b"%d" % x for x in own), chunk if back == chunk else back))
             i = j
+        return out
 
     def encode(self, raws: list[bytes]):
         """(ids joined by commas, number of ids, decoded bytes) of each text."""
         for lo in range(0, len(raws), 64):
             some = [self.chunks(r) for r in raws[lo : lo + 64]]
-            kept = self.kept
-            need = {c for s in some for c in s if c not in kept}
-            if need:
-                if len(kept) + len(need) > KEPT:
-                    need = {c for s in some for c in s}
-                self.learn(sorted(need))
+            kept = self.kept.of(set().union(*some))
             for s in some:
-                got = [kept[c] for c in s]
-                back = b"".join([g[2] for g in got]).decode("utf-8", "replace").encode()
-                yield b",".join([g[0] for g in got]), sum([g[1] for g in got]), back
+                got = list(map(kept.__getitem__, s))
+                ids, back = b",".join([g[0] for g in got]), b"".join([g[1] for g in got])
+                yield ids, ids.count(b",") + 1 if ids else 0, back.decode("utf-8", "replace").encode()
 
 
 _codecs: dict[str, Codec] = {}
