@@ -621,6 +621,55 @@ def file_outcomes(spark, d):
     return E.assets(spark, d).join(dep, "asset_id", "left").groupBy(F.col("status").alias("outcome"), "kind").agg(n("assets"), F.coalesce(F.sum("c"), F.lit(0)).alias("violations"))
 
 
+@query(with_sql("rows") + """SELECT finding_id, '{"id":' || finding_id || ',"kind":"' || kind || '","asset":{"id":' || asset_id || ',"url":"' || url || '"}}' AS json FROM rows""")
+def findings_json(spark, d):
+    said = F.to_json(F.struct(F.col("finding_id").alias("id"), "kind", F.struct(F.col("asset_id").alias("id"), "url").alias("asset")))
+    return E.rows(spark, d).select("finding_id", said.alias("json"))
+
+
+@query("SELECT item_id, sha256('m' || 'judge' || 'instructions' || text) AS key, '••••' || right(sha256(text), 4) AS masked FROM benchmark")
+def answer_keys(spark, d):
+    return E.table(spark, d, "benchmark").select("item_id", T.digest_of(F.lit("m"), F.lit("judge"), F.lit("instructions"), F.col("text")).alias("key"), T.masked_key(F.sha2(F.col("text").cast("binary"), 256)).alias("masked"))
+
+
+@query(with_sql("segments") + """SELECT run_id, string_agg(k || '=' || n, ',' ORDER BY k) AS merged FROM (SELECT run_id, visibility AS k, count(*) AS n FROM segments WHERE visibility <> 'hidden' GROUP BY 1, 2
+UNION ALL SELECT DISTINCT run_id, 'hidden', 0 FROM segments) GROUP BY 1""")
+def stats_merged(spark, d):
+    """Counters merged into stored ones, the newer value of a key winning: pairs in, a map out."""
+    seen = E.segments(spark, d).groupBy("run_id", F.col("visibility").alias("k")).agg(n("v")).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("old"))
+    new = F.create_map(F.lit("hidden"), F.lit(0).cast("long"))
+    merged = F.map_concat(F.map_filter("old", lambda k, v: ~F.map_contains_key(new, k)), new)
+    said = F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return seen.select("run_id", F.concat_ws(",", said).alias("merged"))
+
+
+@query(with_sql("findings", "assets") + """, c AS (SELECT run_id, count(*) FILTER (kind = 'page' AND status = 'ok') AS pages, count(*) FILTER (kind = 'pdf' AND status = 'ok') AS files FROM assets GROUP BY 1),
+f AS (SELECT run_id, count(*) FILTER (status = 'violation') AS v, count(*) FILTER (status = 'ambiguous') AS a FROM findings GROUP BY 1)
+SELECT run_id, pages || ' pages and ' || files || ' PDFs read, ' || n || ' text segments; ' || v || ' violations, ' || a || ' to review' AS sentence
+FROM c JOIN f USING (run_id) JOIN (SELECT run_id, count(*) AS n FROM segments GROUP BY 1) USING (run_id)""")
+def run_sentences(spark, d):
+    ok = F.col("status") == "ok"
+    c = E.assets(spark, d).groupBy("run_id").agg(F.count_if(ok & (F.col("kind") == "page")).alias("pages"), F.count_if(ok & (F.col("kind") == "pdf")).alias("files"))
+    f = E.findings(spark, d).groupBy("run_id").agg(F.count_if(F.col("status") == "violation").alias("v"), F.count_if(F.col("status") == "ambiguous").alias("a"))
+    s = E.segments(spark, d).groupBy("run_id").agg(n())
+    return c.join(f, "run_id").join(s, "run_id").select("run_id", F.format_string("%d pages and %d PDFs read, %d text segments; %d violations, %d to review", "pages", "files", "n", "v", "a").alias("sentence"))
+
+
+@query(_ANSWERS + """, done AS (SELECT f.asset_id, f.segment_id, coalesce(CASE c.verdict WHEN 'misspelling' THEN 'violation' WHEN 'not_brand' THEN 'dismissed' END, f.status) AS status FROM findings f LEFT JOIN c USING (finding_id))
+SELECT asset_id, count(*) FILTER (status = 'violation') AS violations, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'dismissed') AS dismissed FROM done GROUP BY 1""")
+def counts_after_review(spark, d):
+    """What a run's summary says once verdicts are taken over."""
+    done = review.applied(E.findings(spark, d), _answers(spark, d))
+    one = lambda v: F.count_if(F.col("status") == v)
+    return done.groupBy("asset_id").agg(one("violation").alias("violations"), one("ambiguous").alias("ambiguous"), one("dismissed").alias("dismissed"))
+
+
+@query(with_sql("findings") + "SELECT segment_id, text_source FROM segments WHERE text_source IN ('text', 'heading') AND segment_id IN (SELECT segment_id FROM findings)")
+def segments_with_findings(spark, d):
+    s = E.segments(spark, d).where(F.col("text_source").isin("text", "heading"))
+    return s.join(E.findings(spark, d).select("segment_id"), "segment_id", "left_semi").select("segment_id", "text_source")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
