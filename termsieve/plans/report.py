@@ -162,8 +162,18 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def neighbours(findings: DataFrame) -> DataFrame:
-    w = Window.partitionBy("run_id").orderBy("asset_id", "segment_id", "start", "finding_id")
-    return findings.select("finding_id", F.lag("finding_id").over(w).alias("previous_id"), F.lead("finding_id").over(w).alias("next_id"))
+    """The findings before and after each one in its run's order (asset, segment, start, id).
+
+    Only the findings of an asset meet in one task; across assets the ends of each are enough, which
+    is one row an asset.
+    """
+    order = ("segment_id", "start", "finding_id")
+    own = Window.partitionBy("run_id", "asset_id").orderBy(*order)
+    ends = findings.groupBy("run_id", "asset_id").agg(F.min_by("finding_id", F.struct(*order)).alias("first"), F.max_by("finding_id", F.struct(*order)).alias("last"))
+    run = Window.partitionBy("run_id").orderBy("asset_id")
+    around = ends.select("run_id", "asset_id", F.lag("last").over(run).alias("before"), F.lead("first").over(run).alias("after"))
+    near = findings.select("run_id", "asset_id", "finding_id", F.lag("finding_id").over(own).alias("p"), F.lead("finding_id").over(own).alias("n"))
+    return near.join(around, ["run_id", "asset_id"]).select("finding_id", F.coalesce("p", "before").alias("previous_id"), F.coalesce("n", "after").alias("next_id"))
 
 
 def latest_runs(runs: DataFrame, *by: str) -> DataFrame:
