@@ -17,6 +17,8 @@ component; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -148,7 +150,7 @@ def link_groups(docs: DataFrame) -> DataFrame:
 #: Fingerprints of 256 bits over word pairs, cut into 10 segments of 24 bits with balls of radius 1.
 #: At a similarity of 0.8 on five-word shingles 9 to 10 % of the bits differ: one pair in fifty is
 #: missed at exactly 0.8, one in 150 at 0.85; candidates per row grow with rows / 2**24.
-NEAR_WORDS, NEAR_LANES, NEAR_SEGMENTS, NEAR_SIZE, NEAR_BITS = 2, 4, 10, 24, 44
+NEAR_WORDS, NEAR_LANES, NEAR_SEGMENTS, NEAR_SIZE, NEAR_BITS = 2, 4, 10, 24, 40
 
 
 def segment_keys(fps: DataFrame) -> DataFrame:
@@ -174,16 +176,22 @@ def segment_keys(fps: DataFrame) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the sorted distinct hashes of each text's shingles."""
+    """(id, shingles): the sorted distinct hashes (32 bits) of each text's shingles."""
 
     def run(batches):
         for batch in batches:
             data, off = buffers(batch.column("text"))
             raw = data.tobytes()
-            sets = [np.unique(shingle_hashes(raw[i:j], words)).view(np.int64) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            sets = [np.unique(shingle_hashes(raw[i:j], words).astype(np.uint32)).view(np.int32) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int32()))], ["id", "shingles"])
+
+    return rows.mapInArrow(run, "id long, shingles array<int>")
+
 
-    return rows.mapInArrow(run, "id long, shingles array<long>")
+def _alike(x, y, similarity: float):
+    """Whether two sets' Jaccard similarity n / (x + y - n) reaches a value; two empty ones are not alike."""
+    both = F.size(x) + F.size(y)
+    return (both > 0) & (F.size(F.array_intersect(x, y)) * (1 + similarity) + 1e-9 >= similarity * both)
 
 
 def _verified(pairs: DataFrame, fps: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -195,8 +203,7 @@ def _verified(pairs: DataFrame, fps: DataFrame, rows: DataFrame, words: int, sim
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     sets = materialise(shingle_sets(rows.join(ids, "id", "left_semi"), words))
     sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = near.join(sa, "a").join(sb, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    return materialise(both.where(F.col("n") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("n"))).where("n > 0").select("a", "b"))
+    return materialise(near.join(sa, "a").join(sb, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"))
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -206,20 +213,27 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     `similarity`; groups are connected components. Rows of null id are left out; rows of one id count
     as one (that of the smallest fingerprint); a text without words is linked to nothing.
 
-    In a segment table most keys hold one or two classes, which are compared. For larger ones each
-    class is first compared with the smallest and the largest id of the key only; what that
-    links makes components. Then the classes outside the key's most frequent component are compared
-    with all others of the key: pairs inside one component add nothing, so no link between groups
-    is lost and a family of n copies costs n comparisons, not n * n.
+    In a segment table most keys hold one or two classes, which are compared. In larger ones each
+    class is first compared with two members only, drawn by hash among those it meets in the
+    segment; what that links makes components. Then the classes outside the key's most frequent
+    component are compared with all others of the key (once, in the first segment that they share, and
+    inside the join, so only links become rows): pairs inside one component add nothing, so no link
+    between groups is lost, and a family of n near copies that belong together costs about n
+    comparisons, not n * n.
     """
     rows = text_rows(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
     fps = materialise(fingerprints(rows.withColumnRenamed("id", "doc_id"), NEAR_WORDS, NEAR_LANES).groupBy("doc_id").agg(F.min("fp").alias("fp")).withColumnRenamed("doc_id", "id"))
     same = fps.groupBy("fp").agg(F.min("id").alias("low"))
     copies = fps.join(same, "fp").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
     keys = segment_keys(same.select(F.col("low").alias("id"), "fp"))
-    tables = keys.where("home").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
-    met = materialise(keys.join(tables, "key").where("id <> lo OR id <> hi"))
-    ends = met.select(F.col("id").alias("a"), F.col("lo").alias("b")).unionByName(met.select(F.col("id").alias("a"), F.col("hi").alias("b")))
+    drawn = F.xxhash64("id", "key")
+    tables = keys.where("home").groupBy("key").agg(F.min_by("id", drawn).alias("x"), F.max_by("id", drawn).alias("y"), F.count(F.lit(1)).alias("n"))
+    met = materialise(keys.join(tables, "key").where("id <> x OR id <> y"))
+    few = met.where("n <= 2")
+    ends = few.select(F.col("id").alias("a"), F.col("x").alias("b")).unionByName(few.select(F.col("id").alias("a"), F.col("y").alias("b")))
+    for end in ("x", "y"):
+        one = met.where((F.col("n") > 2) & (F.col(end) != F.col("id"))).groupBy("id", F.shiftright("key", NEAR_SIZE).alias("seg"))
+        ends = ends.unionByName(one.agg(F.min_by(end, F.xxhash64("id", end)).alias("b")).select(F.col("id").alias("a"), "b"))
     links = _verified(ends.unionByName(copies), fps, rows, words, similarity)
 
     comp = components(links)
@@ -227,8 +241,20 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     many = many.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     often = many.where("home").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     many = materialise(many.join(often, "key"))
-    x = many.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), (F.col("root") != F.col("main")).alias("oa"))
-    y = many.where("home").select("key", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") != F.col("main")).alias("ob"))
-    rest = x.where("oa").join(y, "key").where("ra <> rb").select("a", "b").unionByName(x.where("NOT oa").join(y.where("ob"), "key").where("ra <> rb").select("a", "b"))
-    more = _verified(rest, fps, rows, words, similarity)
+    ids = many.select("id").distinct()
+    seg = [F.conv(F.hex(F.substring("fp", 3 * k + 1, NEAR_SIZE // 8)), 16, 10).cast("int").alias(f"s{k}") for k in range(NEAR_SEGMENTS)]
+    own = shingle_sets(rows.join(ids, "id", "left_semi"), words).join(fps, "id").select("id", "shingles", *seg)
+    side = materialise(many.join(own, "id").withColumn("out", F.col("root") != F.col("main")))
+    x, y = side.alias("x"), side.where("home").alias("y")
+    c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
+    bits = lambda k: F.bit_count(c(f"s{k}")[0].bitwiseXOR(c(f"s{k}")[1]))
+    table = F.shiftright(F.col("x.key"), NEAR_SIZE)
+    fresh = reduce(lambda p, q: p & q, ((table <= k) | (bits(k) > 1) for k in range(NEAR_SEGMENTS)))  # met in no earlier segment
+    (sx, sy), (rx, ry) = c("shingles"), c("root")
+    sizes = F.least(F.size(sx), F.size(sy)) >= F.lit(similarity) * F.greatest(F.size(sx), F.size(sy))
+    alike = _alike(sx, sy, similarity)
+    outside = F.col("x.out") | F.col("y.out")
+    # The whole test is the join's condition: pairs that fail it are never rows.
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & outside & (rx != ry) & sizes & fresh & alike)
+    more = materialise(more.select(F.least(*c("id")).alias("a"), F.greatest(*c("id")).alias("b")).distinct())
     return components(links.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
