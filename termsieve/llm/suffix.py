@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh_path
+from .base import fresh_path, materialise
 from .nptext import BASE, INVERSE, buffers, chunks, mix, powers, prefix_hash
 
 LENGTH = 400
@@ -362,7 +362,8 @@ def repeated(rows: DataFrame, length: int = LENGTH, heavy: int = HEAVY, huge: in
     spark, gram = rows.sparkSession, gram_size(length)
     found = anchor_rows(rows, length)
     often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1")
-    often = often.select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # Written first, so that Spark's skew join can split what meets it.
+    often = materialise(often.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")))
     path = fresh_path(spark, "anchors")
     found.join(often, "gram").write.parquet(path)
     again = spark.read.parquet(path)
@@ -372,6 +373,7 @@ def repeated(rows: DataFrame, length: int = LENGTH, heavy: int = HEAVY, huge: in
     classes.write.parquet(path)
     classes = spark.read.parquet(path)
     groups = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1 AND single > 0")
+    groups = materialise(groups)
     wanted = classes.join(groups, "gram").select("row_id", F.shiftrightunsigned("mark_at", 32).alias("mark"), F.struct("gram", "around", F.col("mark_at").bitwiseAND(0xFFFFFFFF).alias("at"), (F.col("m") > heavy).alias("heavy")).alias("w"))
     wanted = wanted.groupBy("row_id", "mark").agg(F.collect_list("w").alias("wanted"))
     path = fresh_path(spark, "around")
@@ -406,10 +408,10 @@ def spans(lo: np.ndarray, hi: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return lo[first], hi[np.concatenate([first[1:], [True]])]
 
 
-def row_spans(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def row_spans(batch: pa.RecordBatch, column: str = "hits") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, starts, ends of the repeated runs) of each row with its hits."""
     data, off = buffers(batch.column("text"))
-    hits = batch.column("hits")
+    hits = batch.column(column)
     none = np.zeros(0, np.int64)
     for k, (i, j) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
         own = hits[k].values
@@ -452,7 +454,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for text, lo, hi in row_spans(batch):
+            for text, lo, hi in row_spans(batch, "__hits"):
                 lo, hi = lo.copy(), hi.copy()
                 for k in range(len(lo)):
                     while lo[k] < hi[k] and lo[k] < len(text) and text[lo[k]] & 0xC0 == 0x80:
@@ -460,13 +462,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     while hi[k] > lo[k] and hi[k] < len(text) and text[hi[k]] & 0xC0 == 0x80:
                         hi[k] -= 1
                 out.append(kept_bytes(text, lo, hi))
-            names = [c for c in batch.schema.names if c != "hits"]
+            names = [c for c in batch.schema.names if c != "__hits"]
             yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace") for x in out], pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    hits = repeated(keyed(docs), length)
+    hits = repeated(keyed(docs), length).select(F.col("row_id").alias("__row_id"), F.col("mark").alias("__mark"), F.col("hits").alias("__hits"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    mark = F.shiftrightunsigned(F.xxhash64(text), 32)
     own = docs.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
-    joined = own.join(hits, (F.coalesce(own["doc_id"].cast("long"), F.lit(-(2**63))) == hits["row_id"]) & (F.shiftrightunsigned(F.xxhash64(own["text"]), 32) == hits["mark"]), "left").drop("row_id", "mark")
+    same = (F.coalesce(own["doc_id"].cast("long"), F.lit(-(2**63))) == hits["__row_id"]) & (F.shiftrightunsigned(F.xxhash64(own["text"]), 32) == hits["__mark"])
+    joined = own.join(hits, same, "left").drop("__row_id", "__mark")
     cut = joined.mapInArrow(run, own.schema)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
