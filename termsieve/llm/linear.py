@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .base import text_rows
 
 #: Labelled rows a model is fitted to, at most.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, where=None) -> DataFrame:
@@ -35,14 +35,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, where=None) -
 
 
 class Sparse:
-    """Rows of (bins, values), as three flat arrays."""
+    """Rows of (bin, value), in three flat arrays."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
-        self.n, self.width = len(rows), width
-        self.ptr = np.concatenate([[0], np.cumsum([len(b) for b, _ in rows])]).astype(np.int64)
-        self.bins = np.concatenate([b for b, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.vals = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-        self.row = np.repeat(np.arange(self.n), np.diff(self.ptr))
+    def __init__(self, ptr: np.ndarray, bins: np.ndarray, vals: np.ndarray, width: int):
+        self.n, self.width, self.ptr, self.bins, self.vals = len(ptr) - 1, width, ptr, bins, vals
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ptr))
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Sparse:
+        ptr = np.concatenate([[0], np.cumsum([len(b) for b, _ in rows])]).astype(np.int64)
+        join = lambda k, kind: np.concatenate([r[k] for r in rows]).astype(kind) if rows else np.zeros(0, kind)
+        return cls(ptr, join(0, np.int32), join(1, np.float32), width)
+
+    def some(self, rows: np.ndarray) -> Sparse:
+        """The rows picked by a mask."""
+        size = np.diff(self.ptr)
+        inner = np.repeat(rows, size)
+        return Sparse(np.concatenate([[0], np.cumsum(size[rows])]).astype(np.int64), self.bins[inner], self.vals[inner], self.width)
+
+    def one(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.bins[self.ptr[i] : self.ptr[i + 1]], self.vals[self.ptr[i] : self.ptr[i + 1]]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.bins] * self.vals, minlength=self.n)
@@ -52,7 +64,7 @@ class Sparse:
 
 
 def collect_features(sample: DataFrame, encode: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]], width: int) -> tuple[Sparse, np.ndarray, np.ndarray]:
-    """Features, labels and ids of a bounded sample, ordered by the hash of the id."""
+    """Features, labels and ids of a bounded sample, in the order of the ids."""
 
     def run(batches):
         for b in batches:
@@ -65,10 +77,11 @@ def collect_features(sample: DataFrame, encode: Callable[[pa.Array], Iterator[tu
                 ["doc_id", "label", "bins", "vals"],
             )
 
-    got = sample.mapInArrow(run, "doc_id long, label int, bins array<int>, vals array<float>").toArrow().sort_by("doc_id")
-    ids, y = got["doc_id"].to_numpy(), got["label"].to_numpy()
-    rows = [(np.asarray(b.values, dtype=np.int64), np.asarray(v.values, dtype=np.float64)) for b, v in zip(got["bins"], got["vals"])]
-    return Sparse(rows, width), y.astype(np.float64), ids
+    got = sample.mapInArrow(run, "doc_id long, label int, bins array<int>, vals array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+    flat = lambda name: got[name].combine_chunks() if isinstance(got[name], pa.ChunkedArray) else got[name]
+    bins, vals = flat("bins"), flat("vals")
+    x = Sparse(np.concatenate([[0], np.cumsum(bins.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), bins.flatten().to_numpy(), vals.flatten().to_numpy(), width)
+    return x, got["label"].to_numpy().astype(np.float64), got["doc_id"].to_numpy()
 
 
 def logistic(x: Sparse, y: np.ndarray, l2: float = 1e-3, rounds: int = 80) -> tuple[np.ndarray, float]:
@@ -76,7 +89,7 @@ def logistic(x: Sparse, y: np.ndarray, l2: float = 1e-3, rounds: int = 80) -> tu
     w, b = np.zeros(x.width), 0.0
     if not x.n:
         return w, b
-    norm = np.bincount(x.row, weights=x.vals**2, minlength=x.n).max() + 1.0
+    norm = float(np.bincount(x.row, weights=x.vals.astype(np.float64) ** 2, minlength=x.n).max()) + 1.0
     step = 1.0 / (0.25 * norm + l2)
     v, vb = w.copy(), b
     for k in range(1, rounds + 1):
@@ -90,10 +103,17 @@ def logistic(x: Sparse, y: np.ndarray, l2: float = 1e-3, rounds: int = 80) -> tu
 
 
 def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """(a, c) with probability 1 / (1 + exp(-(a * margin + c))), by Newton steps on smoothed targets."""
+    """(a, c) with probability 1 / (1 + exp(-(a * margin + c))): Newton steps, halved until they
+    lower the loss, on smoothed targets."""
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+
+    def loss(a: float, c: float) -> float:
+        z = a * margin + c
+        return float((np.logaddexp(0, z) - t * z).sum() + 5e-4 * (a - 1) ** 2)
+
     a, c = 1.0, 0.0
+    now = loss(a, c)
     for _ in range(rounds if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(a * margin + c, -35, 35)))
         g, h = p - t, np.maximum(p * (1 - p), 1e-9)
@@ -101,8 +121,14 @@ def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
         haa, hac, hcc = (h * margin * margin).sum() + 1e-3, (h * margin).sum(), h.sum() + 1e-6
         det = haa * hcc - hac * hac
         da, dc = (hcc * ga - hac * gc) / det, (haa * gc - hac * ga) / det
-        a, c = a - np.clip(da, -5, 5), c - np.clip(dc, -5, 5)
-        if abs(da) + abs(dc) < 1e-9:
+        step = 1.0
+        while step > 1e-9 and loss(a - step * da, c - step * dc) > now:
+            step /= 2
+        if step <= 1e-9:
+            break
+        a, c = a - step * da, c - step * dc
+        last, now = now, loss(a, c)
+        if last - now < 1e-9:
             break
     return float(a), float(c)
 
