@@ -1,6 +1,7 @@
 """Quality classifier: naive-Bayes features with a linear support-vector machine.
 
-Each text is the set of its hashed word 1/2-grams and byte 4-grams. A feature's value is its class
+Each text is the set of its hashed word 1/2-grams and byte 4-grams, and of the octave of its share of
+neighbouring words that are equal. A feature's value is its class
 log-count ratio, the vector is scaled to unit length, and an L2-regularised hinge-loss model is
 fitted by dual coordinate descent (one dual variable per row, bounded by C). A logistic link fitted
 on a fifth of the sample that the model has not seen turns margins into probabilities. It is fitted
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .base import crc_mod, text_rows
 from .linear import SAMPLE_ROWS, Sparse, collect_features, folds, labelled_sample, platt
-from .nptext import Chunk, chunks
+from .nptext import Chunk, chunks, mix
 
 BITS = 18
 WIDTH = 1 << BITS
@@ -33,8 +34,13 @@ def indicators(c: Chunk) -> np.ndarray:
     h = c.words()
     g, at = c.word_grams(h, 2)
     b, d = c.byte_grams(4)
-    key = np.concatenate([h, g, b + np.uint64(1)])
-    doc = np.concatenate([c.word_doc, c.word_doc[at], d]).astype(np.int64)
+    # How many neighbouring words are equal, in octaves: a pattern that no single n-gram shows.
+    pairs = np.maximum(c.n_words - 1, 1)
+    equal = np.bincount(c.word_doc[at[h[at] == h[at + 1]]], minlength=c.n) / pairs
+    octave = np.where(equal * 64 >= 1, np.floor(np.log2(np.maximum(equal * 64, 1))) + 1, 0).astype(np.uint64)
+    some = np.flatnonzero(c.n_words > 1)
+    key = np.concatenate([h, g, b + np.uint64(1), mix(octave[some] + np.uint64(2))])
+    doc = np.concatenate([c.word_doc, c.word_doc[at], d, some]).astype(np.int64)
     bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
     k = doc * WIDTH + bins
     k.sort()
@@ -85,11 +91,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, where=None)
     aside = folds(ids)
     if len(np.unique(y)) < 2 or len(np.unique(y[~aside])) < 2:
         return np.zeros(WIDTH, np.float32), np.zeros(WIDTH, np.float32), 0.0, 1.0, 0.0
-    train = [x.bins[x.ptr[i] : x.ptr[i + 1]] for i in np.flatnonzero(~aside)]
-    r = log_count_ratio(Sparse([(b, np.ones(len(b))) for b in train], WIDTH), y[~aside])
-    scaled = [(b, r[b] / max(1e-9, float(np.sqrt((r[b] ** 2).sum())))) for b in train]
-    w, b = dual_descent(scaled, np.where(y[~aside] > 0, 1.0, -1.0), WIDTH)
-    margins = np.array([float(w[k] @ r[k]) / max(1e-9, float(np.sqrt((r[k] ** 2).sum()))) + b for k in (x.bins[x.ptr[i] : x.ptr[i + 1]] for i in np.flatnonzero(aside))])
+    r = log_count_ratio(x.some(~aside), y[~aside])
+
+    def scaled(i: int) -> tuple[np.ndarray, np.ndarray]:
+        bins = x.one(i)[0]
+        return bins, r[bins] / max(1e-9, float(np.sqrt((r[bins] ** 2).sum())))
+
+    w, b = dual_descent([scaled(i) for i in np.flatnonzero(~aside)], np.where(y[~aside] > 0, 1.0, -1.0), WIDTH)
+    margins = np.array([float(w[k] @ v) + b for k, v in map(scaled, np.flatnonzero(aside))])
     slope, offset = platt(margins, y[aside])
     return r.astype(np.float32), (w * r).astype(np.float32), b, slope, offset
 
