@@ -2,7 +2,7 @@ import importlib
 
 import pytest
 
-import compare
+from . import compare
 from termsieve.plans import queries as core
 
 NAMES = sorted(core.queries())
