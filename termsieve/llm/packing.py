@@ -13,6 +13,7 @@ table gives no pieces; a text of any length is cut to whole windows and a rest.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -101,6 +102,7 @@ class WordIds:
     """
 
     PIECE = re.compile(LETTERS + rb"|[^\s]+")
+    WORD = re.compile(LETTERS)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -109,23 +111,32 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # For lower-case words of ASCII or Latin-1 letters neither normalising nor cutting changes anything.
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f) | {"normalizer": None, "added_tokens": []}
+        split, bytes_ = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.ascii = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": split}))
+        self.latin = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, bytes_]}}))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.kept = Kept(self.learn, KEPT)
 
     def learn(self, new: list[bytes]) -> list[bytes]:
-        """The ids of each piece. Words of ASCII letters are encoded many at a time: each is one
-        pretoken, and its last token is one that ends a word."""
+        """The ids of each piece. Words of ASCII or Latin-1 letters are encoded many at a time: each is
+        one pretoken, and its last token is one that ends a word."""
         out: dict[bytes, bytes] = {}
-        plain = [p for p in new if p.isalpha()]
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cut) == len(some):
-                raw = ids.tobytes()
-                out.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)]))
+        whole = self.WORD.fullmatch
+        plain = [p for p in new if p.isalpha() and p.islower()]
+        wide = [p for p in new if not p.isascii() and whole(p)]
+        for words, tokenizer in ((plain, self.ascii), (wide, self.latin)):
+            for i in range(0, len(words), 512):
+                some = words[i : i + 512]
+                ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode().lower()], add_special_tokens=False)[0].ids, dtype="<u4")
+                cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(cut) == len(some):
+                    raw = ids.tobytes()
+                    out.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)]))
         rest = [p for p in new if p not in out]
         for i in range(0, len(rest), 4096):
             got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest[i : i + 4096]], add_special_tokens=False)
@@ -133,12 +144,21 @@ class WordIds:
         return [out[p] for p in new]
 
     def encode(self, raws: list[bytes]) -> Iterator[np.ndarray]:
-        find = self.PIECE.findall
+        find, nothing = self.PIECE.findall, None
         for lo in range(0, len(raws), 64):
             some = [find(r if b"<|" in r else r.lower()) for r in raws[lo : lo + 64]]
-            kept = self.kept.of(set().union(*some))
-            for s in some:
-                yield np.frombuffer(b"".join(map(kept.__getitem__, s)), dtype="<u4")
+            got = [list(map(self.kept.young.get, s)) for s in some]
+            # What is not there is computed for all these texts at once.
+            new = {s[i] for s, g in zip(some, got) if nothing in g for i, x in enumerate(g) if x is nothing}
+            if new:
+                kept = self.kept.of(new)
+                for s, g in zip(some, got):
+                    if nothing in g:
+                        for i, x in enumerate(g):
+                            if x is nothing:
+                                g[i] = kept[s[i]]
+            for g in got:
+                yield np.frombuffer(b"".join(g), dtype="<u4")
 
 
 _ids: dict[str, WordIds] = {}
