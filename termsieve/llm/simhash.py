@@ -86,8 +86,6 @@ def lookups(classes: DataFrame, segments: int, balls: list[int]) -> DataFrame:
     balls: for each segment the radius looked up, 0 or 1. A radius of 1 is enumerated by classes of
     even parity only; equal values meet as two entries.
     """
-    width = None
-
     def run(batches):
         for batch in batches:
             n = batch.num_rows
