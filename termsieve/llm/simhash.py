@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate groups by multi-index hashing.
+"""SimHash fingerprints linked by multi-index hashing, and near-duplicate groups by shared shingles.
 
 Fingerprints are computed in Arrow batches. Equal fingerprints become one class first. Classes are
 then matched per segment of the fingerprint: every class puts its segment value into that segment's
@@ -17,8 +17,6 @@ component; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -145,32 +143,65 @@ def link_groups(docs: DataFrame) -> DataFrame:
 
 # --- near-duplicate groups by word shingles ----------------------------------------------------
 
-#: Fingerprints of 256 bits over word pairs, cut into 10 segments of 24 bits with balls of radius 1.
-#: At a similarity of 0.8 on five-word shingles 9 to 10 % of the bits differ: one pair in fifty is
-#: missed at exactly 0.8, one in 150 at 0.85; candidates per row grow with rows / 2**24.
-NEAR_WORDS, NEAR_LANES, NEAR_SEGMENTS, NEAR_SIZE, NEAR_BITS = 2, 4, 10, 24, 40
+#: Shared shingles come last in the order of prefixes: those in COMMON or more of one text in SAMPLE,
+#: MOST_COMMON of them. The order decides how many candidates there are, never which pairs are found.
+SAMPLE, COMMON, MOST_COMMON = 16, 3, 1 << 14
+#: Members of a shingle up to which all are compared with each other at once.
+SMALL = 64
+
 
+def _distinct_hashes(batch, words: int):
+    """The sorted distinct shingle hashes (64 bits) of each text of a batch."""
+    data, off = buffers(batch.column("text"))
+    raw = data.tobytes()
+    return (np.unique(shingle_hashes(raw[i:j], words)) for i, j in zip(off[:-1].tolist(), off[1:].tolist()))
 
-def segment_keys(fps: DataFrame) -> DataFrame:
-    """(key, id, home) of (id, fp): each segment's own value, and the ball of radius 1 of even ones."""
-    weight = np.int64(1) << np.arange(NEAR_SIZE - 1, -1, -1, dtype=np.int64)
-    kinds, names = (pa.int64(), pa.int64(), pa.bool_()), ["key", "id", "home"]
+
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (in order) and counts of the most frequent shingles in a sample of the texts."""
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
-                ids = np.asarray(some.column("id"))
-                bits = np.unpackbits(np.frombuffer(b"".join(some.column("fp").to_pylist()), dtype=np.uint8).reshape(len(ids), -1), axis=1)
-                for t in range(NEAR_SEGMENTS):
-                    part = bits[:, t * NEAR_SIZE : (t + 1) * NEAR_SIZE].astype(np.int64)
-                    value = part @ weight + (np.int64(t) << NEAR_SIZE)
-                    even = np.flatnonzero(part.sum(axis=1) % 2 == 0)
-                    yield _pack_rows((value, ids, np.ones(len(ids), bool)), kinds, names)
-                    if len(even):
-                        yield _pack_rows(((value[even, None] ^ weight).ravel(), np.repeat(ids[even], NEAR_SIZE), np.zeros(len(even) * NEAR_SIZE, bool)), kinds, names)
+            for h in _distinct_hashes(batch, words):
+                for i in range(0, len(h), BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + BLOCK].view(np.int64))], ["key"])
 
-    return fps.select("id", "fp").mapInArrow(run, "key long, id long, home boolean")
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "key long")
+    top = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    hashes = np.array([r.key for r in top], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r.n for r in top], dtype=np.int64)[order]
+
+
+def prefix_rows(rows: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, id, at, size): the first shingles of each text in one order of all shingles.
+
+    A text of n distinct shingles shares at least similarity * n of them with any text alike, so of
+    two texts alike the first n - similarity * n + 1 (rounded up) have a shingle in common.
+    """
+    hashes, counts = common
+    kinds, names = (pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["key", "id", "at", "size"]
+
+    def run(batches):
+        for batch in batches:
+            out, held = [], 0
+            for k, h in zip(batch.column("id").to_pylist(), _distinct_hashes(batch, words)):
+                n = len(h)
+                if not n:
+                    continue
+                if len(hashes):
+                    place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    h = h[np.argsort(np.where(hashes[place] == h, counts[place], 0), kind="stable")]
+                h = h[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64)
+                out.append((h, np.full(len(h), k, np.int64), np.arange(len(h), dtype=np.int32), np.full(len(h), n, np.int32)))
+                held += len(h)
+                if held >= BLOCK:
+                    yield _pack_rows([np.concatenate(c) for c in zip(*out)], kinds, names)
+                    out, held = [], 0
+            if out:
+                yield _pack_rows([np.concatenate(c) for c in zip(*out)], kinds, names)
+
+    return rows.select("id", "text").mapInArrow(run, "key long, id long, at int, size int")
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -192,67 +223,67 @@ def _alike(x, y, similarity: float):
     return (both > 0) & (F.size(F.array_intersect(x, y)) * (1 + similarity) + 1e-9 >= similarity * both)
 
 
-def _verified(pairs: DataFrame, fps: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of candidate pairs (a, b) those whose complete distance and then shingle similarity hold."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    fa, fb = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
-    near = pairs.join(fa, "a").join(fb, "b").where(distance(F.col("fa"), F.col("fb"), NEAR_LANES) <= NEAR_BITS)
-    near = materialise(near.select("a", "b"))
+def _fits(similarity: float):
+    """Whether rows x and y of one key can be alike if the key is the first that they share: at most the rest of both follows."""
+    m, n = F.col("x.size"), F.col("y.size")
+    rest = F.least(m - F.col("x.at"), n - F.col("y.at"))
+    return (F.least(m, n) + 1e-9 >= similarity * F.greatest(m, n)) & (rest * (1 + similarity) + 1e-9 >= similarity * (m + n))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of candidate pairs (a, b) those whose shingle similarity holds."""
+    near = materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     sets = materialise(shingle_sets(rows.join(ids, "id", "left_semi"), words))
     sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     return materialise(near.join(sa, "a").join(sb, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"))
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
     """(doc_id, group_id) of rows that have a near copy: group_id is the group's smallest doc_id.
 
     Two rows are linked if the Jaccard similarity of their sets of `words`-word shingles reaches
     `similarity`; groups are connected components. Rows of null id are left out; rows of one id count
-    as one (that of the smallest fingerprint); a text without words is linked to nothing.
-
-    In a segment table most keys hold one or two classes, which are compared. In larger ones each
-    class is first compared with two members only, drawn by hash among those it meets in the
-    segment; what that links makes components. Then the classes outside the key's most frequent
-    component are compared with all others of the key (once, in the first segment that they share, and
-    inside the join, so only links become rows): pairs inside one component add nothing, so no link
-    between groups is lost, and a family of n near copies that belong together costs about n
-    comparisons, not n * n.
+    as one, linked by any of its texts; a text without words is linked to nothing.
+
+    Candidates are complete: two texts alike have a shingle in common among their first ones
+    (prefix_rows), and the first such shingle is compared. Most shingles belong to one text and go;
+    the members of one with up to `small` are all compared. In larger ones each member is first compared
+    with two only, drawn by hash; what that links makes components. Then the members outside the
+    shingle's most frequent component are compared with all others (once, at the first large
+    shingle that they share, and inside the join, so only links become rows): pairs inside one component add
+    nothing, so no link between groups is lost, and a family of n near copies that belong together
+    costs about n comparisons, not n * n.
     """
     rows = text_rows(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
-    fps = materialise(fingerprints(rows.withColumnRenamed("id", "doc_id"), NEAR_WORDS, NEAR_LANES).groupBy("doc_id").agg(F.min("fp").alias("fp")).withColumnRenamed("doc_id", "id"))
-    same = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    copies = fps.join(same, "fp").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    keys = segment_keys(same.select(F.col("low").alias("id"), "fp"))
+    first = prefix_rows(rows, words, similarity, common_shingles(rows, words))
+    shared = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(first.join(shared, "key"))
+    few = met.where(F.col("n") <= small)
+    ends = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _fits(similarity))
+    ends = ends.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    many = met.where(F.col("n") > small).select("key", "id", "at", "size")
     drawn = F.xxhash64("id", "key")
-    tables = keys.where("home").groupBy("key").agg(F.min_by("id", drawn).alias("x"), F.max_by("id", drawn).alias("y"), F.count(F.lit(1)).alias("n"))
-    met = materialise(keys.join(tables, "key").where("id <> x OR id <> y"))
-    few = met.where("n <= 2")
-    ends = few.select(F.col("id").alias("a"), F.col("x").alias("b")).unionByName(few.select(F.col("id").alias("a"), F.col("y").alias("b")))
+    tables = many.groupBy("key").agg(F.min_by("id", drawn).alias("x"), F.max_by("id", drawn).alias("y"))
+    drawn = materialise(many.join(tables, "key").select("key", "id", "x", "y"))
     for end in ("x", "y"):
-        one = met.where((F.col("n") > 2) & (F.col(end) != F.col("id"))).groupBy("id", F.shiftright("key", NEAR_SIZE).alias("seg"))
+        one = drawn.where(F.col(end) != F.col("id")).groupBy("id", F.pmod("key", F.lit(4)).alias("part"))
         ends = ends.unionByName(one.agg(F.min_by(end, F.xxhash64("id", end)).alias("b")).select(F.col("id").alias("a"), "b"))
-    links = _verified(ends.unionByName(copies), fps, rows, words, similarity)
+    links = _verified(ends, rows, words, similarity)
 
     comp = components(links)
-    many = met.where("n > 2").select("key", "id", "home")
     many = many.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    often = many.where("home").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    many = materialise(many.join(often, "key"))
-    ids = many.select("id").distinct()
-    seg = [F.conv(F.hex(F.substring("fp", 3 * k + 1, NEAR_SIZE // 8)), 16, 10).cast("int").alias(f"s{k}") for k in range(NEAR_SEGMENTS)]
-    own = shingle_sets(rows.join(ids, "id", "left_semi"), words).join(fps, "id").select("id", "shingles", *seg)
+    often = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    many = materialise(many.join(often.where("roots > 1").drop("roots"), "key"))
+    keys = many.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("at", "key")))["key"].alias("keys"))
+    own = shingle_sets(rows.join(many.select("id").distinct(), "id", "left_semi"), words).join(keys, "id")
     side = materialise(many.join(own, "id").withColumn("out", F.col("root") != F.col("main")))
-    x, y = side.alias("x"), side.where("home").alias("y")
+    x, y = side.alias("x"), side.alias("y")
     c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
-    bits = lambda k: F.bit_count(c(f"s{k}")[0].bitwiseXOR(c(f"s{k}")[1]))
-    table = F.shiftright(F.col("x.key"), NEAR_SIZE)
-    fresh = reduce(lambda p, q: p & q, ((table <= k) | (bits(k) > 1) for k in range(NEAR_SEGMENTS)))  # met in no earlier segment
-    (sx, sy), (rx, ry) = c("shingles"), c("root")
-    sizes = F.least(F.size(sx), F.size(sy)) >= F.lit(similarity) * F.greatest(F.size(sx), F.size(sy))
-    alike = _alike(sx, sy, similarity)
-    outside = F.col("x.out") | F.col("y.out")
+    (kx, ky), (rx, ry) = c("key"), c("root")
+    outside = F.col("x.out") & (~F.col("y.out") | (F.col("x.id") < F.col("y.id")))
+    first_met = F.element_at(F.array_intersect(*c("keys")), 1) == kx
     # The whole test is the join's condition: pairs that fail it are never rows.
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & outside & (rx != ry) & sizes & fresh & alike)
+    more = x.join(y, (kx == ky) & outside & (rx != ry) & _fits(similarity) & first_met & _alike(*c("shingles"), similarity))
     more = materialise(more.select(F.least(*c("id")).alias("a"), F.greatest(*c("id")).alias("b")).distinct())
     return components(links.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))

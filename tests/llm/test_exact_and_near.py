@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -123,3 +124,20 @@ def test_near_groups(spark):
     got = {r.doc_id: r.group_id for r in simhash.near_groups(docs(spark, rows)).collect() if r.doc_id != r.group_id}
     assert got == want and len(want) > 30
     assert simhash.near_groups(docs(spark, [])).count() == 0
+
+
+def test_near_groups_of_block_edits(spark):
+    """One block appended, cut off or replaced: similarity from 0.76 to 0.9, alone and in a family."""
+    r, rows = random.Random(7), []
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n)]
+    for k in range(40):
+        base, n = text(200), r.choice((24, 34, 44, 48, 54))
+        at = r.randint(0, 200 - n)
+        rows += [(4 * k, base), (4 * k + 1, base + text(n)), (4 * k + 2, base[:-n]), (4 * k + 3, base[:at] + text(n // 2) + base[at + n // 2 :])]
+    common = text(180)  # a family whose members have a block of their own
+    rows += [(1000 + k, common + text(r.choice((20, 25, 60)))) for k in range(40)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    want = jaccard_groups(rows)
+    for small in (simhash.SMALL, 3):
+        got = {r.doc_id: r.group_id for r in simhash.near_groups(docs(spark, rows), small=small).collect() if r.doc_id != r.group_id}
+        assert got == want and len(want) > 60
