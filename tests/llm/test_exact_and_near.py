@@ -141,3 +141,19 @@ def test_near_groups_of_block_edits(spark):
     for small in (simhash.SMALL, 3):
         got = {r.doc_id: r.group_id for r in simhash.near_groups(docs(spark, rows), small=small).collect() if r.doc_id != r.group_id}
         assert got == want and len(want) > 60
+
+
+def test_near_groups_ask_for_no_distance(spark):
+    """Pairs of similarity 0.8 whose fingerprints differ in 41 bits and more."""
+    r, rows, bits = random.Random(11), [], []
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n)]
+    prints = lambda t: int.from_bytes(simhash.fingerprint(simhash.shingle_hashes(" ".join(t).encode(), 2), 4))
+    while len(rows) < 24:
+        base = text(200)
+        other = base + text(45)
+        n = bin(prints(base) ^ prints(other)).count("1")
+        if n > 40:
+            bits.append(n)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(docs(spark, rows)).collect() if r.doc_id != r.group_id}
+    assert got == {k + 1: k for k in range(0, 24, 2)} and max(bits) > 44
