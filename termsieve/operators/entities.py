@@ -38,7 +38,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents that hold more than white space."""
+    """Lines of documents that hold more than white space, cut to 5,000 characters as in the SQL."""
     d = table(spark, sf_dir, "documents")
     rows = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("doc_id", F.col("pos").cast("long").alias("pos"), T.clean(F.col("raw")).alias("text"))
     return rows.where("text <> ''").select(
