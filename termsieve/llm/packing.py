@@ -1,11 +1,17 @@
 """Sequence packing by the online sum-of-squares rule.
 
-Each partition packs its own documents; nothing is shuffled and sequence numbers carry the partition
-number, so a retried task makes the same sequences. A level array counts the open windows at every
-fill. A document (what is left of it after whole windows are cut off) goes to the fill level, or to
-a new window, that makes the sum of the squared counts smallest; of equal choices the fullest window
-is taken. When the partition ends, the pieces of the windows still open are joined and cut again to
-full windows, and the last rest to windows whose fills are powers of two, so no window needs padding.
+Each partition packs its own documents. A level array counts the open windows at every fill. A
+document (what is left of it after whole windows are cut off) goes to the fill level, or to a new
+window, that makes the sum of the squared counts smallest; of equal choices the fullest window is
+taken. The documents of windows still open when the partition ends are carried on: they are written
+with their ids, dealt to as many tasks as they need (TASK_TOKENS each), and packed again by the same
+rule, round after round, until one task holds all that is left (or a round fills few windows more,
+as with texts of which no two fit in a window). Only the last round cuts: the pieces of its open
+windows are joined and cut to full windows, and the rest to windows whose fills are powers of two,
+so no window needs padding.
+
+A round's table is written before the next one begins, and its order is that of the rows' slots, so
+sequence numbers (round, partition, count) do not change when a task is run again.
 
 Defined results: null or empty text is one token (the end id); ids may be null or repeated; an empty
 table gives no pieces; a text of any length is cut to whole windows and a rest.
@@ -23,15 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .base import text_rows
+from .base import fresh_path, text_rows
 from .kept import LETTERS, Kept
 from .nptext import buffers
 
 WINDOW = 4096
 END_ID = 2
+#: Tokens of open windows that are packed in one task of a later round, about.
+TASK_TOKENS = 1 << 23
 #: Pieces whose ids a worker keeps.
-KEPT = 600_000
+KEPT = 1_200_000
 
 
 class Packer:
@@ -53,10 +62,11 @@ class Packer:
         cost[1:][n[1 : top + 1] == 0] = np.iinfo(np.int64).max
         return top - int(np.argmin(cost[::-1]))
 
-    def add(self, key, ids: np.ndarray) -> Iterator[list]:
+    def add(self, key, ids: np.ndarray, start: int = 0) -> Iterator[list]:
+        """start: the item's place in its document."""
         w, at = self.window, 0
         while len(ids) - at >= w:
-            yield [(key, at, ids[at : at + w])]
+            yield [(key, start + at, ids[at : at + w])]
             at += w
         size = len(ids) - at
         if not size:
@@ -65,16 +75,20 @@ class Packer:
         into = self.open[fill].pop() if fill else []
         if fill:
             self.level[fill] -= 1
-        into.append((key, at, ids[at:].copy()))
+        into.append((key, start + at, ids[at:].copy()))
         if fill + size == w:
             yield into
         else:
             self.level[fill + size] += 1
             self.open[fill + size].append(into)
 
+    def left(self) -> list:
+        """The items of the windows still open."""
+        return [item for fill in range(self.window, 0, -1) for into in self.open[fill] for item in into]
+
     def close(self) -> Iterator[list]:
         """Windows of what is still open: full ones, then powers of two."""
-        rest = [item for fill in range(self.window, 0, -1) for into in self.open[fill] for item in into]
+        rest = self.left()
         left = sum(len(i[2]) for i in rest)
         self.__init__(self.window)
         goal, into, room = 0, [], 0
@@ -96,8 +110,8 @@ class WordIds:
     """Ids of texts by the tokenizers library.
 
     This vocabulary drops white space, lower-cases, and cuts between letters and punctuation, so a
-    text's ids are those of its pieces one after the other; each distinct piece is encoded once and
-    kept. ASCII letters are lower-cased first, which the vocabulary would do anyway, but where a
+    text's ids are those of its pieces between white space one after the other, and a piece's those of
+    its words and of what stands between them; each distinct piece is encoded once and kept. ASCII letters are lower-cased first, which the vocabulary would do anyway, but where a
     text may hold the (lower-case) string of a special token.
     """
 
@@ -123,8 +137,17 @@ class WordIds:
         self.kept = Kept(self.learn, KEPT)
 
     def learn(self, new: list[bytes]) -> list[bytes]:
-        """The ids of each piece. Words of ASCII or Latin-1 letters are encoded many at a time: each is
-        one pretoken, and its last token is one that ends a word."""
+        """The ids of each piece: those of its words and what stands between them."""
+        find, young, old = self.PIECE.findall, self.kept.young, self.kept.old
+        parts = {p: find(p) for p in new if not p.isalpha()}
+        need = {x for some in parts.values() for x in some if x not in young and x not in old}
+        out = self.words(sorted(need.union(p for p in new if p not in parts)))
+        ids = lambda x: out.get(x) or young.get(x) or old.get(x) or b""
+        return [b"".join(map(ids, parts[p])) if p in parts else out[p] for p in new]
+
+    def words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Words of ASCII or Latin-1 letters are encoded many at a time: each is one pretoken, and its
+        last token is one that ends a word."""
         out: dict[bytes, bytes] = {}
         whole = self.WORD.fullmatch
         plain = [p for p in new if p.isalpha() and p.islower()]
@@ -141,26 +164,32 @@ class WordIds:
         for i in range(0, len(rest), 4096):
             got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest[i : i + 4096]], add_special_tokens=False)
             out.update(zip(rest[i : i + 4096], [np.array(e.ids, dtype="<u4").tobytes() for e in got]))
-        return [out[p] for p in new]
+        return out
 
     def encode(self, raws: list[bytes]) -> Iterator[np.ndarray]:
-        find, nothing = self.PIECE.findall, None
         for lo in range(0, len(raws), 64):
-            some = [find(r if b"<|" in r else r.lower()) for r in raws[lo : lo + 64]]
+            some = [(r if b"<|" in r else r.lower()).split() for r in raws[lo : lo + 64]]
             got = [list(map(self.kept.young.get, s)) for s in some]
             # What is not there is computed for all these texts at once.
-            new = {s[i] for s, g in zip(some, got) if nothing in g for i, x in enumerate(g) if x is nothing}
+            gaps = [list(_nones(g)) for g in got]
+            new = {s[i] for s, at in zip(some, gaps) for i in at}
             if new:
                 kept = self.kept.of(new)
-                for s, g in zip(some, got):
-                    if nothing in g:
-                        for i, x in enumerate(g):
-                            if x is nothing:
-                                g[i] = kept[s[i]]
+                for s, g, at in zip(some, got, gaps):
+                    for i in at:
+                        g[i] = kept[s[i]]
             for g in got:
                 yield np.frombuffer(b"".join(g), dtype="<u4")
 
 
+def _nones(items: list) -> Iterator[int]:
+    """Places of None."""
+    at = -1
+    for _ in range(items.count(None)):
+        at = items.index(None, at + 1)
+        yield at
+
+
 _ids: dict[str, WordIds] = {}
 
 
@@ -170,43 +199,89 @@ def word_ids(path: str) -> WordIds:
     return _ids[path]
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("slot", pa.int64()), ("ids", pa.binary())])
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+STORED = PIECES + ", slot long, ids binary"
 
 
-def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def _windows(items: Iterator, packer: Packer, number: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of the windows that items ((doc_id, tokens), start, ids) fill; of open ones the pieces
+    with their ids and a slot instead of a place, or in the last round the windows cut from them."""
+    base, made, slots = number << 56 | TaskContext.get().partitionId() << 36, 0, 0
+    rows: list[tuple] = []
+    size = 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+
+    def full():
+        for key, ids, start in items:
+            yield from packer.add(key, ids, start)
+        if last:
+            yield from packer.close()
 
-    def run(batches):
-        base, made = TaskContext.get().partitionId() << 36, 0
-        coder, packer = word_ids(vocabulary_path), Packer(window)
-        rows: list[tuple] = []
-
-        def out(windows):
-            nonlocal made
-            for items in windows:
-                at = 0
-                for (doc, total), start, ids in items:
-                    rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + made, at))
-                    at += len(ids)
-                made += 1
-
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+    for window in full():
+        at = 0
+        for (doc, total), start, ids in window:
+            rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + made, at, None, None))
+            at += len(ids)
+        made += 1
+        if len(rows) >= 5000:
+            yield batch()
             rows.clear()
-            return batch
+    for (doc, total), start, ids in () if last else packer.left():
+        raw = ids.tobytes()
+        rows.append((doc, start, len(ids), zlib.crc32(raw), total, None, None, base + slots, raw))
+        slots, size = slots + 1, size + len(raw)
+        if len(rows) >= 5000 or size >= 1 << 22:
+            yield batch()
+            rows.clear()
+            size = 0
+    if rows:
+        yield batch()
+
+
+def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, end_id: int = END_ID, tokens: int = TASK_TOKENS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    spark = docs.sparkSession
 
-        end = np.array([end_id], dtype="<u4")
+    def encoded(batches):
+        coder, end = word_ids(vocabulary_path), np.array([end_id], dtype="<u4")
         for batch in batches:
             data, off = buffers(batch.column("text"))
             raw = data.tobytes()
             texts = [raw[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts)):
                 ids = np.concatenate([ids, end])
-                out(packer.add((doc, len(ids)), ids))
-                if len(rows) >= 5000:
-                    yield flush()
-        out(packer.close())
-        if rows:
-            yield flush()
-
-    return text_rows(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+                yield (doc, len(ids)), ids, 0
+
+    def carried(batches):
+        for batch in batches:
+            for doc, total, start, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "start", "ids"))):
+                yield (doc, total), np.frombuffer(raw, dtype="<u4"), start
+
+    def first(batches):
+        return _windows(encoded(batches), Packer(window), 0, False)
+
+    path = fresh_path(spark, "pieces-0")
+    text_rows(docs).mapInArrow(first, STORED).write.parquet(path)
+    paths, before = [path], None
+    while True:
+        now = spark.read.schema(STORED).parquet(paths[-1]).where("sequence_id IS NULL")
+        left = now.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        if not left:
+            break
+        tasks = -(-left // tokens)
+        # Over when one task holds what is left, or when another round would fill few windows more.
+        number, last = len(paths), tasks == 1 or before is not None and 4 * left > 3 * before
+        path = fresh_path(spark, f"pieces-{number}")
+
+        def again(batches, number=number, last=last):
+            return _windows(carried(batches), Packer(window), number, last)
+
+        now.repartition(int(tasks), "slot").sortWithinPartitions("slot").mapInArrow(again, STORED).write.parquet(path)
+        paths.append(path)
+        before = left
+        if last:
+            break
+    return spark.read.schema(STORED).parquet(*paths).where("sequence_id IS NOT NULL").select(*(x.split()[0] for x in PIECES.split(", ")))

@@ -14,7 +14,7 @@ from termsieve.llm import bpe, chat, packing, warc
 from termsieve.llm.kept import Kept
 from termsieve.llm.registry import HARD
 
-from .edge import TEXTS, docs, key
+from .edge import PROSE, TEXTS, docs, key
 
 BYTE, WORDS = str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("word_bpe_49k.json"))
 ODD = ["", "  ", "a\n\n  b\tc  ", "x y  \nz", "don't we'll I'm <|endoftext|> x<|endoftext|>", "<|ENDOFTEXT|> A", "aaaaaaaaaaa aaaaaaa", "日本語 テスト 123456 ½", "é" * 50, "a" * 5000, "\x1c\x1d a\x1eb", "  x  　  ", "Σίσυφος ΣΑΣ İstanbul é ﬁ", "\r\n \r\n x", "word..., (word). \"word\" é. »é». a.b,c ***", "'s 're don't.", "\x85b \x0b\x0c", "A\u030a a\u0301. n\u0303,"]
@@ -68,14 +68,19 @@ def check_packing(rows, got, window=4096):
     by_doc: dict = {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
+    texts: dict = {}
     for i, t in rows:
-        ids = np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], dtype="<u4")
-        pieces = sorted((r for r in by_doc[i] if r.doc_tokens == len(ids)), key=lambda r: r.start)
-        at = 0
-        for p in pieces:
-            if p.start == at and zlib.crc32(ids[at : at + p.length].tobytes()) == p.ids_crc32:
-                at += p.length
-        assert at == len(ids)
+        texts.setdefault(i, []).append(np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], dtype="<u4"))
+    assert set(by_doc) == set(texts)
+    for i, some in texts.items():
+        for n in {len(x) for x in some}:
+            equal = [x for x in some if len(x) == n]
+            covered = np.zeros(n, int)
+            for p in by_doc[i]:
+                if p.doc_tokens == n:
+                    covered[p.start : p.start + p.length] += 1
+                    assert p.ids_crc32 in {zlib.crc32(x[p.start : p.start + p.length].tobytes()) for x in equal}
+            assert (covered == len(equal)).all()
     by_sequence: dict = {}
     for r in got:
         by_sequence.setdefault(r.sequence_id, []).append(r)
@@ -91,14 +96,30 @@ def check_packing(rows, got, window=4096):
 
 
 def test_packing(spark):
-    rows = [r for r in TEXTS if r[0] != 6]
-    got = packing.pack(docs(spark, rows).repartition(3), WORDS).collect()
-    assert check_packing(rows, got) == 0
+    got = packing.pack(docs(spark, TEXTS).repartition(3), WORDS).collect()
+    assert check_packing(TEXTS, got) == 0
     assert packing.pack(docs(spark, []), WORDS).count() == 0
     one = packing.pack(docs(spark, [(1, None), (1, None)]), WORDS).collect()
     assert [(r.start, r.length, r.doc_tokens) for r in one] == [(0, 1, 1)] * 2
 
 
+@pytest.mark.parametrize("tokens", [20_000, 1 << 23])
+def test_packing_carries_open_windows_over_partitions(spark, tokens):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices(PROSE, k=r.randint(1, 9)))) for i in range(240)]
+    packed = packing.pack(docs(spark, rows).repartition(12), WORDS, tokens=tokens)
+    got = packed.collect()
+    assert check_packing(rows, got) == 0
+    total = {}
+    for x in got:
+        total[x.sequence_id] = total.get(x.sequence_id, 0) + x.length
+    assert sum(n < 4096 for n in total.values()) <= 12 * -(-sum(total.values()) // tokens)
+    assert max(x.sequence_id >> 56 for x in got) >= 1
+    cut = {x.doc_id for x in got if x.doc_tokens <= 4096 and x.length < x.doc_tokens}
+    assert tokens == 20_000 or len(cut) < 240 / 3
+    assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, got))
+
+
 def test_sum_of_squares_choice():
     p = packing.Packer(64)
     r, open_ = random.Random(4), []
