@@ -5,29 +5,38 @@ then matched per segment of the fingerprint: every class puts its segment value
 table, and looks up the small Hamming ball around it; matches are verified on the complete
 distance. Looking up is shared between the two members of a pair by the parity of the segment
 (values one bit apart differ in parity): only even ones enumerate the ball, so each pair is found
-from one side and a segment of s bits costs s/2 + 1 rows a class on average.
-
-Radius and segments follow the pigeonhole principle where completeness is promised: two fingerprints
-of 64 bits at distance 2 or less agree to 1 bit in the first half or entirely in the second.
-
-Defined results: null or empty text has fingerprint zero and is linked like any other; a null id
-keeps its row, is never a component's name unless all its ids are null; repeated rows share a
-component; extra columns are ignored.
+from one side.
+
+Radius and segments follow the pigeonhole principle: two fingerprints of 64 bits at distance 2 or
+less agree to 1 bit in the first half or entirely in the second. A table entry with more than CROWD
+classes is not compared pairwise: its members also enumerate the ball of radius 1 in the other half,
+and meet there. Two values at distance 2 or less have a neighbour in common, and only so many
+different fingerprints can meet at one neighbour, so the work is linear in the classes whatever
+family of texts they come from.
+
+Defined results of `link_groups`: null or empty text has fingerprint zero and is linked like any
+other; rows of null id take part like all others, and a component's name is the smallest id in it,
+null only if all its ids are null; rows that share an id are rows of their own; extra columns are
+ignored; an empty table gives an empty result. Those of `near_groups` are stated there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise, text_rows
+from .base import fresh_path, materialise, spare, text_rows
 from .components import components
-from .nptext import buffers, mix
+from .nptext import Chunk, buffers, chunks, mix
 
 SEED = 42
+#: Classes of one table entry that are compared pairwise, at most.
+CROWD = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -61,84 +70,60 @@ def fingerprint(h: np.ndarray, lanes: int = 1) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
-    """doc_id and fp (binary, 8 * lanes bytes) of every row."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id and fp (the 64 bits as a long) of every row."""
 
     def run(batches):
         for batch in batches:
             data, off = buffers(batch.column("text"))
             raw = data.tobytes()
-            fp = [fingerprint(shingle_hashes(raw[i:j], words), lanes) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.binary())], ["doc_id", "fp"])
+            fp = b"".join([fingerprint(shingle_hashes(raw[i:j], words)) for i, j in zip(off[:-1].tolist(), off[1:].tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.frombuffer(fp, dtype=">i8").astype(np.int64))], ["doc_id", "fp"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, fp binary")
+    return text_rows(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def _pack_rows(columns, kinds, names):
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+def _ball(value: Column, bits: int) -> Column:
+    """The value and all that differ from it in one of its low bits."""
+    return F.array(value, *(value.bitwiseXOR(F.lit(1 << i)) for i in range(bits)))
+
+
+def near_pairs(classes: DataFrame, most: int = 2, crowd: int = CROWD) -> DataFrame:
+    """(a, b): pairs of fingerprints (fp, all different) at distance 1..2, from the tables of both halves."""
+    high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    entry = lambda seg, key, home: F.struct(F.lit(seg).alias("seg"), key.alias("key"), F.lit(home).alias("home"))
+    own = F.array(entry(0, high, True), entry(1, low, True))
+    around = F.transform(F.slice(_ball(high, 32), 2, 32), lambda k: entry(0, k, False))
+    rows = classes.select("fp", F.explode(F.when(F.bit_count(high) % 2 == 0, F.concat(own, around)).otherwise(own)).alias("e")).select("e.*", "fp")
+    rows = materialise(rows)
+    full = materialise(rows.where("home").groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).drop("n"))
+    # In a full entry members meet by a neighbour of their other half.
+    other = F.when(F.col("seg") == 0, low).otherwise(high)
+    fine = rows.join(full, ["seg", "key"], "left_semi").select("seg", "key", "home", "fp", F.explode(_ball(other, 32)).alias("fine"))
+    few = rows.join(full, ["seg", "key"], "left_anti").withColumn("fine", F.lit(-1).cast("long"))
+    at = ["seg", "key", "fine"]
+
+    def met(some: DataFrame) -> DataFrame:
+        left = some.select(*at, F.col("fp").alias("x"), F.col("home").alias("visit_home"))
+        right = some.where("home").select(*at, F.col("fp").alias("y"))
+        pairs = left.join(right, at).where("x < y OR NOT visit_home AND x > y")
+        return pairs.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    return met(few).unionByName(met(fine)).distinct()
 
 
-def lookups(classes: DataFrame, segments: int, balls: list[int]) -> DataFrame:
-    """(seg, key, fp, home): table entries (home) and the looked-up keys of each class.
+def link_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id: 3-word shingles, 64 bits, links at 2 bits or fewer.
 
-    balls: for each segment the radius looked up, 0 or 1. A radius of 1 is enumerated by classes of
-    even parity only; equal values meet as two entries.
+    Components are those of fingerprints; ids come in last, as the smallest of each component.
     """
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            fps = batch.column("fp")
-            raw = np.frombuffer(b"".join(fps.to_pylist()), dtype=np.uint8).reshape(n, -1)
-            bits = np.unpackbits(raw, axis=1)
-            size = bits.shape[1] // segments
-            for t in range(segments):
-                part = bits[:, t * size : (t + 1) * size].astype(np.int64)
-                weight = np.int64(1) << np.arange(size - 1, -1, -1, dtype=np.int64)
-                value = part @ weight
-                rows = [(value, np.arange(n), np.ones(n, bool))]
-                if balls[t]:
-                    even = np.flatnonzero(part.sum(axis=1) % 2 == 0)
-                    rows.append(((value[even, None] ^ weight).ravel(), np.repeat(even, size), np.zeros(len(even) * size, bool)))
-                for key, at, home in rows:
-                    for i in range(0, len(key), 50_000):
-                        s = slice(i, i + 50_000)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(key[s]), t, np.int32)), pa.array(key[s]), fps.take(pa.array(at[s])), pa.array(home[s])],
-                            ["seg", "key", "fp", "home"],
-                        )
-
-    return classes.select("fp").mapInArrow(run, "seg int, key long, fp binary, home boolean")
-
-
-def distance(a, b, lanes: int):
-    """Hamming distance of two binary fingerprints, in the JVM."""
-    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    return sum((F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(lanes)), F.lit(0))
-
-
-def near_pairs(classes: DataFrame, lanes: int, segments: int, balls: list[int], most: int) -> DataFrame:
-    """(fp_a, fp_b, bits): pairs of classes that some segment's table matches, with their distance."""
-    rows = materialise(lookups(classes, segments, balls))
-    left = rows.select("seg", "key", F.col("fp").alias("x"), F.col("home").alias("visit_home"))
-    right = rows.where("home").select("seg", "key", F.col("fp").alias("y"))
-    met = left.join(right, ["seg", "key"]).where("NOT visit_home OR x < y")
-    met = met.select(F.least("x", "y").alias("fp_a"), F.greatest("x", "y").alias("fp_b"))
-    met = met.withColumn("bits", distance(F.col("fp_a"), F.col("fp_b"), lanes)).where(F.col("bits") <= most)
-    return met.distinct()
-
-
-def link_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id: 3-word shingles, 64 bits, links at 2 bits or fewer."""
-    rows = materialise(fingerprints(docs, 3, 1))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    pairs = near_pairs(classes, 1, 2, [1, 0], 2)
-    ids = classes.select("fp", F.coalesce("low", F.lit(2**63 - 1)).alias("low"))
-    edges = pairs.join(ids.select(F.col("fp").alias("fp_a"), F.col("low").alias("a")), "fp_a").join(ids.select(F.col("fp").alias("fp_b"), F.col("low").alias("b")), "fp_b")
-    comp = components(edges.select("a", "b"))
-    named = classes.join(comp, classes["low"] == comp["node"], "left").select("fp", F.coalesce("root", "low").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    rows = materialise(fingerprints(docs, 3))
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    linked = components(near_pairs(classes, crowd=crowd)).join(classes.withColumnRenamed("fp", "node"), "node")
+    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = linked.join(lows, "root").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked"))
+    named = classes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- near-duplicate groups by word shingles ----------------------------------------------------
@@ -148,13 +133,28 @@ def link_groups(docs: DataFrame) -> DataFrame:
 SAMPLE, COMMON, MOST_COMMON = 16, 3, 1 << 14
 #: Members of a shingle up to which all are compared with each other at once.
 SMALL = 64
+#: Bytes of text whose shingles are made at once, and parts that a common shingle's rows are dealt to.
+CHUNK, SALTS = 1 << 18, 1 << 12
 
 
-def _distinct_hashes(batch, words: int):
-    """The sorted distinct shingle hashes (64 bits) of each text of a batch."""
-    data, off = buffers(batch.column("text"))
-    raw = data.tobytes()
-    return (np.unique(shingle_hashes(raw[i:j], words)) for i, j in zip(off[:-1].tolist(), off[1:].tolist()))
+def _pack_rows(columns, kinds, names):
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes (64 bits) of each text's shingles; a shorter text is one shingle."""
+    for _, _, data, off in chunks(column, CHUNK):
+        c = Chunk(data, off, lower=True)
+        h = c.words()
+        grams, at = c.word_grams(h, words)
+        bounds = np.searchsorted(at, c.word_off)
+        for i in range(c.n):
+            n = c.n_words[i]
+            if n >= words:
+                yield np.unique(grams[bounds[i] : bounds[i + 1]])
+            else:
+                short = xxhash.xxh64_intdigest(h[c.word_off[i] : c.word_off[i + 1]].tobytes(), SEED)
+                yield np.full(min(n, 1), short, dtype=np.uint64)
 
 
 def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
     def run(batches):
         for batch in batches:
-            for h in _distinct_hashes(batch, words):
+            for h in _sets(batch.column("text"), words):
                 for i in range(0, len(h), BLOCK):
                     yield pa.RecordBatch.from_arrays([pa.array(h[i : i + BLOCK].view(np.int64))], ["key"])
 
@@ -173,48 +173,77 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return hashes[order], np.array([r.n for r in top], dtype=np.int64)[order]
 
 
+PREFIX = "key long, salt int, id long, at int, size int"
+PREFIX_KINDS, PREFIX_NAMES = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), [x.split()[0] for x in PREFIX.split(", ")]
+
+
 def prefix_rows(rows: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, id, at, size): the first shingles of each text in one order of all shingles.
+    """(key, salt, id, at, size): the first shingles of each text in one order of all shingles.
 
     A text of n distinct shingles shares at least similarity * n of them with any text alike, so of
-    two texts alike the first n - similarity * n + 1 (rounded up) have a shingle in common.
+    two texts alike the first n - similarity * n + 1 (rounded up) have a shingle in common. Common
+    shingles have a salt above 0, by which their rows are spread.
     """
     hashes, counts = common
-    kinds, names = (pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["key", "id", "at", "size"]
 
     def run(batches):
         for batch in batches:
             out, held = [], 0
-            for k, h in zip(batch.column("id").to_pylist(), _distinct_hashes(batch, words)):
+            for k, h in zip(batch.column("id").to_pylist(), _sets(batch.column("text"), words)):
                 n = len(h)
                 if not n:
                     continue
+                times = np.zeros(n, np.int64)
                 if len(hashes):
                     place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    h = h[np.argsort(np.where(hashes[place] == h, counts[place], 0), kind="stable")]
-                h = h[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64)
-                out.append((h, np.full(len(h), k, np.int64), np.arange(len(h), dtype=np.int32), np.full(len(h), n, np.int32)))
-                held += len(h)
+                    times = np.where(hashes[place] == h, counts[place], 0)
+                    order = np.argsort(times, kind="stable")
+                    h, times = h[order], times[order]
+                m = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                out.append((h[:m].view(np.int64), np.where(times[:m] > 0, 1 + k % SALTS, 0), np.full(m, k, np.int64), np.arange(m, dtype=np.int32), np.full(m, n, np.int32)))
+                held += m
                 if held >= BLOCK:
-                    yield _pack_rows([np.concatenate(c) for c in zip(*out)], kinds, names)
+                    yield _pack_rows([np.concatenate(c) for c in zip(*out)], PREFIX_KINDS, PREFIX_NAMES)
                     out, held = [], 0
             if out:
-                yield _pack_rows([np.concatenate(c) for c in zip(*out)], kinds, names)
+                yield _pack_rows([np.concatenate(c) for c in zip(*out)], PREFIX_KINDS, PREFIX_NAMES)
 
-    return rows.select("id", "text").mapInArrow(run, "key long, id long, at int, size int")
+    return rows.select("id", "text").mapInArrow(run, PREFIX)
+
+
+def shared_rows(first: DataFrame) -> DataFrame:
+    """(key, id, at, size) of prefix rows whose key another row has, by one shuffle: in the order of the
+    keys a row without an equal beside it goes. Rows of common shingles all stay."""
+
+    def run(batches):
+        last, waiting = None, None  # the key before, and its row if it has not been given
+        for batch in batches:
+            table = [np.asarray(batch.column(c)) for c in PREFIX_NAMES]
+            key = table[0]
+            if not len(key):
+                continue
+            same = np.zeros(len(key) + 1, dtype=bool)
+            same[0], same[1:-1] = last is not None and key[0] == last, key[1:] == key[:-1]
+            stay = same[:-1] | same[1:] | (table[1] > 0)
+            out = [a[stay] for a in table]
+            if waiting is not None and same[0]:
+                out = [np.concatenate(x) for x in zip(waiting, out)]
+            if len(out[0]):
+                yield _pack_rows([out[c] for c in (0, 2, 3, 4)], PREFIX_KINDS[:1] + PREFIX_KINDS[2:], ["key", "id", "at", "size"])
+            last, waiting = key[-1], None if stay[-1] else [a[-1:] for a in table]
+
+    return first.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "key long, id long, at int, size int")
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the sorted distinct hashes (32 bits) of each text's shingles."""
+    """(id, shingles): the sorted distinct hashes of each text's shingles."""
 
     def run(batches):
         for batch in batches:
-            data, off = buffers(batch.column("text"))
-            raw = data.tobytes()
-            sets = [np.unique(shingle_hashes(raw[i:j], words).astype(np.uint32)).view(np.int32) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int32()))], ["id", "shingles"])
+            sets = [h.view(np.int64) for h in _sets(batch.column("text"), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return rows.mapInArrow(run, "id long, shingles array<int>")
+    return rows.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def _alike(x, y, similarity: float):
@@ -239,12 +268,24 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
     return materialise(near.join(sa, "a").join(sb, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"))
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
-    """(doc_id, group_id) of rows that have a near copy: group_id is the group's smallest doc_id.
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own in the column `name`: the id where ids are unique, else one
+    that is written with the rows to the shared folder."""
+    spark, key = docs.sparkSession, F.col("doc_id").cast("long")
+    twice = docs.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR k IS NULL")
+    if twice.isEmpty():
+        return docs.withColumn(name, key)
+    path = fresh_path(spark, "numbered")
+    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
+    """(node, root) of rows (id, text) that have a near copy: root is the smallest id of the group.
 
     Two rows are linked if the Jaccard similarity of their sets of `words`-word shingles reaches
-    `similarity`; groups are connected components. Rows of null id are left out; rows of one id count
-    as one, linked by any of its texts; a text without words is linked to nothing.
+    `similarity`; groups are connected components. A text of fewer words is one shingle, a text
+    without words is linked to nothing. Equal 64-bit hashes count as equal shingles.
 
     Candidates are complete: two texts alike have a shingle in common among their first ones
     (prefix_rows), and the first such shingle is compared. Most shingles belong to one text and go;
@@ -255,10 +296,9 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, small:
     nothing, so no link between groups is lost, and a family of n near copies that belong together
     costs about n comparisons, not n * n.
     """
-    rows = text_rows(docs).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
-    first = prefix_rows(rows, words, similarity, common_shingles(rows, words))
-    shared = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(first.join(shared, "key"))
+    met = materialise(shared_rows(prefix_rows(rows, words, similarity, common_shingles(rows, words))))
+    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(met.join(shared, "key"))
     few = met.where(F.col("n") <= small)
     ends = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _fits(similarity))
     ends = ends.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
@@ -275,6 +315,8 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, small:
     many = many.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     often = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
     many = materialise(many.join(often.where("roots > 1").drop("roots"), "key"))
+    if many.isEmpty():
+        return comp
     keys = many.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("at", "key")))["key"].alias("keys"))
     own = shingle_sets(rows.join(many.select("id").distinct(), "id", "left_semi"), words).join(keys, "id")
     side = materialise(many.join(own, "id").withColumn("out", F.col("root") != F.col("main")))
@@ -286,4 +328,33 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, small:
     # The whole test is the join's condition: pairs that fail it are never rows.
     more = x.join(y, (kx == ky) & outside & (rx != ry) & _fits(similarity) & first_met & _alike(*c("shingles"), similarity))
     more = materialise(more.select(F.least(*c("id")).alias("a"), F.greatest(*c("id")).alias("b")).distinct())
-    return components(links.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    return components(links.unionByName(more))
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
+    """(doc_id, group_id), one row for each row that has a near copy: group_id is the group's smallest id.
+
+    Rows are compared by themselves, whatever their ids: rows of null id and rows that share an id
+    take part like all others, repeated rows are near copies of each other, and group_id is null
+    only if all ids of the group are. Rows that have none, and texts without words, are left out.
+    """
+    own = spare(docs, "row")
+    rows = numbered(docs, own).select(F.col(own).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), _text())
+    groups = near_links(rows, words, similarity, small).join(rows.select(F.col("id").alias("node"), "doc_id"), "node")
+    return groups.join(groups.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("doc_id", "group_id")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
+    """The rows, with all their columns, that stay: of each group of near copies the one of smallest id
+    (null last; of equal ids one row), and all rows without near copies."""
+    own = spare(docs, "row")
+    rows = numbered(docs, own)
+    texts = rows.select(F.col(own).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), _text())
+    groups = near_links(texts, words, similarity, small).join(texts.select(F.col("id").alias("node"), "doc_id"), "node")
+    stays = groups.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stays"))
+    lost = groups.join(stays, "root").where("node <> stays").select(F.col("node").alias(own))
+    return rows.join(lost, own, "left_anti").select(*docs.columns)
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")

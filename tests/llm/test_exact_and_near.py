@@ -7,7 +7,7 @@ import xxhash
 
 from termsieve.llm import components, exact, simhash
 
-from .edge import TEXTS, docs, key
+from .edge import PROSE, TEXTS, docs, key
 
 UP = {ord(a): ord(a) + 32 for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -69,7 +69,8 @@ def test_simhash_links(spark):
     rows = [(i, t) for i, t in TEXTS if t is None or len(t) < 20000]
     base = TEXTS[-1][1].split()
     rows += [(1000 + k, " ".join(base[:k] + ["CHANGED"] + base[k + 1 :])) for k in range(0, 40, 2)]
-    got = simhash.link_groups(docs(spark, rows)).collect()
+    # Two unrelated texts, each with a copy whose id is null; one id with two texts.
+    rows += [(2005, PROSE[5] + " one"), (2009, PROSE[9] + " two"), (None, PROSE[5] + " one"), (None, PROSE[9] + " two"), (2005, PROSE[7] + " three")]
     prints = [(i, fp3(t)) for i, t in rows]
     parent: dict = {}
     values = sorted({p for _, p in prints})
@@ -82,10 +83,24 @@ def test_simhash_links(spark):
         r = find(parent, p)
         least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
     want = [(i, f"{p:016x}", least[find(parent, p)]) for i, p in prints]
-    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    for crowd in (simhash.CROWD, 0, 2):
+        got = simhash.link_groups(docs(spark, rows), crowd).collect()
+        assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert len({w[2] for w in want}) < len(values)
 
 
+def test_near_pairs_of_a_family_with_one_half_in_common(spark):
+    r = random.Random(2)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    some = {(0xABCD1234 << 32) ^ sum(1 << r.randrange(34) for _ in range(r.randint(1, 4))) for _ in range(150)} | {(sum(1 << r.randrange(32) for _ in range(3)) << 32) | 77 for _ in range(150)}
+    some = sorted(some)
+    want = {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(some) for b in some[:i] if bin(a ^ b).count("1") <= 2}
+    classes = spark.createDataFrame([(signed(x),) for x in some], "fp long")
+    for crowd in (10, 1000):
+        got = [tuple(x) for x in simhash.near_pairs(classes, crowd=crowd).collect()]
+        assert set(got) == want and len(got) == len(want) > 100
+
+
 def test_simhash_zero_and_empty(spark):
     got = {r.doc_id: r for r in simhash.link_groups(docs(spark, [(5, None), (3, ""), (4, " \n")])).collect()}
     assert {r.fingerprint for r in got.values()} == {"0" * 16} and {r.component_id for r in got.values()} == {3}
@@ -101,29 +116,45 @@ def test_components(spark):
 
 
 def jaccard_groups(rows, words=5, least=0.8):
+    """(id, smallest id of the group) of every row that has a near copy, by comparing all pairs of rows."""
     sets = {}
-    for i, t in rows:
+    for k, (_, t) in enumerate(rows):
         w = low(t).encode().split()
-        if i is not None and w:
-            sets[i] = {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+        if w:
+            sets[k] = {b" ".join(w[j : j + words]) for j in range(max(1, len(w) - words + 1))}
     parent: dict = {}
     for a in sets:
         for b in sets:
             if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
-                x, y = find(parent, a), find(parent, b)
-                parent[max(x, y)] = min(x, y)
-    return {i: find(parent, i) for i in sets if find(parent, i) != i}
+                parent[find(parent, a)] = find(parent, b)
+    groups = defaultdict(list)
+    for k in sets:
+        groups[find(parent, k)].append(rows[k][0])
+    return sorted(((i, min((x for x in own if x is not None), default=None)) for own in groups.values() if len(own) > 1 for i in own), key=key)
+
+
+def near(spark, rows, **more):
+    return sorted((tuple(r) for r in simhash.near_groups(docs(spark, rows), **more).collect()), key=key)
 
 
 def test_near_groups(spark):
-    rows = [(i, t) for i, t in TEXTS if (i is None or i not in (4, 6)) and (t is None or len(t) < 5000)]
+    rows = [(i, t) for i, t in TEXTS if t is None or len(t) < 5000]
     family = TEXTS[-2][1].split() * 2
     rows += [(2000 + k, " ".join(family[: 3 * k] + [f"new{k}"] + family[3 * k + 1 :])) for k in range(30)]  # one large family
     rows += [(3000, " ".join(family))]
+    # Near copies without an id, and unrelated texts of one id.
+    rows += [(None, PROSE[11] + " end"), (None, PROSE[12] + " end"), (111, PROSE[20] + " x"), (4000, PROSE[21]), (4000, PROSE[22]), (None, "alone " * 3), (None, PROSE[0] + PROSE[2])]
     want = jaccard_groups(rows)
-    got = {r.doc_id: r.group_id for r in simhash.near_groups(docs(spark, rows)).collect() if r.doc_id != r.group_id}
-    assert got == want and len(want) > 30
-    assert simhash.near_groups(docs(spark, [])).count() == 0
+    assert near(spark, rows) == want and len(want) > 30
+    assert near(spark, rows, small=3) == want
+    assert near(spark, []) == []
+    kept = simhash.without_near_copies(docs(spark, rows))
+    assert kept.columns == docs(spark).columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert jaccard_groups(left) == []
+    groups = len({g for _, g in want if g is not None}) + 1  # id 111 is the smallest of two
+    assert len(left) == len(rows) - len(want) + groups
+    assert {t for _, t in left} >= {PROSE[0] + PROSE[2], "alone " * 3}
 
 
 def test_near_groups_of_block_edits(spark):
@@ -139,8 +170,7 @@ def test_near_groups_of_block_edits(spark):
     rows = [(i, " ".join(t)) for i, t in rows]
     want = jaccard_groups(rows)
     for small in (simhash.SMALL, 3):
-        got = {r.doc_id: r.group_id for r in simhash.near_groups(docs(spark, rows), small=small).collect() if r.doc_id != r.group_id}
-        assert got == want and len(want) > 60
+        assert near(spark, rows, small=small) == want and len(want) > 60
 
 
 def test_near_groups_ask_for_no_distance(spark):
@@ -155,5 +185,4 @@ def test_near_groups_ask_for_no_distance(spark):
         if n > 40:
             bits.append(n)
             rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
-    got = {r.doc_id: r.group_id for r in simhash.near_groups(docs(spark, rows)).collect() if r.doc_id != r.group_id}
-    assert got == {k + 1: k for k in range(0, 24, 2)} and max(bits) > 44
+    assert near(spark, rows) == [(k, k - k % 2) for k in range(24)] and max(bits) > 44
