@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import text_rows
+from .base import bounded, text_rows
 from .linear import SAMPLE_ROWS, collect_features, folds, labelled_sample, logistic, platt
 from .nptext import Chunk, chunks, mix, repeats, span_hash
 
@@ -143,4 +143,4 @@ def passing(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thresho
                 keep.append(~base_failed(n) & (score(c, h, model.value) >= threshold))
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

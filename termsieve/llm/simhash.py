@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh_path, materialise, spare, text_rows
+from .base import bounded, fresh_path, materialise, spare, text_rows
 from .components import components
 from .nptext import Chunk, buffers, chunks, mix
 
@@ -133,8 +133,8 @@ def link_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 SAMPLE, COMMON, MOST_COMMON = 16, 3, 1 << 14
 #: Members of a shingle up to which all are compared with each other at once.
 SMALL = 64
-#: Bytes of text whose shingles are made at once, and parts that a common shingle's rows are dealt to.
-CHUNK, SALTS = 1 << 18, 1 << 12
+#: Parts that a common shingle's rows are dealt to.
+SALTS = 1 << 12
 
 
 def _pack_rows(columns, kinds, names):
@@ -143,7 +143,7 @@ def _pack_rows(columns, kinds, names):
 
 def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes (64 bits) of each text's shingles; a shorter text is one shingle."""
-    for _, _, data, off in chunks(column, CHUNK):
+    for _, _, data, off in chunks(column):
         c = Chunk(data, off, lower=True)
         h = c.words()
         grams, at = c.word_grams(h, words)
@@ -272,7 +272,7 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     """The rows with a number of their own in the column `name`: the id where ids are unique, else one
     that is written with the rows to the shared folder."""
     spark, key = docs.sparkSession, F.col("doc_id").cast("long")
-    twice = docs.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR k IS NULL")
+    twice = bounded(docs).select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR k IS NULL")
     if twice.isEmpty():
         return docs.withColumn(name, key)
     path = fresh_path(spark, "numbered")

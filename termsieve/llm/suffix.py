@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh_path, materialise
+from .base import bounded, fresh_path, materialise
 from .nptext import BASE, INVERSE, buffers, chunks, mix, powers, prefix_hash
 
 LENGTH = 400
@@ -106,7 +106,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_id, mark, text): what identifies a row, and its text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("row_id"), F.shiftrightunsigned(F.xxhash64(text), 32).alias("mark"), text.alias("text"))
+    return bounded(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("row_id"), F.shiftrightunsigned(F.xxhash64(text), 32).alias("mark"), text.alias("text"))
 
 
 def anchor_rows(rows: DataFrame, length: int) -> DataFrame:

@@ -1,19 +1,21 @@
-"""Legacy archives to WARC: ARC records in, WARC files out, and back.
+"""Legacy archives to WARC: ARC archives in, WARC files out, and back.
 
-An ARC record is a header line, whose fields depend on the version that the archive's first record
-declares (version 1: five, version 2: ten), and as many bytes as it declares. The converter derives
-the WARC record's identifier from the payload digest and the page, its time from the 14-digit date,
-its type from the content and from whether an equal payload is stored already, and its digests from
-the bytes.
+An ARC archive begins with a version block; each record is a header line, whose fields depend on the
+version (version 1: five, version 2: ten), and as many bytes as it declares. The converter walks an
+archive by these lengths and derives the WARC record's identifier from the payload digest and the
+page, its time from the 14-digit date, its type from the content and from whether an equal payload
+is stored already, and its digests from the bytes.
 
-Archives are written by Spark's text sink: a WARC record ends in two line breaks, which serve as its
-line separator, so executors write real WARC files (gzip) to any file system that Spark knows, with
-at most RECORDS in a file. They are read with the binary file source and parsed by their declared
-lengths.
+Both kinds of archive are written by Spark's text sink, whose line separator is what closes a
+record, so executors write real archives (gzip) to any file system that Spark knows. An archive has
+RECORDS lines, the version block among them; one that holds ARCHIVE_BYTES before that is filled up
+with empty lines, which readers of both formats skip, so no archive is larger than that and one
+record. They are read with the binary file source and decompressed record by record.
 
 Of equal payloads of at least REVISIT_BYTES bytes the page of smallest id is stored, the others
-are revisits of it. Which one that is, is aggregated per digest before the payloads are shuffled, and
-the join back is Spark's skew-aware one, so a digest of very many pages needs no single large task.
+are revisits of it. A first walk over the archives gathers digests, of which only those found twice
+are kept; the second converts. A digest of very many pages is aggregated before it is shuffled, and the
+join back is Spark's skew-aware one (or a broadcast, if Spark finds the kept digests small enough).
 
 Defined results: null html is an empty payload; a null url becomes `urn:page:<id>`; white space in a
 url is percent-encoded; of repeated rows with the smallest id all are responses; a null page_id never
@@ -26,17 +28,22 @@ import gzip
 import hashlib
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fresh_path
+from .base import bounded, fresh_path, materialise
 
 REVISIT_BYTES = 100
-RECORDS = 1000
+#: Lines of an archive file and its bytes (before compression), about.
+RECORDS, ARCHIVE_BYTES = 1 << 14, 1 << 25
+#: Bytes of records that are handed on at once.
+BATCH = 1 << 21
 VERSION = "WARC/1.1"
 
 # The header fields of the two ARC versions, in order.
@@ -70,27 +77,23 @@ def arc_record(version: int, url: str, date: str, content: bytes, name: str = "-
     return f"{safe_url(url)} 0.0.0.0 {date} text/html {more}{len(content)}\n".encode() + content + b"\n"
 
 
-def parse_arc(raw: bytes) -> Iterator[ArcRecord]:
+def parse_arc(raw: bytes | BinaryIO) -> Iterator[ArcRecord]:
     """Records of one archive, without the version block. The version is the first number of that
     block; header lines are split from the right, since only the url may hold odd characters."""
-    version, at = None, 0
-    while at < len(raw):
-        if raw[at : at + 1] in (b"\n", b"\r"):
-            at += 1
+    f, version = io.BytesIO(raw) if isinstance(raw, bytes) else raw, None
+    while whole := f.readline():
+        if not whole.strip(b"\r\n"):
             continue
-        end = raw.find(b"\n", at)
-        if end < 0:
+        if not whole.endswith(b"\n"):
             raise ValueError("an ARC header line has no end")
-        line = raw[at:end].rstrip(b"\r").decode("utf-8", "surrogateescape")
+        line = whole.rstrip(b"\r\n").decode("utf-8", "surrogateescape")
         names = ARC_FIELDS[version or (2 if line.count(" ") >= 9 else 1)]
         parts = line.rsplit(" ", len(names) - 1)
         if len(parts) != len(names) or not parts[-1].isdigit():
             raise ValueError(f"not an ARC header line: {line[:100]!r}")
-        size = int(parts[-1])
-        content = raw[end + 1 : end + 1 + size]
-        if len(content) != size:
+        content = f.read(int(parts[-1]))
+        if len(content) != int(parts[-1]):
             raise ValueError("an ARC record is shorter than declared")
-        at = end + 1 + size
         if version is None and line.startswith("filedesc:"):
             version = int(content.split(None, 1)[0])
             if version not in ARC_FIELDS:
@@ -140,77 +143,172 @@ def to_warc(arc: ArcRecord, same_as: str | None = None) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block
 
 
-def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_warc(raw: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by lower-case name, block) of each record."""
-    at = 0
-    while at < len(raw):
-        if raw[at : at + 2] == b"\r\n":
-            at += 2
+    f = io.BytesIO(raw) if isinstance(raw, bytes) else raw
+    while line := f.readline():
+        if line == b"\r\n":
             continue
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8", "surrogateescape").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record at {at}")
-        fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]))
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {line[:100]!r}")
+        fields = {}
+        while (line := f.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode("utf-8", "surrogateescape").partition(":")
+            fields[k.strip().lower()] = v.strip()
         size = int(fields["content-length"])
-        yield fields, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        block = f.read(size)
+        if len(block) != size:
+            raise ValueError("a WARC record is shorter than declared")
+        yield fields, block
 
 
 def http_block(page: str, payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "20000101000000") -> None:
-    """pages(page_id, url, html) as legacy archive records, converted to WARC files in `path`."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
-    large = F.col("size") >= REVISIT_BYTES
-    stored = rows.where(large).groupBy("digest", "size").agg(F.min("page_id").alias("stored"))
-    rows = rows.join(stored, ["digest", "size"], "left").select("page_id", "url", "payload", F.when(F.col("stored") != F.col("page_id"), F.col("stored")).alias("same_as"))
+def _unpacked(raw: bytes) -> BinaryIO:
+    f = io.BytesIO(raw)
+    return io.BufferedReader(gzip.GzipFile(fileobj=f), 1 << 18) if raw[:2] == b"\x1f\x8b" else f
+
+
+def _by_bytes(rows: Iterable[tuple], kinds: dict[str, pa.DataType], size) -> Iterator[pa.RecordBatch]:
+    """Batches of rows whose sizes add up to BATCH, about."""
+    held, n = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds.values())], list(kinds))
+
+    for row in rows:
+        held.append(row)
+        n += 64 + size(row)
+        if n >= BATCH:
+            yield batch()
+            held, n = [], 0
+    if held:
+        yield batch()
+
+
+def _lines(items: Iterable, line: Callable[[int, object], bytes], head: Callable[[int], bytes] | None, records: int, most: int) -> Iterator[tuple[bytes]]:
+    """The lines of archives: head(number) opens each, line(number, item) follows for each item, and where
+    `most` bytes come before `records` lines empty ones fill it up."""
+    number = lines = size = 0
+    for item in items:
+        if not lines and head:
+            opening = head(number)
+            yield (opening,)
+            lines, size = 1, len(opening)
+        one = line(number, item)
+        yield (one,)
+        lines, size = lines + 1, size + len(one)
+        if size >= most:
+            for _ in range(records - lines):
+                yield (b"",)
+            lines = records
+        if lines == records:
+            number, lines, size = number + 1, 0, 0
+
+
+def _write_lines(lines: DataFrame, path: str, end: str, records: int) -> None:
+    """lines: one binary column. Quick compression: archives are read once or twice."""
+    out = lines.select(F.col("record").cast("string").alias("value")).write.option("lineSep", end)
+    out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records).text(path)
+
+
+RECORD = {"record": pa.binary()}
+
+
+def write_arc(pages: DataFrame, path: str, date: str = "20000101000000", records: int = RECORDS, most: int = ARCHIVE_BYTES) -> None:
+    """pages(page_id, url, html) as ARC archives in `path`, by turns of version 1 and 2."""
+    name = F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit(""))
+    rows = bounded(pages).select(name.alias("page"), F.coalesce(F.col("url").cast("string"), F.concat(F.lit("urn:page:"), name)).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for page, url, payload, same in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "same_as"))):
-                name = "" if page is None else str(page)
-                version = 1 + (page or 0) % 2
-                raw = arc_head(version, "pages.arc", date) + arc_record(version, url, date, http_block(name, payload))
-                out += [to_warc(arc, None if same is None else str(same)) for arc in parse_arc(raw)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        part = TaskContext.get().partitionId()
+        version = lambda number: 1 + (part + number) % 2
+        # The sink's line separator is the line break that closes a record.
+        head = lambda number: arc_head(version(number), f"pages-{part}-{number}.arc", date)[:-1]
+        line = lambda number, row: arc_record(version(number), row[1], date, http_block(row[0], row[2]))[:-1]
+        yield from _by_bytes(_lines(_rows(batches), line, head, records, most), RECORD, lambda r: len(r[0]))
+
+    _write_lines(rows.mapInArrow(run, "record binary"), path, "\n", records)
+
+
+def _rows(batches) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return bounded(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content"))
 
-    records = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
+ARC_ROW = {"page": pa.string(), "digest": pa.string(), "size": pa.int64(), "version": pa.int32(), "url": pa.string(), "date": pa.string(), "content_type": pa.string(), "content": pa.binary()}
 
-def read_archives(spark, path: str) -> DataFrame:
+
+def read_arc(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+    """One row per ARC record: page (of its HTTP header), digest and size of the payload, and (where
+    wanted) what the record holds."""
+
+    def run(batches):
+        def records():
+            for (raw,) in _rows(batches):
+                for arc in parse_arc(_unpacked(raw)):
+                    http, _, body = http_parts(arc.content)
+                    row = (http.get("x-page-id"), hashlib.sha256(body).hexdigest(), len(body))
+                    yield row + (arc.version, arc.fields["url"], arc.fields["date"], arc.fields["content_type"], arc.content) if content else row
+
+        kinds = ARC_ROW if content else {k: ARC_ROW[k] for k in ("page", "digest", "size")}
+        yield from _by_bytes(records(), kinds, lambda r: len(r[-1]) if content else 0)
+
+    schema = "page string, digest string, size long" + (", version int, url string, date string, content_type string, content binary" if content else "")
+    return _files(spark, path).mapInArrow(run, schema)
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, records: int = RECORDS, most: int = ARCHIVE_BYTES) -> None:
+    """The ARC archives of a folder as WARC files in another."""
+    page = F.expr("try_cast(page AS BIGINT)")
+    large = read_arc(spark, arc_path, content=False).where(F.col("size") >= REVISIT_BYTES)
+    stored = large.groupBy("digest", "size").agg(F.min(page).alias("stored"), F.count(F.lit(1)).alias("n")).where("n > 1 AND stored IS NOT NULL").drop("n")
+    rows = read_arc(spark, arc_path).join(materialise(stored), ["digest", "size"], "left")
+    rows = rows.select("version", "url", "date", "content_type", "content", F.when(F.col("stored") != page, F.col("stored")).alias("same_as"))
+
+    def run(batches):
+        def line(_, row):
+            version, url, date, content_type, content, same = row
+            return to_warc(ArcRecord(version, {"url": url, "date": date, "content_type": content_type}, content), None if same is None else str(same))
+
+        yield from _by_bytes(_lines(_rows(batches), line, None, records, most), RECORD, lambda r: len(r[0]))
+
+    _write_lines(rows.mapInArrow(run, "record binary"), warc_path, "\r\n\r\n", records)
+
+
+WARC_ROW = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "target_uri": pa.string(), "record_id": pa.string()}
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, record_id of every record."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id"]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
     number = lambda x: int(x) if x else None
 
     def run(batches):
-        for batch in batches:
-            for raw in batch.column("content"):
-                with gzip.GzipFile(fileobj=io.BytesIO(raw.as_py())) as f:
-                    data = f.read()
-                rows = []
-                for w, block in parse_warc(data):
+        def records():
+            for (raw,) in _rows(batches):
+                for w, block in parse_warc(_unpacked(raw)):
                     http, head, body = http_parts(block)
                     kind = w["warc-type"]
                     digest, size = w["warc-payload-digest"].removeprefix("sha256:"), int(http.get("content-length", len(body)))
                     if kind != "revisit" and (hashlib.sha256(body).hexdigest() != digest or len(body) != size):
                         raise ValueError(f"the payload of {w['warc-record-id']} is not as declared")
-                    rows.append((number(http.get("x-page-id")), size, digest, kind, number(w.get("warc-refers-to-page")), w["warc-target-uri"], w["warc-record-id"]))
-                cols = list(zip(*rows)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+                    yield number(http.get("x-page-id")), size, digest, kind, number(w.get("warc-refers-to-page")), w["warc-target-uri"], w["warc-record-id"]
+
+        yield from _by_bytes(records(), WARC_ROW, lambda r: 200)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string")
+    return _files(spark, path).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
+    """Pages to ARC archives, these to WARC files, and what the WARC files say."""
     spark = pages.sparkSession
-    path = fresh_path(spark, "warc")
-    write_archives(pages, path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    write_arc(pages, arc)
+    convert(spark, arc, warc)
+    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

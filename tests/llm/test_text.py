@@ -1,3 +1,5 @@
+import glob
+import gzip
 import hashlib
 import json
 import random
@@ -222,6 +224,21 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_are_cut_by_records_and_bytes(spark, tmp_path):
+    pages = [(i, f"http://x/{i}", "z" * (i * 37 % 900)) for i in range(200)] + [(500, "http://big/", "b" * 20_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    for records, size in ((16, 1 << 25), (64, 4000)):
+        arc, out = str(tmp_path / f"arc{records}"), str(tmp_path / f"warc{records}")
+        warc.write_arc(df, arc, records=records, most=size)
+        files = [gzip.open(f).read() for f in glob.glob(f"{arc}/part-*")]
+        assert len(files) > 10 and all(f.startswith(b"filedesc://pages-0-") for f in files)
+        assert {r.version for f in files for r in warc.parse_arc(f)} == {1, 2}
+        assert all(len(f) < size + 25_000 and len(list(warc.parse_arc(f))) < records for f in files)
+        warc.convert(spark, arc, out, records, size)
+        got = {(r.page_id, r.payload_bytes, r.payload_digest, r.target_uri) for r in warc.read_warc(spark, out).collect()}
+        assert got == {(i, len(h), sha(h.encode()), u) for i, u, h in pages}
+
+
 def test_arc_versions():
     for version in (1, 2):
         raw = warc.arc_head(version, "n.arc", "20200102030405") + warc.arc_record(version, "http://a/b c", "20200102030405", b"HTTP/1.0 200 OK\r\nX: y\r\n\r\nbody\nbody") + warc.arc_record(version, "http://d/", "2020", b"plain")
