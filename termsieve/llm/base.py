@@ -64,6 +64,30 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/termsieve-{what}-{os.urandom(8).hex()}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate folder that nothing lazy reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Intermediate tables in the shared folder, which go together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        """The table, written; Spark knows its size from there on."""
+        path = fresh_path(self.spark, what)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, fresh_path, materialise
+from .base import bounded, fresh_path, remove
 
 REVISIT_BYTES = 100
 #: Lines of an archive file and its bytes (before compression), about.
@@ -269,7 +269,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, records: int = R
     page = F.expr("try_cast(page AS BIGINT)")
     large = read_arc(spark, arc_path, content=False).where(F.col("size") >= REVISIT_BYTES)
     stored = large.groupBy("digest", "size").agg(F.min(page).alias("stored"), F.count(F.lit(1)).alias("n")).where("n > 1 AND stored IS NOT NULL").drop("n")
-    rows = read_arc(spark, arc_path).join(materialise(stored), ["digest", "size"], "left")
+    # Written, so that Spark knows its size before it plans the join: payloads move only if it is not small.
+    path = fresh_path(spark, "stored")
+    stored.write.parquet(path)
+    rows = read_arc(spark, arc_path).join(spark.read.schema("digest string, size long, stored long").parquet(path), ["digest", "size"], "left")
     rows = rows.select("version", "url", "date", "content_type", "content", F.when(F.col("stored") != page, F.col("stored")).alias("same_as"))
 
     def run(batches):
@@ -311,4 +314,5 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc)
+    remove(spark, arc)
     return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
