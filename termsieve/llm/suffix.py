@@ -6,9 +6,9 @@ strings, and only anchors are shuffled, one per about half a window of text.
 
 1. Anchors whose GRAM-byte string is found once anywhere can cover nothing and go (aggregated by
    key, joined back by Spark's skew-aware join).
-2. Anchors of equal surroundings (all the bytes that a string through the anchor can reach) are one
-   class. If a class has two members all its surroundings are repeated. That settles copies of any
-   number without comparing them.
+2. Anchors of equal surroundings (all the bytes that a string through the anchor can reach, told by
+   160 bits of hashes with two bases) are one class. If a class has two members all its surroundings
+   are repeated. That settles copies of any number without comparing them.
 3. What is left are classes that share the GRAM-byte string but not all surroundings. Their suffixes
    from the anchor, and their reversed prefixes before it, are put in order by a merge sort that
    compares two of them in logarithmic time: prefix polynomial hashes and a binary search give the
@@ -22,12 +22,13 @@ strings, and only anchors are shuffled, one per about half a window of text.
    compared as in 3. Finer keys with more than HUGE rows are settled by counting those bytes
    with partial aggregation.
 
-All strings are judged on the input. Documents are never crossed. Rows are identified by doc_id and
-a hash of the text.
+All strings are judged on the input. Documents are never crossed. A text is known by 128 bits of
+hashes, not by its row's id: what is repeated in a text is so in all its copies, so the spans of
+equal texts are gathered once, and rows are joined to them.
 
 Defined results: null text is empty; a text shorter than `length` loses nothing; repeated rows are
-occurrences like any other, so their text is removed in both; ids may be null; extra columns are kept
-by `without_repeats` and ignored elsewhere; an empty table gives an empty result.
+occurrences like any other, so their text is removed in all of them; ids may be null or shared; extra
+columns of any name are kept by `without_repeats` and ignored elsewhere; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded, fresh_path, materialise
-from .nptext import BASE, INVERSE, buffers, chunks, mix, powers, prefix_hash
+from .base import Scratch, bounded, spare
+from .nptext import BASE, INVERSE, WHITE, buffers, chunks, mix, powers, prefix_hash
 
 LENGTH = 400
 #: Classes of one GRAM-byte string that are compared in one task, at most.
@@ -76,12 +77,12 @@ def window_min(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, position in it, hash of the gram, hash of the surroundings) of a chunk's anchors."""
+def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of a chunk's anchors: document, position in it, hash of the gram, of the surroundings, and 32 more bits of the latter."""
     gram = gram_size(length)
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none
+        return none, none, none, none, none
     prefix = prefix_hash(data)
     m = len(data) - gram + 1
     h = mix((prefix[gram:] - prefix[:m]) * powers(INVERSE, m))
@@ -92,7 +93,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     starts[off[long_ + 1] - length + 1] -= 1
     at = (low[np.cumsum(starts[: len(low)]) > 0] & U(0xFFFFFFFF)).astype(np.int64)
     if not len(at):
-        return none, none, none, none
+        return none, none, none, none, none
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     doc = np.searchsorted(off, at, side="right") - 1
     lo, hi = np.maximum(off[doc], at - (length - gram)), np.minimum(off[doc + 1], at + length)
@@ -100,28 +101,39 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     np.cumsum((data.astype(np.uint64) + U(1)) * powers(BASE2, len(data)), out=p2[1:])
     around = (p2[hi] - p2[lo]) * powers(INVERSE2, len(p2))[lo]
     around = mix(around + (at - lo).astype(np.uint64) * U(0xA0761D6478BD642F) + (hi - at).astype(np.uint64) * U(0xE7037ED1A0B428DB))
-    return doc, at - off[doc], h[at].view(np.int64), around.view(np.int64)
+    check = mix((prefix[hi] - prefix[lo]) * powers(INVERSE, len(prefix))[lo]) >> U(32)
+    return doc, at - off[doc], h[at].view(np.int64), around.view(np.int64), check
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, mark, text): what identifies a row, and its text."""
+#: What identifies a text: two 64-bit hashes with seeds of their own.
+TEXT_KEY = ["k1", "k2"]
+
+
+def keys_of(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(k1, k2, text) of every row: equal texts have one key, since what is repeated in one is in all."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return bounded(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("row_id"), F.shiftrightunsigned(F.xxhash64(text), 32).alias("mark"), text.alias("text"))
+    k1, k2 = keys_of(text)
+    return bounded(docs).select(k1.alias("k1"), k2.alias("k2"), text.alias("text"))
 
 
 def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """(gram, around, row_id, mark_at): the mark in the upper half of mark_at, the position in the lower."""
+    """(gram, around, check, k1, k2, at): every anchor of every row."""
+    names = ["gram", "around", "check", "k1", "k2", "at"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
     def run(batches):
         for batch in batches:
-            ids, marks = (np.asarray(batch.column(c)) for c in ("row_id", "mark"))
+            k1, k2 = (np.asarray(batch.column(c)) for c in TEXT_KEY)
             for i, j, data, off in chunks(batch.column("text")):
-                doc, at, gram, around = anchors(data, off, length)
+                doc, at, gram, around, check = anchors(data, off, length)
                 if len(doc):
-                    mark_at = (marks[i + doc].astype(np.uint64) << U(32) | at.astype(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(around), pa.array(ids[i + doc]), pa.array(mark_at)], ["gram", "around", "row_id", "mark_at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((gram, around, check.astype(np.int64), k1[i + doc], k2[i + doc], at), kinds)], names)
 
-    return rows.mapInArrow(run, "gram long, around long, row_id long, mark_at long")
+    return rows.mapInArrow(run, "gram long, around long, check long, k1 long, k2 long, at int")
 
 
 # --- order of suffixes --------------------------------------------------------------------------
@@ -259,17 +271,16 @@ def ranges(length: int) -> tuple[int, list[int]]:
     return width, sorted({min(r * width, n - width) for r in range(PARTS)})
 
 
-AROUND = "gram long, around long, sub1 long, sub2 long, o long, before binary, after binary"
+AROUND = "gram long, around long, check long, sub1 long, sub2 long, o long, before binary, after binary"
 
 
 def _surroundings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """For the wanted anchors (row_id, mark, [(gram, around, at, heavy)]): the bytes around them; of
-    heavy ones, for each range of places that a string can have around the anchor, the hashes of
+    """For the wanted anchors (k1, k2, [(gram, around, check, at, heavy)]): the bytes around them; of heavy ones, for each range of places that a string can have around the anchor, the hashes of
     what all those strings share and the few bytes on both sides that tell them apart."""
     gram = gram_size(length)
     width, firsts = ranges(length)
     names = [x.split()[0] for x in AROUND.split(", ")]
-    kinds = (pa.int64(),) * 5 + (pa.binary(),) * 2
+    kinds = (pa.int64(),) * 6 + (pa.binary(),) * 2
 
     def span(text: np.ndarray, base: int, inverse: int) -> np.ndarray:
         p = np.zeros(len(text) + 1, dtype=np.uint64)
@@ -277,16 +288,20 @@ def _surroundings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         return lambda a, b: (p[b] - p[a]) * powers(inverse, len(p))[a]
 
     def run(batches):
+        seen = set()  # of equal texts one is enough
         for batch in batches:
             out: list[tuple] = []
             data, off = buffers(batch.column("text"))
-            wants = batch.column("wanted")
+            wants, key = batch.column("wanted"), list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))
             for i, j, k in zip(off[:-1].tolist(), off[1:].tolist(), range(batch.num_rows)):
+                if key[k] in seen:
+                    continue
+                seen.add(key[k])
                 text = data[i:j]
                 for w in wants[k].as_py():
                     at = w["at"]
                     if not w["heavy"]:
-                        out.append((w["gram"], w["around"], None, None, None, text[max(0, at - length + gram) : at][::-1].tobytes(), text[at : at + length].tobytes()))
+                        out.append((w["gram"], w["around"], w["check"], None, None, None, text[max(0, at - length + gram) : at][::-1].tobytes(), text[at : at + length].tobytes()))
                     else:
                         lo = max(0, at - length + gram)
                         part, here = text[lo : at + length], at - lo
@@ -295,7 +310,7 @@ def _surroundings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                             a, b = here - o, here + length - o - width + 1
                             salt = mix(o.astype(np.uint64) + U(w["gram"] & (2**64 - 1)))
                             h1, h2 = (mix(span(part, *k)(a, b) + salt).view(np.int64).tolist() for k in ((BASE, INVERSE), (BASE2, INVERSE2)))
-                            out += [(w["gram"], w["around"], x, y, z, part[max(0, p - width + 1) : p][::-1].tobytes(), part[q : q + width - 1].tobytes()) for x, y, z, p, q in zip(h1, h2, o.tolist(), a.tolist(), b.tolist())]
+                            out += [(w["gram"], w["around"], w["check"], x, y, z, part[max(0, p - width + 1) : p][::-1].tobytes(), part[q : q + width - 1].tobytes()) for x, y, z, p, q in zip(h1, h2, o.tolist(), a.tolist(), b.tolist())]
                 while len(out) > 4000:
                     yield batch_of(out[:4000])
                     del out[:4000]
@@ -305,7 +320,7 @@ def _surroundings(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def batch_of(some):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
 
-    return rows.join(wanted, ["row_id", "mark"]).select("text", "wanted").mapInArrow(run, AROUND)
+    return rows.join(wanted, TEXT_KEY).select("k1", "k2", "text", "wanted").mapInArrow(run, AROUND)
 
 
 def _compare(strings: DataFrame, keys: list[str], length: int, gram: int) -> DataFrame:
@@ -355,46 +370,45 @@ def _count(strings: DataFrame, keys: list[str], width: int) -> DataFrame:
 
 
 def repeated(rows: DataFrame, length: int = LENGTH, heavy: int = HEAVY, huge: int = HUGE) -> DataFrame:
-    """(row_id, mark, hits): for each row with repeats, the anchors and the bytes covered around them.
+    """(k1, k2, hits): for each text with repeats, the spans covered around its anchors.
 
     rows: as `keyed` makes them. Intermediate tables are written to the shared folder.
     """
-    spark, gram = rows.sparkSession, gram_size(length)
+    scratch, gram = Scratch(rows.sparkSession), gram_size(length)
     found = anchor_rows(rows, length)
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("n > 1")
+    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi"), F.min("check").alias("low"), F.max("check").alias("high")).where("n > 1")
     # Written first, so that Spark's skew join can split what meets it.
-    often = materialise(often.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")))
-    path = fresh_path(spark, "anchors")
-    found.join(often, "gram").write.parquet(path)
-    again = spark.read.parquet(path)
-
-    classes = again.where("mixed").groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.first("row_id").alias("row_id"), F.first("mark_at").alias("mark_at"))
-    path = fresh_path(spark, "classes")
-    classes.write.parquet(path)
-    classes = spark.read.parquet(path)
+    often = scratch.keep(often.select("gram", ((F.col("lo") != F.col("hi")) | (F.col("low") != F.col("high"))).alias("mixed")), "often")
+    again = scratch.keep(found.join(often, "gram"), "anchors")
+
+    one = ["gram", "around", "check"]
+    classes = again.where("mixed").groupBy(*one).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in (*TEXT_KEY, "at")))
+    classes = scratch.keep(classes, "classes")
     groups = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1 AND single > 0")
-    groups = materialise(groups)
-    wanted = classes.join(groups, "gram").select("row_id", F.shiftrightunsigned("mark_at", 32).alias("mark"), F.struct("gram", "around", F.col("mark_at").bitwiseAND(0xFFFFFFFF).alias("at"), (F.col("m") > heavy).alias("heavy")).alias("w"))
-    wanted = wanted.groupBy("row_id", "mark").agg(F.collect_list("w").alias("wanted"))
-    path = fresh_path(spark, "around")
-    _surroundings(rows, wanted, length).write.parquet(path)
-    around = spark.read.parquet(path)
-
-    light = _compare(around.where("sub1 IS NULL").select("gram", "around", "before", "after"), ["gram"], length, gram)
+    wanted = classes.join(scratch.keep(groups, "groups"), "gram").select(*TEXT_KEY, F.struct(*one, "at", (F.col("m") > heavy).alias("heavy")).alias("w"))
+    wanted = wanted.groupBy(*TEXT_KEY).agg(F.collect_list("w").alias("wanted"))
+    around = scratch.keep(_surroundings(rows, wanted, length), "around")
+
+    light = _compare(around.where("sub1 IS NULL").select(*one, "before", "after"), ["gram"], length, gram)
     width = ranges(length)[0]
     key = ["sub1", "sub2"]
     margins = around.where("sub1 IS NOT NULL")
     large = margins.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > huge).drop("m")
     parts = _compare(margins.join(large, key, "left_anti"), key, width - 1, 0).unionByName(_count(margins.join(large, key), key, width))
     # Places in a range are counted from its first; ranges of one class are put together.
-    parts = parts.groupBy("gram", "around").agg(F.max(F.col("o") + F.col("back")).alias("back"), F.max(F.lit(length - width + 1) - F.col("o") + F.col("ahead")).alias("ahead"))
+    parts = parts.groupBy(*one).agg(F.max(F.col("o") + F.col("back")).alias("back"), F.max(F.lit(length - width + 1) - F.col("o") + F.col("ahead")).alias("ahead"))
     partly = light.unionByName(parts)
     reach = (F.lit(length - gram).cast("long").alias("back"), F.lit(length).cast("long").alias("ahead"))
-    whole = classes.where("n > 1").select("gram", "around", *reach)
-    settled = whole.unionByName(partly.join(whole.select("gram", "around"), ["gram", "around"], "left_anti"))
-    hits = again.where("NOT mixed").select("row_id", "mark_at", *reach).unionByName(again.where("mixed").join(settled, ["gram", "around"]).select("row_id", "mark_at", "back", "ahead"))
-    at = F.col("mark_at").bitwiseAND(0xFFFFFFFF)
-    return hits.groupBy("row_id", F.shiftrightunsigned("mark_at", 32).alias("mark")).agg(F.collect_list(F.struct((at - F.col("back")).alias("lo"), (at + F.col("ahead")).alias("hi"))).alias("hits"))
+    whole = classes.where("n > 1").select(*one, *reach)
+    settled = whole.unionByName(partly.join(whole.select(*one), one, "left_anti"))
+    found = [*TEXT_KEY, "at", "back", "ahead"]
+    hits = again.where("NOT mixed").select(*TEXT_KEY, "at", *reach).unionByName(again.where("mixed").join(settled, one).select(*found))
+    span = F.struct((F.col("at") - F.col("back")).alias("lo"), (F.col("at") + F.col("ahead")).alias("hi"))
+    hits = scratch.keep(hits.groupBy(*TEXT_KEY).agg(F.collect_set(span).alias("hits")), "hits")
+    last = scratch.paths.pop()
+    scratch.drop()
+    scratch.paths.append(last)
+    return hits
 
 
 def spans(lo: np.ndarray, hi: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -438,37 +452,49 @@ def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 sha.append(hashlib.sha256(kept_bytes(text, lo, hi)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = keyed(docs)
-    joined = rows.join(repeated(rows, length), ["row_id", "mark"], "left")
-    joined = joined.select(F.when(F.col("row_id") != -(2**63), F.col("row_id")).alias("doc_id"), "text", "hits")
+    hits = repeated(keyed(docs), length)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns(dict(zip(TEXT_KEY, keys_of(F.col("text")))))
+    joined = rows.join(hits, TEXT_KEY, "left").select("doc_id", "text", "hits")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same rows and columns with the repeated bytes of `text` removed.
+def words_in(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many whole words of the text each of the spans holds."""
+    black = np.concatenate([[False], ~WHITE[text], [False]])
+    starts, ends = np.flatnonzero(black[1:-1] & ~black[:-2]), np.flatnonzero(black[1:-1] & ~black[2:]) + 1
+    return np.maximum(np.searchsorted(ends, hi, side="right") - np.searchsorted(starts, lo, side="left"), 0)
+
 
-    A run that would cut a character is narrowed to whole characters. Where a column n_chars is
-    there it gives the new length.
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """The same rows and columns with the repeated bytes of `text` removed, every occurrence of them.
+
+    Of the repeated runs those that hold more than `words` whole words go, and a run that would cut a character
+    is narrowed to whole characters. A row whose whole text is repeated stays, with an empty text.
+    Where a column n_chars is there it gives the new length.
     """
+    k1, k2, found = spare(docs, "k1"), spare(docs, "k2"), spare(docs, "hits")
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, lo, hi in row_spans(batch, "__hits"):
+            for text, lo, hi in row_spans(batch, found):
                 lo, hi = lo.copy(), hi.copy()
+                if words and len(lo):
+                    long_ = words_in(text, lo, hi) > words
+                    lo, hi = lo[long_], hi[long_]
                 for k in range(len(lo)):
                     while lo[k] < hi[k] and lo[k] < len(text) and text[lo[k]] & 0xC0 == 0x80:
                         lo[k] += 1
                     while hi[k] > lo[k] and hi[k] < len(text) and text[hi[k]] & 0xC0 == 0x80:
                         hi[k] -= 1
                 out.append(kept_bytes(text, lo, hi))
-            names = [c for c in batch.schema.names if c != "__hits"]
+            names = [c for c in batch.schema.names if c != found]
             yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace") for x in out], pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    hits = repeated(keyed(docs), length).select(F.col("row_id").alias("__row_id"), F.col("mark").alias("__mark"), F.col("hits").alias("__hits"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
-    same = (F.coalesce(own["doc_id"].cast("long"), F.lit(-(2**63))) == hits["__row_id"]) & (F.shiftrightunsigned(F.xxhash64(own["text"]), 32) == hits["__mark"])
-    joined = own.join(hits, same, "left").drop("__row_id", "__mark")
-    cut = joined.mapInArrow(run, own.schema)
+    hits = repeated(keyed(docs), length).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("hits").alias(found))
+    own = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = own.withColumns(dict(zip((k1, k2), keys_of(F.col("text")))))
+    joined = own.join(hits, [k1, k2], "left").select(*docs.columns, found)
+    cut = joined.mapInArrow(run, joined.select(*docs.columns).schema)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut

@@ -84,6 +84,34 @@ def test_without_repeats_keeps_columns_and_characters(spark):
     assert got == {1: ("aend", 4), 2: ("x", 1), 3: ("", 0), None: ("left alone", 10)}
 
 
+def test_spans_of_equal_rows_are_gathered_once(spark):
+    rows = lambda k: docs(spark, [(1, SHARED * 2)] * k + [(None, SHARED * 2), (None, "other " + SHARED), (None, "alone " * 90)])
+    few, many = ({(r.k1, r.k2): sorted(map(tuple, r.hits)) for r in suffix.repeated(suffix.keyed(rows(k).repartition(3))).collect()} for k in (2, 60))
+    assert few == many and len(few) == 3
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix.repeat_report(rows(5)).collect() if r.doc_id is None)
+    assert got == sorted([(len(SHARED) * 2, len(SHARED) * 2), (len(SHARED) + 6, len(SHARED)), (540, 540)])
+
+
+def test_only_runs_of_enough_words_go(spark):
+    r = random.Random(8)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6))) for _ in range(n)]
+    rows = []
+    for n in (40, 50, 51, 60):
+        shared = text(n)
+        rows += [(10 * n + k, " ".join(text(20) + shared + text(20)), " ".join(shared)) for k in range(2)]
+    out = {r.doc_id: r.text for r in suffix.without_repeats(docs(spark, [x[:2] for x in rows]), 150, 50).collect()}
+    for i, full, shared in rows:
+        assert (shared in out[i]) == (i < 510) and (i >= 510 or out[i] == full)
+    data = np.frombuffer(b" ab cd  efg h", np.uint8)
+    assert suffix.words_in(data, np.array([0, 2, 1, 4, 5]), np.array([13, 13, 5, 6, 5])).tolist() == [4, 3, 1, 1, 0]
+
+
+def test_clashing_columns_stay(spark):
+    df = docs(spark, [(1, "a " + SHARED * 2), (2, "b " + SHARED * 2), (3, "c")]).withColumnsRenamed({"hits": "__hits", "mark": "__k1", "kept": "__K2"})
+    out = suffix.without_repeats(df)
+    assert out.columns == df.columns and {(r.doc_id, r.text, r["__hits"]) for r in out.collect()} == {(1, "a", 0), (2, "b", 1), (3, "c", 2)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.text("ab", max_size=12), min_size=1, max_size=6), min_size=1, max_size=5))
 def test_merge_sort_orders_strings(groups):
