@@ -51,6 +51,25 @@ def test_exact_keeps_one_of_each(spark):
     assert {r.doc_id for r in rows} >= {6, 7, None} and 5 not in {r.doc_id for r in rows}
 
 
+def test_exact_merges_sorted_runs(spark):
+    """Every round sorts and merges equal neighbours; no hash aggregate, no Python."""
+    rows = exact.digests(docs(spark).repartition(70))
+    spark.conf.set(exact.SORTED, "true")
+    try:
+        one = exact.merge_round(rows.withColumnsRenamed({"doc_id": "keep_id"}).withColumn("group_size", exact.F.lit(1).cast("long")), True, 4)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(exact.SORTED)
+    assert "SortAggregate" in plan and "HashAggregate" not in plan and "Python" not in plan and "Arrow" not in plan
+    assert spark.conf.get(exact.SORTED) == "false"
+
+
+def test_exact_keeps_clashing_columns(spark):
+    df = docs(spark).withColumnsRenamed({"kept": "__norm", "hits": "__ID", "mark": "__null"})
+    kept = exact.without_copies(df)
+    assert kept.columns == df.columns and {r["__norm"] for r in kept.collect()} == {"k"}
+
+
 def test_exact_empty(spark):
     assert exact.exact_groups(docs(spark, [])).count() == 0 and exact.without_copies(docs(spark, [])).count() == 0
 
