@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded, fresh_path, materialise, spare, text_rows
+from .base import Scratch, bounded, fresh_path, materialise, spare, text_rows
 from .components import components
 from .nptext import Chunk, buffers, chunks, mix
 
@@ -211,39 +211,45 @@ def prefix_rows(rows: DataFrame, words: int, similarity: float, common: tuple[np
     return rows.select("id", "text").mapInArrow(run, PREFIX)
 
 
-def shared_rows(first: DataFrame) -> DataFrame:
-    """(key, id, at, size) of prefix rows whose key another row has, by one shuffle: in the order of the
-    keys a row without an equal beside it goes. Rows of common shingles all stay."""
+def shared_rows(first: DataFrame, small: int) -> DataFrame:
+    """(key, id, at, size, many) of prefix rows whose key another row has, by one shuffle: in the order
+    of the keys a row without an equal beside it goes. many: the key has more than `small` rows, or
+    is common (of those all rows stay). At most `small` rows are held for the next batch."""
+    names, kinds = ["key", "id", "at", "size", "many"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
 
     def run(batches):
-        last, waiting = None, None  # the key before, and its row if it has not been given
+        held, crowd = None, None  # rows of a run that may go on; the key of a larger one that may
         for batch in batches:
             table = [np.asarray(batch.column(c)) for c in PREFIX_NAMES]
-            key = table[0]
+            if held is not None:
+                table = [np.concatenate(x) for x in zip(held, table)]
+            key, salt = table[0], table[1]
             if not len(key):
                 continue
-            same = np.zeros(len(key) + 1, dtype=bool)
-            same[0], same[1:-1] = last is not None and key[0] == last, key[1:] == key[:-1]
-            stay = same[:-1] | same[1:] | (table[1] > 0)
-            out = [a[stay] for a in table]
-            if waiting is not None and same[0]:
-                out = [np.concatenate(x) for x in zip(waiting, out)]
-            if len(out[0]):
-                yield _pack_rows([out[c] for c in (0, 2, 3, 4)], PREFIX_KINDS[:1] + PREFIX_KINDS[2:], ["key", "id", "at", "size"])
-            last, waiting = key[-1], None if stay[-1] else [a[-1:] for a in table]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(begin, len(key)))
+            many = (size > small) | (salt[begin] > 0)
+            many[0] |= crowd is not None and key[0] == crowd
+            end = len(key) if many[-1] else begin[-1]
+            held, crowd = [a[end:] for a in table], key[-1] if many[-1] else None
+            stay = np.repeat(many | (size > 1), size)[:end]
+            if stay.any():
+                yield _pack_rows([table[c][:end][stay] for c in (0, 2, 3, 4)] + [np.repeat(many, size)[:end][stay]], kinds, names)
+        if held is not None and len(held[0]) > 1:
+            yield _pack_rows([held[c] for c in (0, 2, 3, 4)] + [np.zeros(len(held[0]), bool)], kinds, names)
 
-    return first.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "key long, id long, at int, size int")
+    return first.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "key long, id long, at int, size int, many boolean")
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the sorted distinct hashes of each text's shingles."""
+    """(id, shingles): the sorted distinct hashes of each text's shingles, 32 bits of them."""
 
     def run(batches):
         for batch in batches:
-            sets = [h.view(np.int64) for h in _sets(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            sets = [np.unique(h.astype(np.uint32)).view(np.int32) for h in _sets(batch.column("text"), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int32()))], ["id", "shingles"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return rows.select("id", "text").mapInArrow(run, "id long, shingles array<int>")
 
 
 def _alike(x, y, similarity: float):
@@ -259,15 +265,6 @@ def _fits(similarity: float):
     return (F.least(m, n) + 1e-9 >= similarity * F.greatest(m, n)) & (rest * (1 + similarity) + 1e-9 >= similarity * (m + n))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of candidate pairs (a, b) those whose shingle similarity holds."""
-    near = materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(shingle_sets(rows.join(ids, "id", "left_semi"), words))
-    sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return materialise(near.join(sa, "a").join(sb, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"))
-
-
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """The rows with a number of their own in the column `name`: the id where ids are unique, else one
     that is written with the rows to the shared folder."""
@@ -285,7 +282,9 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
 
     Two rows are linked if the Jaccard similarity of their sets of `words`-word shingles reaches
     `similarity`; groups are connected components. A text of fewer words is one shingle, a text
-    without words is linked to nothing. Equal 64-bit hashes count as equal shingles.
+    without words is linked to nothing. Shingles are compared by hashes: 64 bits in the search, 32 bits
+    in the verified sets, where two shingles of a pair of 500-shingle texts are taken for one about
+    once in 10,000 pairs (a change of the similarity by less than 1/500).
 
     Candidates are complete: two texts alike have a shingle in common among their first ones
     (prefix_rows), and the first such shingle is compared. Most shingles belong to one text and go;
@@ -296,30 +295,35 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     nothing, so no link between groups is lost, and a family of n near copies that belong together
     costs about n comparisons, not n * n.
     """
-    met = materialise(shared_rows(prefix_rows(rows, words, similarity, common_shingles(rows, words))))
-    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(met.join(shared, "key"))
-    few = met.where(F.col("n") <= small)
+    scratch = Scratch(rows.sparkSession)
+    met = scratch.keep(shared_rows(prefix_rows(rows, words, similarity, common_shingles(rows, words)), small), "met")
+    few = met.where("NOT many")
     ends = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _fits(similarity))
     ends = ends.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = met.where(F.col("n") > small).select("key", "id", "at", "size")
-    drawn = F.xxhash64("id", "key")
-    tables = many.groupBy("key").agg(F.min_by("id", drawn).alias("x"), F.max_by("id", drawn).alias("y"))
-    drawn = materialise(many.join(tables, "key").select("key", "id", "x", "y"))
-    for end in ("x", "y"):
-        one = drawn.where(F.col(end) != F.col("id")).groupBy("id", F.pmod("key", F.lit(4)).alias("part"))
-        ends = ends.unionByName(one.agg(F.min_by(end, F.xxhash64("id", end)).alias("b")).select(F.col("id").alias("a"), "b"))
-    links = _verified(ends, rows, words, similarity)
+    many = met.where("many").drop("many")
+    order = F.xxhash64("id", "key")
+    tables = many.groupBy("key").agg(F.min_by("id", order).alias("x"), F.max_by("id", order).alias("y")).where("x <> y")
+    drawn = many.join(tables, "key").select("key", "id", F.explode(F.array("x", "y")).alias("b")).where("id <> b")
+    # Of the drawn ones of a member some are enough: links of the others are found below.
+    one = drawn.groupBy("id", F.pmod("key", F.lit(4)).alias("part")).agg(F.min_by("b", F.xxhash64("id", "b")).alias("b1"), F.max_by("b", F.xxhash64("id", "b")).alias("b2"))
+    ends = ends.unionByName(one.select(F.col("id").alias("a"), F.explode(F.array("b1", "b2")).alias("b")))
+    near = scratch.keep(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    many = scratch.keep(many.join(tables.select("key"), "key", "left_semi"), "many")
+    # The shingle sets of all that is compared are made once.
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct()
+    sets = scratch.keep(shingle_sets(rows.join(ids, "id", "left_semi"), words), "sets")
+    sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    links = scratch.keep(near.join(sa, "a").join(sb, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"), "links")
 
     comp = components(links)
     many = many.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     often = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    many = materialise(many.join(often.where("roots > 1").drop("roots"), "key"))
+    many = scratch.keep(many.join(often.where("roots > 1").drop("roots"), "key"), "apart")
     if many.isEmpty():
+        scratch.drop()
         return comp
     keys = many.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("at", "key")))["key"].alias("keys"))
-    own = shingle_sets(rows.join(many.select("id").distinct(), "id", "left_semi"), words).join(keys, "id")
-    side = materialise(many.join(own, "id").withColumn("out", F.col("root") != F.col("main")))
+    side = scratch.keep(many.join(sets.join(keys, "id"), "id").withColumn("out", F.col("root") != F.col("main")), "side")
     x, y = side.alias("x"), side.alias("y")
     c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
     (kx, ky), (rx, ry) = c("key"), c("root")
@@ -327,8 +331,10 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     first_met = F.element_at(F.array_intersect(*c("keys")), 1) == kx
     # The whole test is the join's condition: pairs that fail it are never rows.
     more = x.join(y, (kx == ky) & outside & (rx != ry) & _fits(similarity) & first_met & _alike(*c("shingles"), similarity))
-    more = materialise(more.select(F.least(*c("id")).alias("a"), F.greatest(*c("id")).alias("b")).distinct())
-    return components(links.unionByName(more))
+    more = scratch.keep(more.select(F.least(*c("id")).alias("a"), F.greatest(*c("id")).alias("b")).distinct(), "more")
+    comp = components(links.unionByName(more))
+    scratch.drop()
+    return comp
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
