@@ -173,15 +173,16 @@ def answered(requests: DataFrame) -> DataFrame:
         all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         weight = np.concatenate([c * (r["role"] < 2) for r, c in zip(rows, counts)])
         fit = np.concatenate([c * (r["role"] == 0) for r, c in zip(rows, counts)])
-        total = np.bincount(at, weights=weight, minlength=len(all_keys)).astype(np.uint32)
-        fitted = np.bincount(at, weights=fit, minlength=len(all_keys)).astype(np.uint32)
+        # Sums of floats are exact up to 2**53, and totals travel as 64-bit integers.
+        total = np.bincount(at, weights=weight, minlength=len(all_keys)).astype(np.int64)
+        fitted = np.bincount(at, weights=fit, minlength=len(all_keys)).astype(np.int64)
         out, lo = [], 0
         for r, k in zip(rows, keys):
             own = at[lo : lo + len(k)]
             lo += len(k)
             out.append((r["block"], r["role"], r["kind"], r["bucket"], squeeze(total[own]), squeeze(fitted[own]) if r["role"] == 1 else None, None, None, None, None))
         if rows[0]["kind"] == 0:
-            out.append((None, -1, 0, rows[0]["bucket"], None, None, int(total.sum(dtype=np.int64)), int((total > 0).sum()), int(fitted.sum(dtype=np.int64)), int((fitted > 0).sum())))
+            out.append((None, -1, 0, rows[0]["bucket"], None, None, int(total.sum()), int((total > 0).sum()), int(fitted.sum()), int((fitted > 0).sum())))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return requests.groupBy("kind", "bucket").applyInArrow(run, ANSWERED)
@@ -225,8 +226,7 @@ def _counts(answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     out = []
     rows = sorted(zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers[column].to_pylist()), key=lambda r: r[:2])
     for kind in (0, 1):
-        parts = [unsqueeze(r[2], np.uint32) for r in rows if r[0] == kind]
-        out.append(np.concatenate(parts).astype(np.int64))
+        out.append(np.concatenate([unsqueeze(r[2], np.int64) for r in rows if r[0] == kind]))
     return out[0], out[1]
 
 
