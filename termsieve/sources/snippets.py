@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,32 +71,47 @@ def _fits(e: dict, step: str) -> bool:
     return e["tag"] == m["tag"] and (not m["name"] or e["attrs"].get(m["name"], "").lower() == m["value"].lower()) and (not m["n"] or e["n"] == int(m["n"]))
 
 
+JSON_LD = 'script[type="application/ld+json"]'
+
+
+def _indented(raw: str) -> str:
+    """JSON in lines; what is not JSON as it is."""
+    try:
+        return json.dumps(json.loads(raw), ensure_ascii=False, indent=2)
+    except ValueError:
+        return raw
+
+
+def _element(found: _Finder, selector: str) -> dict | None:
+    """The first element that a chain of steps leads to, parent by parent."""
+    steps = selector.split(" > ")
+    for e in found.all:
+        at, left = e, len(steps)
+        while left and at is not None and at["tag"] and _fits(at, steps[left - 1]):
+            at, left = at["parent"], left - 1
+        if not left:
+            return e
+    return None
+
+
 def snippet(html: str, selector: str | None, source: str = "text", most: int = MOST_CHARS) -> str | None:
-    """The element's markup as written (JSON-LD indented); null where there is none."""
+    """The element's markup as written, at most so many characters; null where there is none.
+
+    Linked data is counted among its own kind on the page, and its content is given in lines.
+    """
     if not selector or not html:
         return None
     found = _Finder(html)
-    if source == "json_ld":
-        m = re.search(r"nth-of-type\((\d+)\)", selector)
-        scripts = [e for e in found.all if e["tag"] == "script" and e["attrs"].get("type") == "application/ld+json"]
-        k = int(m[1]) - 1 if m else 0
-        if k >= len(scripts):
-            return None
-        raw = html[scripts[k]["inner"] : scripts[k]["end"]].rpartition("</")[0]
-        try:
-            return json.dumps(json.loads(raw), indent=2, ensure_ascii=False)[:most]
-        except ValueError:
-            return raw[:most]
-    *above, last = selector.split(" > ")
-    for e in found.all:
-        if _fits(e, last):
-            up, ok = e["parent"], True
-            for step in reversed(above):
-                ok = ok and up is not None and bool(up["tag"]) and _fits(up, step)
-                up = up["parent"] if up else None
-            if ok:
-                return html[e["start"] : e["end"]][:most]
-    return None
+    if source != "json_ld":
+        e = _element(found, selector)
+        return None if e is None else html[e["start"] : e["end"]][:most]
+    step = _STEP.fullmatch(selector.rpartition(" > ")[2])
+    nth = int(step["n"]) if step and step["n"] else 1
+    e = next(islice((e for e in found.all if _fits(e, JSON_LD)), nth - 1, nth), None)
+    if e is None:
+        return None
+    content = html[e["inner"] : e["end"]]
+    return _indented(content[: content.rfind("</")])[:most]
 
 
 def with_snippets(rows: DataFrame, html: str = "html", selector: str = "selector", source: str = "text_source") -> DataFrame:
