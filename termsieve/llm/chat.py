@@ -1,8 +1,10 @@
 """Chat formatting: heterogeneous conversation layouts to canonical turns, to one marked text.
 
-A layout is declared by the nested field paths it needs. The paths of a record (or of a table's
-schema) that a layout knows are hashed, and the first layout whose own fingerprint is met supplies
-the mapping to (role, text) turns; extra fields never matter.
+A layout is declared by the nested field paths it needs. Of the paths of a record (or of a table's
+schema) those that any layout knows are hashed to a fingerprint, under which a table has the mapping
+to (role, text) turns. The table begins with the layouts' own fingerprints; a record that has the
+fields of several layouts, or more known fields than its own needs, has another fingerprint, which is
+resolved once (the first layout declared whose fields are all there) and kept. Unknown fields never matter.
 
 Template of a turn: `### ROLE: TEXT</turn>` and a newline. In roles and texts a backslash goes
 before every backslash, `#` and `<` (in roles also `:`), so `###` and `</turn>` outside the template
@@ -92,8 +94,19 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     return {at}
 
 
+#: All paths that some layout knows, and the mapping of each fingerprint of such paths. A set of paths that is no
+#: layout's own is resolved when it is first met: the first layout of LAYOUTS that has all its paths there.
+KNOWN = frozenset().union(*(x.paths for x in LAYOUTS))
+TABLE: dict[str, Layout | None] = {x.fingerprint: x for x in reversed(LAYOUTS)}
+
+
 def select_layout(paths: set[str]) -> Layout | None:
-    return next((x for x in LAYOUTS if hashed(paths & x.paths) == x.fingerprint), None)
+    """The layout in the table under the fingerprint of the known ones of the paths; None: there is none."""
+    known = paths & KNOWN
+    key = hashed(known)
+    if key not in TABLE:
+        TABLE[key] = next((x for x in LAYOUTS if x.paths <= known), None)
+    return TABLE[key]
 
 
 def _get(value, path: str):

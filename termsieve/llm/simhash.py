@@ -252,6 +252,43 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id long, shingles array<int>")
 
 
+def sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(id, sketch): how many of each text's shingles fall into each range of hashes, about two in a range."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for h in _sets(batch.column("text"), words):
+                bits = max(6, int(len(h) / 2 - 1).bit_length()) if len(h) > 2 else 6
+                count = np.bincount((h >> np.uint64(64 - min(bits, 16))).astype(np.int64), minlength=1 << min(bits, 16))
+                out.append(count.astype(np.uint8).tobytes() if count.max() < 256 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "sketch"])
+
+    return rows.select("id", "text").mapInArrow(run, "id long, sketch binary")
+
+
+def may_be_alike(a: bytes | None, b: bytes | None, similarity: float) -> bool:
+    """Whether two sketches leave room for the similarity: in a range texts share at most the smaller count."""
+    if a is None or b is None:
+        return True
+    x, y = (np.frombuffer(s, dtype=np.uint8).astype(np.int64) for s in (a, b))
+    n = min(len(x), len(y))
+    both = np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum()
+    return bool(both * (1 + similarity) + 1e-9 >= similarity * (x.sum() + y.sum()))
+
+
+def with_room(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches do not exclude them. marks: (id, sketch)."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [may_be_alike(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = marks.select(F.col("id").alias("a"), F.col("sketch").alias("x")), marks.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _alike(x, y, similarity: float):
     """Whether two sets' Jaccard similarity n / (x + y - n) reaches a value; two empty ones are not alike."""
     both = F.size(x) + F.size(y)
@@ -287,7 +324,8 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     once in 10,000 pairs (a change of the similarity by less than 1/500).
 
     Candidates are complete: two texts alike have a shingle in common among their first ones
-    (prefix_rows), and the first such shingle is compared. Most shingles belong to one text and go;
+    (prefix_rows), and the first such shingle is compared. Most shingles belong to one text and go; pairs
+    whose sketches exclude the similarity go before any text is fetched;
     the members of one with up to `small` are all compared. In larger ones each member is first compared
     with two only, drawn by hash; what that links makes components. Then the members outside the
     shingle's most frequent component are compared with all others (once, at the first large
@@ -308,9 +346,10 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     one = drawn.groupBy("id", F.pmod("key", F.lit(4)).alias("part")).agg(F.min_by("b", F.xxhash64("id", "b")).alias("b1"), F.max_by("b", F.xxhash64("id", "b")).alias("b2"))
     ends = ends.unionByName(one.select(F.col("id").alias("a"), F.explode(F.array("b1", "b2")).alias("b")))
     near = scratch.keep(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    near = scratch.keep(with_room(near, scratch.keep(sketches(rows, words), "sketches"), similarity), "room")
     many = scratch.keep(many.join(tables.select("key"), "key", "left_semi"), "many")
-    # The shingle sets of all that is compared are made once.
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct()
+    # Tables of ids are written, so that Spark can tell whether they are small enough to spare the texts a shuffle.
+    ids = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = scratch.keep(shingle_sets(rows.join(ids, "id", "left_semi"), words), "sets")
     sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     links = scratch.keep(near.join(sa, "a").join(sb, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"), "links")
@@ -322,6 +361,7 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     if many.isEmpty():
         scratch.drop()
         return comp
+    sets = shingle_sets(rows.join(scratch.keep(many.select("id").distinct(), "ids"), "id", "left_semi"), words)
     keys = many.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("at", "key")))["key"].alias("keys"))
     side = scratch.keep(many.join(sets.join(keys, "id"), "id").withColumn("out", F.col("root") != F.col("main")), "side")
     x, y = side.alias("x"), side.alias("y")
@@ -358,7 +398,7 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     texts = rows.select(F.col(own).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), _text())
     groups = near_links(texts, words, similarity, small).join(texts.select(F.col("id").alias("node"), "doc_id"), "node")
     stays = groups.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stays"))
-    lost = groups.join(stays, "root").where("node <> stays").select(F.col("node").alias(own))
+    lost = Scratch(docs.sparkSession).keep(groups.join(stays, "root").where("node <> stays").select(F.col("node").alias(own)), "lost")
     return rows.join(lost, own, "left_anti").select(*docs.columns)
 
 

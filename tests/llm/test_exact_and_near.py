@@ -134,8 +134,8 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def jaccard_groups(rows, words=5, least=0.8):
-    """(id, smallest id of the group) of every row that has a near copy, by comparing all pairs of rows."""
+def near_rows(rows, words=5, least=0.8):
+    """Groups (two rows at least) of the places of rows that are near copies, by comparing all pairs."""
     sets = {}
     for k, (_, t) in enumerate(rows):
         w = low(t).encode().split()
@@ -148,8 +148,14 @@ def jaccard_groups(rows, words=5, least=0.8):
                 parent[find(parent, a)] = find(parent, b)
     groups = defaultdict(list)
     for k in sets:
-        groups[find(parent, k)].append(rows[k][0])
-    return sorted(((i, min((x for x in own if x is not None), default=None)) for own in groups.values() if len(own) > 1 for i in own), key=key)
+        groups[find(parent, k)].append(k)
+    return [own for own in groups.values() if len(own) > 1]
+
+
+def jaccard_groups(rows, words=5, least=0.8):
+    """(id, smallest id of the group) of every row that has a near copy."""
+    groups = [[rows[k][0] for k in own] for own in near_rows(rows, words, least)]
+    return sorted(((i, min((x for x in own if x is not None), default=None)) for own in groups for i in own), key=key)
 
 
 def near(spark, rows, **more):
@@ -176,6 +182,23 @@ def test_near_groups(spark):
     assert {t for _, t in left} >= {PROSE[0] + PROSE[2], "alone " * 3}
 
 
+def test_sketches_exclude_no_pair_that_is_alike(spark):
+    r, sets = random.Random(3), []
+    rows = [(k, " ".join(r.choice(PROSE).split()[r.randint(0, 9) :] + [f"z{i}" for i in range(r.choice((0, 3, 30, 700)))])) for k in range(60)] + [(60, ""), (61, "one")]
+    got = {x.id: x.sketch for x in simhash.sketches(spark.createDataFrame(rows, "id long, text string"), 5).collect()}
+    for _, t in rows:
+        w = low(t).split()
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    excluded = 0
+    for a in range(62):
+        for b in range(a):
+            alike = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            room = simhash.may_be_alike(got[a], got[b], 0.8)
+            assert room or not alike
+            excluded += not room
+    assert excluded > 1000 and simhash.may_be_alike(None, got[1], 0.8)
+
+
 def test_near_groups_of_block_edits(spark):
     """One block appended, cut off or replaced: similarity from 0.76 to 0.9, alone and in a family."""
     r, rows = random.Random(7), []

@@ -154,6 +154,14 @@ def test_lm_equals_brute_force(spark, monkeypatch, block):
     assert all(abs(g[6] - w[6]) <= 0.01 * abs(w[6]) for g, w in zip(got, want))
 
 
+def test_lm_totals_beyond_32_bits(spark):
+    keys = np.array([5, 9], dtype=np.uint64)
+    rows = [(0, 0, b, 0, lm.squeeze_keys(keys), lm.squeeze(np.array([3_000_000_000, 1], dtype=np.uint32))) for b in range(3)]
+    got = lm.answered(spark.createDataFrame(rows, lm.ASKED)).collect()
+    assert {tuple(lm.unsqueeze(bytes(r.total), np.int64)) for r in got if r.block is not None} == {(9_000_000_000, 3)}
+    assert [(r.n, r.v) for r in got if r.block is None] == [(9_000_000_003, 2)]
+
+
 def test_lm_small_tables(spark):
     assert lm.score(docs(spark, [])).count() == 0
     test_only = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:3]

@@ -201,6 +201,13 @@ def test_layouts(spark):
     assert got[90] == got[91] == got[92] == [(None, None)]
     assert got[93][0] == ("system", "s") and got[94] == [("user", "q"), ("user", "more"), ("assistant", "a")]
     assert len({x.fingerprint for x in chat.LAYOUTS}) == len(chat.LAYOUTS)
+    # The table decides: under a record's fingerprint it has what the record is read by.
+    paths = chat.record_paths({"prompt": "q", "response": "a", "completion": "b", "other": 1})
+    chat.TABLE.pop(chat.hashed({"prompt", "response", "completion"}), None)
+    assert chat.select_layout(paths).name == "prompt_response"  # of two the one declared first
+    assert chat.TABLE[chat.hashed({"prompt", "response", "completion"})].name == "prompt_response"
+    for x in chat.LAYOUTS:
+        assert chat.TABLE[x.fingerprint] is x and chat.select_layout(set(x.paths) | {"other"}) is x
     nested = spark.createDataFrame([(7, [("human", "x"), ("gpt", "y")])], "conv_id long, conversations array<struct<from:string,value:string>>")
     assert [(r.turn, r.role, r.text) for r in chat.turns_of_table(nested).collect()] == [(0, "human", "x"), (1, "gpt", "y")]
     pairs = spark.createDataFrame([(7, "x", "y")], "conv_id long, prompt string, response string")
