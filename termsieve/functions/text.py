@@ -11,9 +11,22 @@ WORD = r"\p{L}+"
 MOST_CHARS = 5000
 
 
+def squeezed(c: Column) -> Column:
+    """White-space runs to one space, trimmed."""
+    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+
+
 def clean(c: Column, most: int = MOST_CHARS) -> Column:
-    """White-space runs to one space, trimmed, cut to `most` characters."""
-    return F.substring(F.trim(F.regexp_replace(c, SPACE + "+", " ")), 1, most)
+    """The same, cut to `most` characters: what a page's segment may have."""
+    return F.substring(squeezed(c), 1, most)
+
+
+def folded(c: Column) -> Column:
+    """For comparison without case: two texts are equal after it where they are after full case folding
+    (ß and ss, every sigma). Dotless i, which upper case would join with i, is kept apart."""
+    sigma = lambda x: F.translate(x, "ς", "σ")  # noqa: E731  (it also keeps Spark from dropping the inner conversions)
+    plain = F.replace(c, F.lit("ı"), F.lit("\ue000"))
+    return F.replace(sigma(F.lower(sigma(F.upper(sigma(F.lower(plain)))))), F.lit("\ue000"), F.lit("ı"))
 
 
 def lines(c: Column) -> Column:
@@ -55,7 +68,8 @@ def source_label(c: Column) -> Column:
 
 
 def digest_of(*parts: Column, separator: str = "") -> Column:
-    return F.sha2(F.concat_ws(separator, *parts), 256)
+    """A null part is an empty one, so that the parts after it keep their places."""
+    return F.sha2(F.concat_ws(separator, *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
 
 
 def list_clean(c: Column) -> Column:

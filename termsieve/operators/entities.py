@@ -13,8 +13,9 @@ from ..functions import text as T
 from ..functions import web as W
 
 NAME, CASINGS, LISTED = "thing", ("Thing", "THING"), ("thhing", "tthing")
-#: Runs per table, pages per site.
-LINES = 1_000_000
+#: Lines of a document and words of a line that ids have room for; with them ids are different for up to
+#: 9 * 10**8 documents.
+LINES, WORDS = 100_000, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +35,14 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, "").otherwise(F.col("lang")).alias("language"),
         F.when(key % 5 == 0, key - 2).alias("found_on_id"),
         F.col("source").alias("site"),
+        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"),
     )
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents that hold more than white space, cut to 5,000 characters as in the SQL."""
+    """Lines of documents that hold more than white space, whole."""
     d = table(spark, sf_dir, "documents")
-    rows = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("doc_id", F.col("pos").cast("long").alias("pos"), T.clean(F.col("raw")).alias("text"))
+    rows = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("doc_id", F.col("pos").cast("long").alias("pos"), T.squeezed(F.col("raw")).alias("text"))
     return rows.where("text <> ''").select(
         (F.col("doc_id") * LINES + F.col("pos")).alias("segment_id"),
         F.col("doc_id").alias("asset_id"),
@@ -66,7 +68,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when((F.col("low") == NAME) & ~F.col("word").isin(*CASINGS), "casing").when((F.col("low") != NAME) & joined, "attached").when(listed, "disallowed").when(close & ~joined, "near_miss")
     f = w.where(joined | listed | n.between(len(NAME) - 1, len(NAME) + 1)).withColumn("kind", kind).where("kind IS NOT NULL")
     return f.select(
-        (F.col("segment_id") * 1000 + F.col("word_at") % 1000).alias("finding_id"),
+        (F.col("segment_id") * WORDS + F.col("word_at")).alias("finding_id"),
+        (F.col("asset_id") % 3 + 1).alias("rule_id"),
         "run_id",
         "asset_id",
         "segment_id",
@@ -87,6 +90,11 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).join(a, "asset_id")
 
 
+def rules(spark: SparkSession) -> DataFrame:
+    """(rule_id, name, allowed, severity) of the rules that findings are of."""
+    return spark.range(1, 4).select(F.col("id").alias("rule_id"), F.lit("Thing").alias("name"), F.array(*map(F.lit, CASINGS)).alias("allowed"), F.element_at(F.array(*map(F.lit, ("high", "medium", "low"))), F.col("id").cast("int")).alias("severity"))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model calls: one per event, its type as the stage; errors failed."""
     e = table(spark, sf_dir, "events")
@@ -114,15 +122,15 @@ SQL = {
     CASE WHEN doc_id % 10 < 2 THEN 'pdf' ELSE 'page' END AS kind,
     CASE WHEN doc_id % 23 = 0 THEN 'failed' WHEN doc_id % 29 = 0 THEN 'skipped' ELSE 'ok' END AS status,
     CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS language,
-    CASE WHEN doc_id % 5 = 0 THEN doc_id - 2 END AS found_on_id, source AS site
+    CASE WHEN doc_id % 5 = 0 THEN doc_id - 2 END AS found_on_id, source AS site, substring(split_part(text, chr(10), 1), 1, 60) AS title
   FROM documents)""",
     "segments": """lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS pos FROM documents),
 segments AS (
-  SELECT doc_id * 1000000 + pos AS segment_id, doc_id AS asset_id, doc_id % 2 + 1 AS run_id, pos,
+  SELECT doc_id * 100000 + pos AS segment_id, doc_id AS asset_id, doc_id % 2 + 1 AS run_id, pos,
     CASE WHEN pos = 0 THEN 'heading' WHEN pos % 7 = 3 THEN 'meta:description' ELSE 'text' END AS text_source,
     CASE WHEN pos % 7 = 3 THEN 'metadata' WHEN pos % 5 = 4 THEN 'hidden' ELSE 'visible' END AS visibility,
-    substring(trim(regexp_replace(raw, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '), 1, 5000) AS text
+    trim(regexp_replace(raw, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS text
   FROM lines WHERE trim(regexp_replace(raw, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') <> '')""",
     "words": """words AS (
   SELECT *, unnest(regexp_extract_all(text, '\\p{L}+')) AS word, CAST(generate_subscripts(regexp_extract_all(text, '\\p{L}+'), 1) - 1 AS BIGINT) AS word_at FROM segments)""",
@@ -133,13 +141,14 @@ segments AS (
     WHEN length(word) BETWEEN 4 AND 6 AND levenshtein(lower(word), 'thing') = 1 AND NOT contains(lower(word), 'thing') AND octet_length(encode(word)) = length(word) THEN 'near_miss' END AS kind
   FROM words),
 findings AS (
-  SELECT segment_id * 1000 + word_at % 1000 AS finding_id, run_id, asset_id, segment_id, word_at AS start, kind,
+  SELECT segment_id * 100000 + word_at AS finding_id, asset_id % 3 + 1 AS rule_id, run_id, asset_id, segment_id, word_at AS start, kind,
     CASE WHEN kind = 'near_miss' THEN 'ambiguous' WHEN kind = 'attached' AND segment_id % 11 = 0 THEN 'dismissed' ELSE 'violation' END AS status,
     CASE WHEN kind IN ('casing', 'disallowed') THEN 'high' WHEN kind = 'near_miss' THEN 'medium' ELSE 'low' END AS severity,
     word AS matched_text, text_source, visibility, text
   FROM kinds WHERE kind IS NOT NULL)""",
     "rows": """rows AS (
   SELECT f.*, a.url, a.kind AS asset_kind, a.site FROM findings f JOIN assets a USING (asset_id))""",
+    "rules": """rules AS (SELECT * FROM (VALUES (1, 'Thing', 'high'), (2, 'Thing', 'medium'), (3, 'Thing', 'low')) t(rule_id, name, severity))""",
     "calls": """calls AS (
   SELECT event_id AS call_id, event_type AS stage, user_id AS run_id, event_id % 900 + 100 AS input_tokens, event_id % 70 + 5 AS output_tokens,
     event_type <> 'error' AS ok, ts AS created_at FROM events)""",

@@ -10,16 +10,28 @@ import html
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import REVIEW_BATCH
+from ..functions.order import numbered
 from ..functions.text import digest_of, snippet
 
 WIDTH = 150
 VERDICTS = ("misspelling", "not_brand", "unsure")
 
 
+def select_candidates(findings: DataFrame, segments: DataFrame, assets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Ambiguous findings with their segment's text, their asset's own language and their rule's name,
+    allowed casings and severity; a finding that lacks one of the three is left out.
+
+    rules: (rule_id, name, allowed, severity).
+    """
+    open_ = findings.where("status = 'ambiguous'").select("finding_id", "rule_id", "segment_id", "asset_id", "matched_text", "start")
+    said, where = segments.select("segment_id", "text"), assets.select("asset_id", "language")
+    return open_.join(said, "segment_id").join(where, "asset_id").join(rules.select("rule_id", "name", "allowed", "severity"), "rule_id")
+
+
 def candidates(rows: DataFrame, model: str, instructions: str, name: str) -> DataFrame:
     """Ambiguous findings with their surroundings and the key that answers are kept by."""
     out = rows.where("status = 'ambiguous'").withColumn("context", snippet(F.col("text"), F.col("start"), F.col("start") + F.char_length("matched_text"), WIDTH))
@@ -33,8 +45,8 @@ def split_known(found: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame
 
 def batches(pending: DataFrame, size: int = REVIEW_BATCH, by: str = "rule_id") -> DataFrame:
     """Numbers the pending findings of a rule in batches, in order of their id."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy("finding_id")) - 1
-    return pending.withColumn("batch", F.floor(n / size)).withColumn("number", (n % size + 1).cast("int"))
+    n = F.col("__number") - 1
+    return numbered(pending, [by], "finding_id", "__number").withColumn("batch", F.floor(n / size)).withColumn("number", (n % size + 1).cast("int")).drop("__number")
 
 
 def prompt(name: str, allowed: list[str], batch: list[dict]) -> str:
@@ -54,18 +66,20 @@ def judged(numbered: DataFrame, judge: Callable[[str, list[dict]], dict[int, str
     return numbered.groupBy(by, "batch").applyInArrow(run, "finding_id long, verdict string")
 
 
-def applied(findings: DataFrame, verdicts: DataFrame, severity: str = "high") -> DataFrame:
+def applied(findings: DataFrame, verdicts: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings with verdicts taken over: a misspelling is a violation as severe as its rule, another
-    word is dismissed, everything else stays as it is."""
+    word is dismissed, everything else stays as it is. rules: (rule_id, severity)."""
     v = verdicts.where("verdict IS NOT NULL").select("finding_id", F.col("verdict").alias("ai_verdict"))
-    out = findings.join(v, "finding_id", "left")
+    own = rules.select("rule_id", F.col("severity").alias("__severity"))
+    out = findings.join(v, "finding_id", "left").join(own, "rule_id", "left")
     wrong = F.coalesce(F.col("ai_verdict") == "misspelling", F.lit(False))
-    return out.withColumns(
+    out = out.withColumns(
         {
             "status": F.when(wrong, "violation").when(F.col("ai_verdict") == "not_brand", "dismissed").otherwise(F.col("status")),
-            "severity": F.when(wrong, severity).otherwise(F.col("severity")),
+            "severity": F.when(wrong, F.coalesce("__severity", "severity")).otherwise(F.col("severity")),
         }
     )
+    return out.select(*findings.columns, "ai_verdict")
 
 
 def outcome(verdicts: DataFrame) -> DataFrame:

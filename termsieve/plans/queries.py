@@ -204,6 +204,12 @@ def search_like(spark, d):
     return R.asset_list(E.assets(spark, d), E.findings(spark, d), "page,pdf", "ok,failed", "src1_.example.com/p/").select("asset_id", "url", "findings")
 
 
+@query(with_sql("assets", "findings") + """SELECT a.asset_id, a.title, count(f.finding_id) AS findings FROM assets a LEFT JOIN findings f USING (asset_id)
+WHERE a.url ILIKE '%th_nd%' OR a.title ILIKE '%th_nd%' GROUP BY 1, 2""")
+def search_titles(spark, d):
+    return R.asset_list(E.assets(spark, d), E.findings(spark, d), q="th_nd").select("asset_id", "title", "findings")
+
+
 @query(with_sql("assets", "findings") + "SELECT asset_id, count(finding_id) AS findings FROM assets LEFT JOIN findings USING (asset_id) GROUP BY 1")
 def asset_findings_count(spark, d):
     return R.asset_list(E.assets(spark, d), E.findings(spark, d)).select("asset_id", "findings")
@@ -248,6 +254,11 @@ def findings_page(spark, d):
     return R.page(E.rows(spark, d), 100, 50, "finding_id").select("finding_id", "kind", "matched_text")
 
 
+@query(with_sql("rows") + "SELECT finding_id, kind, (SELECT count(*) FROM rows) AS total FROM rows ORDER BY finding_id LIMIT 40 OFFSET 20")
+def findings_page_total(spark, d):
+    return R.page_with_total(E.rows(spark, d), 20, 40, "finding_id").select("finding_id", "kind", "total")
+
+
 @query(with_sql("rows") + """SELECT CAST(finding_id AS VARCHAR) AS finding_id, status, kind AS type, severity, matched_text AS found, '' AS expected, '' AS change, visibility, text_source, asset_kind, url,
   '' AS page_title, '' AS pdf_page, text, '' AS note, '' AS rule_version FROM rows""")
 def csv_projection(spark, d):
@@ -337,6 +348,14 @@ SQL["only_in_first"], QUERIES["only_in_first"] = _only(1, 2)
 SQL["only_in_second"], QUERIES["only_in_second"] = _only(2, 1)
 
 
+@query(with_sql("assets") + """, p AS (SELECT DISTINCT run_id AS crawler, url FROM assets WHERE kind = 'page' AND status = 'ok'),
+a AS (SELECT url, min(crawler) AS crawler FROM p GROUP BY 1 HAVING count(*) = 1), k AS (SELECT *, row_number() OVER (PARTITION BY crawler ORDER BY url) AS n FROM a)
+SELECT crawler, url FROM k WHERE n <= 50 AND (SELECT count(DISTINCT crawler) FROM p) = 2""")
+def only_in_each(spark, d):
+    ok = E.assets(spark, d).where("kind = 'page' AND status = 'ok'")
+    return R.only_in_each(ok.select(F.col("run_id").alias("crawler"), "url"))
+
+
 @query(_SCORES + """SELECT run_id, avg(score) AS score, count(*) FILTER (kind = 'page') AS pages_ok, count(*) FILTER (kind = 'pdf') AS pdfs_read,
   CASE WHEN avg(score) > (SELECT avg(score) FROM scores s WHERE s.run_id <> scores.run_id) THEN 'better' ELSE NULL END AS marker FROM scores GROUP BY run_id""")
 def comparison(spark, d):
@@ -443,7 +462,8 @@ def page_findings(spark, d):
     return V.evaluate(s, [RULE])
 
 
-@query()
+@query("WITH " + _URL.rstrip().rstrip(",") + """
+SELECT page_id, CASE WHEN regexp_matches(path || CASE WHEN query = '' THEN '' ELSE '?' || query END, '^/.*ref=') THEN FALSE WHEN starts_with(path, '/fr/8') THEN TRUE ELSE NOT starts_with(path, '/fr/') END AS allowed FROM w""")
 def robots_allowed(spark, d):
     p = E.pages(spark, d).select("page_id", "url", "host")
     text = "User-agent: *\nDisallow: /*ref=\nDisallow: /fr/\nAllow: /fr/8\n"
@@ -465,7 +485,7 @@ def page_limit_cap(spark, d):
 
 @query(with_sql("segments") + "SELECT asset_id, segment_id, CASE WHEN row_number() OVER (PARTITION BY asset_id ORDER BY visibility = 'visible' DESC, segment_id) <= 4 THEN 'kept' ELSE 'page_limit' END AS outcome FROM segments")
 def priority_cap(spark, d):
-    return R.capped(E.segments(spark, d).select("asset_id", "segment_id", "visibility"), "asset_id", [F.desc(F.col("visibility") == "visible"), "segment_id"], 4).drop("visibility")
+    return R.capped(E.segments(spark, d).select("asset_id", "segment_id", "visibility"), "asset_id", [F.col("visibility") != "visible", "segment_id"], 4).drop("visibility")
 
 
 # --- events, usage, review
@@ -492,6 +512,13 @@ def usage_by_day(spark, d):
     return u.withColumn("stages", F.concat_ws(",", F.transform(F.map_entries("stages"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))))
 
 
+@query(with_sql("calls") + """, s AS (SELECT CAST(created_at AS DATE) AS date, count(*) AS c, count(*) FILTER (NOT ok) AS f, sum(input_tokens) AS i, sum(output_tokens) AS o FROM calls GROUP BY 1)
+SELECT CAST(sum(c) AS BIGINT) AS calls, CAST(sum(f) AS BIGINT) AS failed, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens,
+  round(sum(round(CAST(i AS DOUBLE) / 1e6 * 0.3 + CAST(o AS DOUBLE) / 1e6 * 2.5, 4)), 4) AS cost FROM s""")
+def usage_total(spark, d):
+    return R.usage_total(R.usage(E.calls(spark, d)))
+
+
 @query(with_sql("calls") + "SELECT count(*) AS calls_today FROM calls WHERE created_at >= date_trunc('day', (SELECT max(created_at) FROM calls))")
 def calls_today(spark, d):
     c = E.calls(spark, d)
@@ -518,10 +545,18 @@ def _answers(spark, d):
     return E.findings(spark, d).where("status = 'ambiguous'").join(k, "asset_id", "left").select("finding_id", "verdict")
 
 
-@query(_ANSWERS + """SELECT f.finding_id, coalesce(CASE c.verdict WHEN 'misspelling' THEN 'violation' WHEN 'not_brand' THEN 'dismissed' END, f.status) AS status, CASE WHEN c.verdict = 'misspelling' THEN 'high' ELSE f.severity END AS severity
-FROM findings f LEFT JOIN c USING (finding_id)""")
+@query(_ANSWERS.replace("WITH ", "WITH " + E.SQL["rules"] + ",\n", 1) + """SELECT f.finding_id, coalesce(CASE c.verdict WHEN 'misspelling' THEN 'violation' WHEN 'not_brand' THEN 'dismissed' END, f.status) AS status, CASE WHEN c.verdict = 'misspelling' THEN r.severity ELSE f.severity END AS severity
+FROM findings f LEFT JOIN c USING (finding_id) JOIN rules r ON r.rule_id = f.rule_id""")
 def review_apply(spark, d):
-    return review.applied(E.findings(spark, d), _answers(spark, d)).select("finding_id", "status", "severity")
+    """A confirmed misspelling is as severe as its rule."""
+    return review.applied(E.findings(spark, d), _answers(spark, d), E.rules(spark)).select("finding_id", "status", "severity")
+
+
+@query(with_sql("findings", "assets", "rules") + """SELECT f.finding_id, f.matched_text, s.text, a.language, r.name, r.severity FROM findings f JOIN segments s USING (segment_id) JOIN assets a ON a.asset_id = f.asset_id
+JOIN rules r ON r.rule_id = f.rule_id WHERE f.status = 'ambiguous'""")
+def review_select(spark, d):
+    out = review.select_candidates(E.findings(spark, d), E.segments(spark, d), E.assets(spark, d), E.rules(spark))
+    return out.select("finding_id", "matched_text", "text", "language", "name", "severity")
 
 
 @query(_ANSWERS + "SELECT coalesce(verdict, 'unanswered') AS outcome, count(*) AS n FROM c GROUP BY 1")
@@ -659,7 +694,7 @@ def run_sentences(spark, d):
 SELECT asset_id, count(*) FILTER (status = 'violation') AS violations, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'dismissed') AS dismissed FROM done GROUP BY 1""")
 def counts_after_review(spark, d):
     """What a run's summary says once verdicts are taken over."""
-    done = review.applied(E.findings(spark, d), _answers(spark, d))
+    done = review.applied(E.findings(spark, d), _answers(spark, d), E.rules(spark))
     one = lambda v: F.count_if(F.col("status") == v)
     return done.groupBy("asset_id").agg(one("violation").alias("violations"), one("ambiguous").alias("ambiguous"), one("dismissed").alias("dismissed"))
 

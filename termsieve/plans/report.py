@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PRICE_IN, PRICE_OUT, SEVERITY_WEIGHT, VISIBILITY_FACTOR
-from ..functions.text import exact_round
+from ..functions.order import with_neighbours
+from ..functions.text import exact_round, folded
 
 #: Identity of a finding across runs.
 KEY = ["url", "kind", "matched_text", "text_source", "text"]
@@ -58,8 +59,8 @@ def filtered(rows: DataFrame, q: str | None = None, **wanted: str | None) -> Dat
         if value:
             rows = rows.where(F.col(name).isin(*value.split(",")))
     if q:
-        needle = F.lower(F.lit(q))
-        rows = rows.where(reduce(lambda a, b: a | b, (F.contains(F.lower(c), needle) for c in ("matched_text", "text", "url"))))
+        needle = folded(F.lit(q))
+        rows = rows.where(reduce(lambda a, b: a | b, (F.contains(folded(F.col(c)), needle) for c in ("matched_text", "text", "url"))))
     return rows
 
 
@@ -74,6 +75,12 @@ def page(rows: DataFrame, offset: int, limit: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(rows: DataFrame, offset: int, limit: int, *order: str) -> DataFrame:
+    """A page whose rows carry the number of all rows in `total`."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return page(rows, offset, limit, *order).crossJoin(F.broadcast(total))  # one row
+
+
 def _weight(severity: Column, visibility: Column) -> Column:
     w = F.when(F.lit(False), 0)
     for name, value in SEVERITY_WEIGHT.items():
@@ -164,14 +171,13 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def neighbours(findings: DataFrame) -> DataFrame:
     """The findings before and after each one in its run's order (asset, segment, start, id).
 
-    Only the findings of an asset meet in one task; across assets the ends of each are enough, which
-    is one row an asset.
+    Only the findings of an asset meet in one task; across assets the ends of each are enough, and of these
+    only those of a range of ids.
     """
     order = ("segment_id", "start", "finding_id")
     own = Window.partitionBy("run_id", "asset_id").orderBy(*order)
     ends = findings.groupBy("run_id", "asset_id").agg(F.min_by("finding_id", F.struct(*order)).alias("first"), F.max_by("finding_id", F.struct(*order)).alias("last"))
-    run = Window.partitionBy("run_id").orderBy("asset_id")
-    around = ends.select("run_id", "asset_id", F.lag("last").over(run).alias("before"), F.lead("first").over(run).alias("after"))
+    around = with_neighbours(ends, ["run_id"], "asset_id", "last", "first").select("run_id", "asset_id", "before", "after")
     near = findings.select("run_id", "asset_id", "finding_id", F.lag("finding_id").over(own).alias("p"), F.lead("finding_id").over(own).alias("n"))
     return near.join(around, ["run_id", "asset_id"]).select("finding_id", F.coalesce("p", "before").alias("previous_id"), F.coalesce("n", "after").alias("next_id"))
 
@@ -194,13 +200,25 @@ def only_in(a: DataFrame, b: DataFrame, k: int = 50) -> DataFrame:
     return a.subtract(b).orderBy(*a.columns).limit(k)
 
 
+def only_in_each(pages: DataFrame, k: int = 50) -> DataFrame:
+    """(crawler, url): the first k pages that one crawler alone has. Nothing unless there are two crawlers exactly.
+
+    pages: (crawler, url).
+    """
+    some = pages.select("crawler", "url").distinct()
+    two = some.agg(F.countDistinct("crawler").alias("__n")).where("__n = 2")
+    alone = some.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min("crawler").alias("crawler")).where("n = 1").select("crawler", "url")
+    return capped(alone, "crawler", ["url"], k).where("outcome = 'kept'").select("crawler", "url").crossJoin(F.broadcast(two)).drop("__n")  # one row at most
+
+
 def asset_list(assets: DataFrame, findings: DataFrame, kind: str | None = None, status: str | None = None, q: str | None = None) -> DataFrame:
-    """Assets with how many findings they have; q matches as SQL LIKE, its wildcards included."""
+    """Assets with how many findings they have; q matches the url or the title as SQL LIKE, its wildcards included."""
     for name, value in (("kind", kind), ("status", status)):
         if value:
             assets = assets.where(F.col(name).isin(*value.split(",")))
     if q:
-        assets = assets.where(F.col("url").ilike(f"%{q}%"))
+        like = [F.coalesce(F.col(c).ilike(f"%{q}%"), F.lit(False)) for c in ("url", "title") if c in assets.columns]
+        assets = assets.where(reduce(lambda a, b: a | b, like))
     n = findings.groupBy("asset_id").agg(F.count(F.lit(1)).alias("findings"))
     return assets.join(n, "asset_id", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
 
@@ -228,6 +246,11 @@ def usage(calls: DataFrame, price_in: float = PRICE_IN, price_out: float = PRICE
     return day.withColumn("cost", F.round(F.col("input_tokens") / 1e6 * price_in + F.col("output_tokens") / 1e6 * price_out, 4))
 
 
+def usage_total(days: DataFrame) -> DataFrame:
+    """Sums over all days; the cost is the sum of the days' rounded costs."""
+    return days.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "failed", "input_tokens", "output_tokens")), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost"))
+
+
 def readiness(sites: DataFrame) -> DataFrame:
     """What a site waits for: a check, a new check, a passed one, an acknowledgement, or nothing."""
     state = (
@@ -254,10 +277,22 @@ def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return first.select("r.*")
 
 
-def capped(rows: DataFrame, by: str, order: list, cap: int) -> DataFrame:
-    """`kept` for the first `cap` rows of each group, `page_limit` for those after."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumn("outcome", F.when(F.row_number().over(w) <= cap, "kept").otherwise("page_limit"))
+def capped(rows: DataFrame, by: str, order: list, cap: int, salts: int = 1024) -> DataFrame:
+    """`kept` for the first `cap` rows of each group, `page_limit` for those after. order: ascending, and
+    different for the rows of a group.
+
+    The last order that is kept is found among the first ones of each of `salts` parts of a group, so a
+    large group is spread over as many tasks.
+    """
+    place = F.struct(*(c if isinstance(c, Column) else F.col(c) for c in order))
+    marked = rows.withColumn("__at", place)
+    part = Window.partitionBy(by, F.pmod(F.xxhash64("__at"), F.lit(salts))).orderBy("__at")
+    first = marked.select(by, "__at", F.row_number().over(part).alias("__k")).where(F.col("__k") <= cap).drop("__k")
+    last = first.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy("__at"))).where(F.col("__k") == cap)
+    last = last.select(F.col(by).alias("__by"), F.col("__at").alias("__last"))
+    joined = marked.join(last, marked[by].eqNullSafe(last["__by"]), "left")
+    kept = F.col("__last").isNull() | (F.col("__at") <= F.col("__last"))
+    return joined.withColumn("outcome", F.when(kept, "kept").otherwise("page_limit")).drop("__at", "__by", "__last")
 
 
 def latest_wins(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
