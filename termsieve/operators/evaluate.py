@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RuleVersion
-from ..functions.spelling import SEPARATORS, SHORTEST_NEAR_MISS, Checker
+from ..functions.spelling import SEPARATORS, SHORTEST_NEAR_MISS, Checker, fold, masked
 
 FOUND = "rule_id long, rule_version int, kind string, start int, end int, matched_text string, expected string, status string, severity string, confidence double, note string"
 _KINDS = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
@@ -70,6 +70,19 @@ def evaluate(segments: DataFrame, rules: list[RuleVersion], text: str = "text",
     return rows.mapInArrow(run, f"{schema}, {FOUND}")
 
 
+def with_masked(rows: DataFrame, kinds: tuple[str, ...], text: str = "text") -> DataFrame:
+    """Rows with `masked`: the folded text with its exceptions blanked, as the check reads it."""
+    kept = rows.columns
+
+    def run(batches):
+        for batch in batches:
+            out = [None if t is None else masked(fold(t)[0], kinds) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*kept, "masked"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, masked string")
+
+
 def with_language(assets: DataFrame) -> DataFrame:
     """Assets that could be read, with the language declared by themselves or by the page that
     linked to them (which must be among them)."""

@@ -15,6 +15,7 @@ from ..operators import evaluate as V
 from ..operators import review
 from ..operators.near import near_misses
 from ..sources import html, robots
+from . import kernel
 from . import report as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,13 +113,13 @@ def mask_counts(spark, d):
     return E.table(spark, d, "documents").select("doc_id", *(F.size(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0))).cast("long").alias(k) for k, p in _MASKS.items()))
 
 
-@query()
+@query(kernel.full_sql(RULE))
 def findings_full(spark, d):
     """All stages of the exact check over every segment."""
     return V.evaluate_run(E.segments(spark, d), E.assets(spark, d), [RULE]).select("run_id", "asset_id", "segment_id", "rule_id", "rule_version", "kind", "start", "end", "matched_text", "expected", "status", "severity", "confidence", "note")
 
 
-@query()
+@query(kernel.summary_sql(RULE))
 def evaluation_summary(spark, d):
     return V.summary(V.evaluate_run(E.segments(spark, d), E.assets(spark, d), [RULE]))
 
@@ -706,11 +707,11 @@ def segments_with_findings(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | kernel.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | kernel.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
