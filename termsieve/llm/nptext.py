@@ -116,6 +116,21 @@ class Chunk:
         at = np.flatnonzero(self.word_doc[: len(g)] == self.word_doc[n - 1 :])
         return mix(g[at]), at
 
+    def shapes(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first word of every n-gram of words of which some are equal: its shape (a b a c), whatever the words."""
+        if len(h) < n:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        m = len(h) - n + 1
+        code, plain = np.zeros(m, dtype=np.uint64), 0
+        for i in range(n):
+            first = np.full(m, i, dtype=np.uint64)
+            for j in range(i - 1, -1, -1):
+                first[h[j : j + m] == h[i : i + m]] = j
+            code = code * np.uint64(n) + first
+            plain = plain * n + i
+        at = np.flatnonzero((self.word_doc[:m] == self.word_doc[n - 1 :]) & (code != np.uint64(plain)))
+        return mix(code[at] + np.uint64(n)), at
+
     def byte_grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and document of every n-gram of bytes within a document."""
         if len(self.data) < n:

@@ -2,8 +2,8 @@
 
 The counts (words, code points in words, symbols, repeated lines, words in repeated 5-word
 windows) are exact up to 64-bit hash equality within one document. The model is a logistic
-regression on hashed word 1/2-grams, byte 3-grams and pairs of equal words, as relative frequencies,
-fitted to at most `rows` labelled rows, calibrated on a fifth of them that the fit has not seen,
+regression on hashed word 1/2-grams, byte 3-grams and the shapes of four words in a row (which of them
+are equal, whatever they say), as relative frequencies, fitted to at most `rows` labelled rows, calibrated on a fifth of them that the fit has not seen,
 and compared with a fixed threshold. Labels, ids, lang and source are never inputs of a score.
 
 Defined results: null or empty text has zero words and fails the base rules; the verdict of a text
@@ -29,6 +29,8 @@ THRESHOLD = 0.6
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 5
+#: Words of an n-gram whose shape is a feature.
+SHAPE = 4
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -71,8 +73,8 @@ def grams(c: Chunk, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndar
         bins = (((key + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
         n = np.bincount(doc, minlength=c.n)
         out.append((bins, doc, SCALE / np.maximum(n, 1)))
-    equal = at[h[at] == h[at + 1]]
-    out.append((np.zeros(len(equal), np.int64), c.word_doc[equal], SCALE / 4 / np.maximum(c.n_words - 1, 1)))
+    f, fa = c.shapes(h, SHAPE)
+    out.append((((f * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64), c.word_doc[fa], SCALE / 4 / np.maximum(c.n_words - 1, 1)))
     return out
 
 

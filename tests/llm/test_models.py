@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from termsieve.llm import linear, lm, nbsvm, rules
+from termsieve.llm.nptext import Chunk
 
 from .edge import LONG, PROSE, TEXTS, docs, key, labels
 
@@ -38,6 +39,18 @@ def test_rules_keep_rows_with_all_columns(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(((i, t) for (i, t), k in zip(TEXTS, [None] * len(TEXTS)) if i in {r.doc_id for r in full.where("kept").collect()}), key=key)
 
 
+def test_shapes_of_words():
+    texts = ["a a b c", "x y x z x", "p q r s t", "a b", "", "z z z z z", "k l", "l k k l"]
+    data = np.frombuffer(" ".join(texts).encode(), dtype=np.uint8)
+    off = np.cumsum([0] + [len(t) + 1 for t in texts])
+    off[-1] = len(data)
+    c = Chunk(data, off)
+    key, at = c.shapes(c.words(), 4)
+    got = list(zip(c.word_doc[at].tolist(), key.tolist()))
+    assert [d for d, _ in got] == [0, 1, 1, 5, 5, 7]  # aabc; xyxz, yxzx; zzzz twice; abba
+    assert len({k for _, k in got}) == 5 and got[3][1] == got[4][1]
+
+
 def quality_tables(spark, n=600):
     rng = np.random.default_rng(3)
     rows, marks = [], []
@@ -110,36 +123,47 @@ def lm_by_hand(rows):
     fold = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 for i, _ in rows]
 
     def gather(keep):
-        u, b, n = Counter(), Counter(), 0
+        u, b, t, n = Counter(), Counter(), Counter(), 0
         for w, f in zip(tok, fold):
             if keep(f):
                 u.update(w)
                 b.update(zip([0, *w[:-1]], w))
+                t.update(zip([0, *w[:-2]], w[:-1], w[1:]))
                 n += 1
-        return u, b, Counter(u) + Counter({0: n})
+        return u, b, t, Counter(u) + Counter({0: n})
 
     level = lambda c: 0 if c == 0 else int(math.floor(math.log2(c))) + 1
-    u, b, c = gather(lambda f: f not in (2, 3))
+
+    def learn(pairs):
+        seen: dict = {}
+        for c, ratio in pairs:
+            if c:
+                seen.setdefault(level(c), []).append(ratio)
+        weights, last = [0.0] * 48, 0.5
+        for k in range(1, 48):
+            if k in seen:
+                r, last = np.array(seen[k]), 0.5
+                for _ in range(100):
+                    last = min(max(float((last * r / (last * r + 1 - last)).mean()), 1e-6), 1 - 1e-6)
+            weights[k] = last
+        return weights
+
+    u, b, t, c = gather(lambda f: f not in (2, 3))
     n, v = sum(u.values()), len(u)
-    seen: dict = {}
-    for w, f in zip(tok, fold):
-        for h, x in zip([0, *w[:-1]], w) if f == 3 else ():
-            if c[h]:
-                seen.setdefault(level(c[h]), []).append(b[h, x] / c[h] / ((u[x] + 1) / (n + v + 1)))
-    weights, last = [0.0] * 48, 0.5
-    for k in range(1, 48):
-        if k in seen:
-            r, last = np.array(seen[k]), 0.5
-            for _ in range(100):
-                last = min(max(float((last * r / (last * r + 1 - last)).mean()), 1e-6), 1 - 1e-6)
-        weights[k] = last
-    u, b, c = gather(lambda f: f != 2)
+    one = lambda x: (u[x] + 1) / (n + v + 1)
+    of = lambda top, context: top / context if context else 0.0
+    mix2 = lambda h, x: w2[level(c[h])] * of(b[h, x], c[h]) + (1 - w2[level(c[h])]) * one(x)
+    # A text's first token has no trigram.
+    mix3 = lambda g, h, x: mix2(h, x) if g is ... else w3[level(b[g, h])] * of(t[g, h, x], b[g, h]) + (1 - w3[level(b[g, h])]) * mix2(h, x)
+    triples = lambda w: zip([..., 0, *w[:-2]], [0, *w[:-1]], w)
+    held = [w for w, f in zip(tok, fold) if f == 3]
+    w2 = learn((c[h], of(b[h, x], c[h]) / one(x)) for w in held for _, h, x in triples(w))
+    w3 = learn((b[g, h], of(t[g, h, x], b[g, h]) / mix2(h, x)) for w in held for g, h, x in triples(w) if g is not ...)
+    u, b, t, c = gather(lambda f: f != 2)
     n, v = sum(u.values()), len(u)
     out = []
     for (i, _), w, f in zip(rows, tok, fold):
-        base = [(u[x] + 1) / (n + v + 1) for x in w]
-        mixed = [weights[level(c[h])] * (b[h, x] / c[h] if c[h] else 0) + (1 - weights[level(c[h])]) * p for h, x, p in zip([0, *w[:-1]], w, base)]
-        out.append((i, f == 2, len(w), sum(u[x] > 0 for x in w), n, sum(map(math.log10, base)), sum(map(math.log10, mixed))))
+        out.append((i, f == 2, len(w), sum(u[x] > 0 for x in w), n, sum(math.log10(one(x)) for x in w), sum(math.log10(mix3(*x)) for x in triples(w))))
     return out
 
 
