@@ -1,21 +1,31 @@
-"""Language-model scoring: deleted interpolation of bigram and unigram estimates.
+"""Language-model scoring: deleted interpolation of trigram, bigram and unigram estimates.
 
-P(w | h) = L[b(h)] * c(h, w) / c(h) + (1 - L[b(h)]) * (c(w) + 1) / (N + V + 1), where b(h) is the
-power of two below c(h) and L is learned by expectation-maximisation: a part of the training
-documents (id crc32 modulo 7 is HELD) is taken out, the estimates are made from the rest, and the
-counts of the part's bigrams, by bucket and by ratio of the two estimates (in 1/32 octaves, a table
-of fixed size), are what the iterations run on. Scores use the counts of all training documents.
+P1(w)        = (c(w) + 1) / (N + V + 1), which leaves some mass for words that training has not seen,
+P2(w | h)    = L2[b(c(h))] * c(h w) / c(h) + (1 - L2[b(c(h))]) * P1(w),
+P3(w | g h)  = L3[b(c(g h))] * c(g h w) / c(g h) + (1 - L3[b(c(g h))]) * P2(w | h),
+
+where b(c) is the power of two below the context's count. L2, then L3 are learned by
+expectation-maximisation: a part of the training documents (id crc32 modulo 7 is HELD) is taken out,
+the estimates are made from the rest, and the counts of the part's n-grams, by bucket and by ratio of
+the two estimates that are mixed (in 1/32 octaves, a table of fixed size), are what the iterations run
+on. A ratio is off by 1.1 % at most in its bin, which moves a weight by less than that share of itself.
+Scores use the counts of all training documents, exactly.
 
 Every count is over the whole corpus. How they travel: a scan task turns documents into blocks of
 about BLOCK tokens (the block's distinct words as sorted 64-bit hashes, and the token sequence as
-indices), which are written to the shared folder. A block asks for the counts of its distinct words
-and bigrams: sorted keys, split over buckets by their leading bits. One task per bucket adds up what
+indices), which are written to the shared folder. A block asks for the counts of its distinct words,
+bigrams and trigrams: sorted keys, split over buckets by their leading bits. One task per bucket adds up what
 the blocks hold and answers each with the total counts of its keys, in their order. Blocks and
 answers meet by block number, so no text is shuffled and a word found in every document is asked for
 once a block. Memory follows the block and the bucket, not the corpus; the number of buckets
 follows the number of tokens.
 
-Two different words count as one only if 64-bit hashes collide.
+Two different words count as one only if 64-bit hashes collide. Keys of bigrams and trigrams have
+SPARE bits more than it takes to number the tokens (64 at most), so about one in 2**SPARE is not
+alone; that touches the score only, never the base score or the counts of known tokens.
+
+A corpus so large that a block has fewer keys than there are buckets (10**12 tokens or so) still gets right
+counts, but a row per key and block: BLOCK should grow with the corpus then.
 
 Defined results: null or empty text is one end token; a token or context that training has not seen
 has the smoothed unigram estimate alone; with no training rows at all N and V are 0; ids may be null
@@ -36,8 +46,9 @@ from .nptext import Chunk, chunks, mix
 
 TEST, HELD = 2, 3
 #: Tokens of a block, and keys of a bucket, about.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 BUCKET = 1 << 21
+SPARE = 22
 U = np.uint64
 END = int(mix(np.array([0x5851F42D4C957F2D], dtype=np.uint64))[0])
 BEGIN = int(mix(np.array([0x14057B7EF767814F], dtype=np.uint64))[0])
@@ -67,9 +78,13 @@ def unsqueeze_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(raw, np.uint64), dtype=np.uint64)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets in the order of the keys."""
-    return ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+def bucket_of(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Buckets in the order of the keys, which have so many bits."""
+    return ((keys >> U(bits - 32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def key_bits(tokens: int) -> int:
+    return min(64, max(40, int(tokens).bit_length() + SPARE))
 
 
 BLOCKS = "block long, role int, n_docs long, n_tokens long, doc_ids array<long>, lengths binary, words binary, stream binary"
@@ -121,33 +136,41 @@ def write_blocks(docs: DataFrame, path: str) -> None:
 
 
 class Block:
-    """A block's tokens, their contexts and the keys it asks for."""
+    """A block's tokens, their contexts and the keys it asks for: words, pairs, triples."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
         self.number, self.ids = row["block"], row["doc_ids"]
         self.lengths = unsqueeze(row["lengths"], np.int32).astype(np.int64)
         self.words = unsqueeze_keys(row["words"])
         self.stream = unsqueeze(row["stream"], np.uint32).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        word, shift = self.words[self.stream], U(64 - bits)
         before = np.empty(len(self.stream), dtype=np.uint64)
-        before[1:] = self.words[self.stream[:-1]]
+        before[1:] = word[:-1]
         before[self.start] = BEGIN
-        self.pairs, self.pair = np.unique(mix(before * U(0x9FB21C651E98DF25) + self.words[self.stream]), return_inverse=True)
+        pair = mix(before * U(0x9FB21C651E98DF25) + word)
+        self.pairs, self.pair = np.unique(pair >> shift, return_inverse=True)
+        #: Tokens that have two before them, the beginning of the text being one.
+        self.third = np.ones(len(self.stream), dtype=bool)
+        self.third[self.start] = False
+        at = np.flatnonzero(self.third)
+        self.triples, self.triple = np.unique(mix(pair[at - 1] * U(0xD6E8FEB86659FD93) + word[at]) >> shift, return_inverse=True)
+        self.kinds = ((self.words, self.stream, 64), (self.pairs, self.pair, bits), (self.triples, self.triple, bits))
 
 
 ASKED = "kind int, bucket long, block long, role int, keys binary, counts binary"
 
 
-def asked(blocks: DataFrame, buckets: int) -> DataFrame:
-    """One row per block, kind (0: words, 1: bigrams) and bucket: the block's keys and own counts."""
+def asked(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
+    """One row per block, kind (0: words, 1: bigrams, 2: trigrams) and bucket: the block's keys and own counts."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b, out = Block(row), []
-                for kind, keys, own in ((0, b.words, b.stream), (1, b.pairs, b.pair)):
+                b, out = Block(row, bits), []
+                for kind, (keys, own, width) in enumerate(b.kinds):
                     counts = np.bincount(own, minlength=len(keys)).astype(np.uint32)
-                    at = bucket_of(keys, buckets)
+                    at = bucket_of(keys, buckets, width)
                     edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
                     for i, j in zip(edge.tolist(), np.append(edge[1:], len(keys)).tolist()):
                         out.append((kind, int(at[i]), b.number, row["role"], squeeze_keys(keys[i:j]), squeeze(counts[i:j])))
@@ -193,18 +216,43 @@ def level(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.minimum(np.floor(np.log2(np.maximum(count, 1))) + 1, LEVELS - 1), 0).astype(np.int64)
 
 
-def estimates(b: Block, word_count: np.ndarray, pair_count: np.ndarray, n: int, v: int, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: bigram estimate, smoothed unigram estimate, bucket of the context."""
-    of_word = word_count[b.stream]
-    context = np.empty(len(b.stream), dtype=np.int64)
-    context[1:] = of_word[:-1]
-    context[b.start] = docs
-    high = np.where(context > 0, pair_count[b.pair] / np.maximum(context, 1), 0.0)
-    return high, (of_word + 1) / (n + v + 1), level(context)
+class Estimates:
+    """Of each token of a block: the estimates of the three orders and the buckets of both contexts."""
+
+    def __init__(self, b: Block, counts: list[np.ndarray], n: int, v: int, docs: int):
+        of_word, of_pair = counts[0][b.stream], counts[1][b.pair]
+        context = np.empty(len(b.stream), dtype=np.int64)
+        context[1:] = of_word[:-1]
+        context[b.start] = docs
+        self.low = (of_word + 1) / (n + v + 1)
+        self.high = np.where(context > 0, of_pair / np.maximum(context, 1), 0.0)
+        self.level = level(context)
+        context[1:] = of_pair[:-1]
+        context[b.start] = 0
+        self.top = np.zeros(len(b.stream))
+        self.top[b.third] = counts[2][b.triple]
+        self.top = np.where(context > 0, self.top / np.maximum(context, 1), 0.0)
+        self.top_level = level(context)
+        self.known = of_word > 0
+
+    def pairs(self, weights: np.ndarray) -> np.ndarray:
+        x = weights[self.level]
+        return x * self.high + (1 - x) * self.low
+
+    def triples(self, weights: np.ndarray, top_weights: np.ndarray) -> np.ndarray:
+        x = top_weights[self.top_level]
+        return x * self.top + (1 - x) * self.pairs(weights)
+
+
+def cells(levels: np.ndarray, ratio: np.ndarray) -> pa.Table:
+    """How many tokens there are of each bucket and ratio bin."""
+    bins = np.where(ratio > 0, np.clip(np.round(np.log2(np.maximum(ratio, 1e-30)) * OCTAVE) + 1 + LOW * OCTAVE, 1, BINS - 1), 0).astype(np.int64)
+    cell, count = np.unique(levels * BINS + bins, return_counts=True)
+    return pa.table({"cell": cell, "n": count.astype(np.int64)})
 
 
 def learn_weights(table: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Mixture weight of the bigram estimate per bucket, from held-out counts by ratio bin."""
+    """Mixture weight of the higher estimate per bucket, from held-out counts by ratio bin."""
     ratio = np.concatenate([[0.0], 2.0 ** ((np.arange(1, BINS) - 1 - LOW * OCTAVE) / OCTAVE)])
     weights, last = np.zeros(LEVELS), 0.5
     for k in range(1, LEVELS):
@@ -221,13 +269,11 @@ def learn_weights(table: np.ndarray, rounds: int = 100) -> np.ndarray:
     return weights
 
 
-def _counts(answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of a block's words and bigrams, in the order of its keys."""
-    out = []
+def _counts(answers: pa.Table, column: str) -> list[np.ndarray]:
+    """Counts of a block's words, bigrams and trigrams, in the order of its keys."""
     rows = sorted(zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers[column].to_pylist()), key=lambda r: r[:2])
-    for kind in (0, 1):
-        out.append(np.concatenate([unsqueeze(r[2], np.int64) for r in rows if r[0] == kind]))
-    return out[0], out[1]
+    of = lambda kind: [unsqueeze(r[2], np.int64) for r in rows if r[0] == kind]
+    return [np.concatenate(of(kind) or [np.zeros(0, np.int64)]) for kind in range(3)]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -239,47 +285,46 @@ def score(docs: DataFrame) -> DataFrame:
     shape = {r["role"]: r for r in blocks.groupBy("role").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t")).collect()}
     tokens = sum(r["t"] for r in shape.values())
     d_fit, d_held = (int(shape[r]["d"]) if r in shape else 0 for r in (0, 1))
-    buckets = max(1, -(-tokens // BUCKET))
+    buckets, bits = max(1, -(-tokens // BUCKET)), key_bits(tokens)
     path = fresh_path(spark, "answers")
-    answered(asked(blocks, buckets)).write.parquet(path)
+    answered(asked(blocks, buckets, bits)).write.parquet(path)
     answers = spark.read.schema(ANSWERED).parquet(path)
     s = answers.where("block IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_fit", "v_fit"))).first()
     answers = answers.where("block IS NOT NULL").select("block", "role", "kind", "bucket", "total", "fitted")
+    by = lambda df, role=None: (df if role is None else df.where(F.col("role") == role)).groupBy("block")
+
+    def learned(mixed) -> np.ndarray:
+        """Weights from held-out tokens. mixed(estimates): bucket and ratio of the two estimates of each token."""
 
-    def held(block: pa.Table, answer: pa.Table) -> pa.Table:
-        b = Block(block.to_pylist()[0])
-        words, pairs = _counts(answer, "fitted")
-        high, low, k = estimates(b, words, pairs, s["n_fit"], s["v_fit"], d_fit)
-        ratio = high / low
-        bins = np.where(ratio > 0, np.clip(np.round(np.log2(np.maximum(ratio, 1e-30)) * OCTAVE) + 1 + LOW * OCTAVE, 1, BINS - 1), 0).astype(np.int64)
-        cell, count = np.unique(k * BINS + bins, return_counts=True)
-        return pa.table({"cell": cell, "n": count.astype(np.int64)})
+        def held(block: pa.Table, answer: pa.Table) -> pa.Table:
+            b = Block(block.to_pylist()[0], bits)
+            return cells(*mixed(Estimates(b, _counts(answer, "fitted"), s["n_fit"], s["v_fit"], d_fit)))
+
+        found = by(blocks, 1).cogroup(by(answers, 1)).applyInArrow(held, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        table = np.zeros(LEVELS * BINS)
+        for r in found.collect():  # LEVELS * BINS cells at most
+            table[r["cell"]] = r["n"]
+        return learn_weights(table.reshape(LEVELS, BINS))
+
+    weights = learned(lambda e: (e.level, e.high / e.low))
+    top_weights = learned(lambda e: (e.top_level, e.top / e.pairs(weights)))
 
     def final(block: pa.Table, answer: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        b = Block(row)
-        words, pairs = _counts(answer, "total")
-        high, low, k = estimates(b, words, pairs, s["n"], s["v"], d_fit + d_held)
-        x = weights[k]
-        best = np.log10(x * high + (1 - x) * low)
+        b = Block(row, bits)
+        e = Estimates(b, _counts(answer, "total"), s["n"], s["v"], d_fit + d_held)
         add = lambda a: np.add.reduceat(a, b.start)
         return pa.table(
             {
                 "doc_id": pa.array(b.ids, pa.int64()),
                 "held_out": pa.array([row["role"] == 2] * len(b.ids)),
                 "n_tokens": b.lengths,
-                "n_known": add((words[b.stream] > 0).astype(np.int64)),
+                "n_known": add(e.known.astype(np.int64)),
                 "train_tokens": pa.array([s["n"]] * len(b.ids), pa.int64()),
-                "base_score": add(np.log10(low)),
-                "score": add(best),
+                "base_score": add(np.log10(e.low)),
+                "score": add(np.log10(e.triples(weights, top_weights))),
             }
         )
 
-    by = lambda df, role=None: (df if role is None else df.where(F.col("role") == role)).groupBy("block")
-    cells = by(blocks, 1).cogroup(by(answers, 1)).applyInArrow(held, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = np.zeros(LEVELS * BINS)
-    for r in cells.collect():  # LEVELS * BINS cells at most
-        table[r["cell"]] = r["n"]
-    weights = learn_weights(table.reshape(LEVELS, BINS))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by(blocks).cogroup(by(answers)).applyInArrow(final, schema)
