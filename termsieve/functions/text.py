@@ -50,6 +50,12 @@ def snippet(text: Column, start: Column, end: Column, width: int = 40) -> Column
     return F.concat(F.when(left > 0, "…").otherwise(""), F.substring(text, left + 1, right - left), F.when(right < F.char_length(text), "…").otherwise(""))
 
 
+def occurrences(text: Column, word: Column) -> Column:
+    """The text cut at every occurrence of a word: what stands before, between and after them."""
+    pattern = F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.when(word == "", F.array(text)).otherwise(F.split(text, pattern))
+
+
 def escaped(c: Column) -> Column:
     """For markup: & < > and both quotes."""
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

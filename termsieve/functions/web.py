@@ -149,3 +149,10 @@ def visible_text(html: Column) -> Column:
 
 def terms_link(text: Column, url: Column) -> Column:
     return (F.lower(text).rlike(TERMS) | F.lower(url).rlike(TERMS)) & url.startswith("http")
+
+
+def box(boxes: Column) -> Column:
+    """The box around an array of boxes (x0, top, x1, bottom), to one decimal; null for none."""
+    side = lambda of, k: F.round(of(F.transform(boxes, lambda b: b[k])), 1)
+    around = F.array(side(F.array_min, 0), side(F.array_min, 1), side(F.array_max, 2), side(F.array_max, 3))
+    return F.when(F.size(boxes) > 0, around)

@@ -101,6 +101,11 @@ def replace_runs(findings: DataFrame, path: str) -> None:
     findings.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("run_id").parquet(path)
 
 
+def append(rows: DataFrame, path: str) -> None:
+    """Rows added to what is stored by run."""
+    rows.write.mode("append").partitionBy("run_id").parquet(path)
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """Counts per run, by status and (dismissed ones left out) by what there is to count."""
     live = F.col("status") != "dismissed"

@@ -15,7 +15,7 @@ from ..operators import evaluate as V
 from ..operators import review
 from ..operators.near import near_misses
 from ..sources import html, robots
-from . import kernel
+from . import kernel, steps
 from . import report as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -707,11 +707,11 @@ def segments_with_findings(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | kernel.QUERIES
+    return QUERIES | kernel.QUERIES | steps.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | kernel.SQL
+    return SQL | kernel.SQL | steps.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

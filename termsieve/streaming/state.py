@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,18 +55,17 @@ def run_changes(updates: DataFrame, push: Callable[[DataFrame], None], checkpoin
     return updates.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def crawl_order(links: DataFrame, seeds: DataFrame, materialise: Callable[[DataFrame], DataFrame], most_rounds: int = 50) -> DataFrame:
+def crawl_order(links: DataFrame, seeds: DataFrame, materialise: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(url, depth) of what can be reached over links (source, target) from the seeds, breadth first.
 
-    Each round joins the newest pages with the links and drops what is known; the frontier is
-    materialised so that lineage stays short. Only its count comes to the driver.
+    Each round joins the newest pages with the links and drops what is known, until a round finds nothing new; the
+    frontier is materialised so that lineage stays short. Only whether it is empty comes to the driver.
     """
     known = materialise(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     frontier = known
-    for depth in range(1, most_rounds + 1):
+    for depth in count(1):
         found = frontier.join(links, frontier["url"] == links["source"]).select(F.col("target").alias("url")).distinct()
         fresh = materialise(found.join(known, "url", "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
-            break
+            return known
         known, frontier = materialise(known.unionByName(fresh)), fresh
-    return known
