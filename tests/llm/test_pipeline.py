@@ -58,6 +58,7 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     passage = " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(2, 6))) for _ in range(56))
     rows = [t for t in TEXTS if len(t[1] or "") < 20_000]
     rows += [(5000, PROSE[39] + " extra"), (5001, PROSE[39]), (5002, PROSE[39].upper()), (None, PROSE[30] + " more"), (5003, PROSE[31] + " " + passage), (5004, passage + " " + PROSE[32][5:]), (5005, PROSE[33]), (5005, PROSE[34] + " é")]
+    rows += [(6000 + k, PROSE[k] + " end") for k in range(40)]
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
     now, columns = spark.read.parquet(str(tmp_path / "documents.parquet")), docs(spark).columns
