@@ -188,5 +188,6 @@ def encode_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        c.kept.rest()
 
     return text_rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,6 +19,10 @@ class Kept:
         self.young: dict = {}
         self.old: dict = {}
 
+    def rest(self) -> None:
+        """Between tasks only the young generation is held, since a worker may have other work then."""
+        self.old = {}
+
     def of(self, keys: set) -> dict:
         """A dictionary that holds all the keys, until the next call."""
         need = list(filterfalse(self.young.__contains__, keys))

@@ -40,7 +40,7 @@ END_ID = 2
 #: Tokens of open windows that are packed in one task of a later round, about.
 TASK_TOKENS = 1 << 23
 #: Pieces whose ids a worker keeps.
-KEPT = 1_200_000
+KEPT = 900_000
 
 
 class Packer:
@@ -254,6 +254,7 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, end_id: in
             for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts)):
                 ids = np.concatenate([ids, end])
                 yield (doc, len(ids)), ids, 0
+        coder.kept.rest()
 
     def carried(batches):
         for batch in batches:
