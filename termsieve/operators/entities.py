@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import web as W
 
-NAME, CASINGS, LISTED = "thing", ("Thing", "THING"), ("thhing", "tthing")
+NAME, CASINGS, LISTED = "thing", ("Thing", "THING"), ("whing", "tiing")
 #: Lines of a document and words of a line that ids have room for; with them ids are different for up to
 #: 9 * 10**8 documents.
 LINES, WORDS = 100_000, 100_000
@@ -137,7 +137,7 @@ segments AS (
     "findings": """kinds AS (
   SELECT *, CASE WHEN lower(word) = 'thing' AND word NOT IN ('Thing', 'THING') THEN 'casing'
     WHEN lower(word) <> 'thing' AND contains(lower(word), 'thing') THEN 'attached'
-    WHEN lower(word) IN ('thhing', 'tthing') THEN 'disallowed'
+    WHEN lower(word) IN ('whing', 'tiing') THEN 'disallowed'
     WHEN length(word) BETWEEN 4 AND 6 AND levenshtein(lower(word), 'thing') = 1 AND NOT contains(lower(word), 'thing') AND octet_length(encode(word)) = length(word) THEN 'near_miss' END AS kind
   FROM words),
 findings AS (

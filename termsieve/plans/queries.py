@@ -27,7 +27,7 @@ RULE = RuleVersion(
     1,
     "NAME-001",
     1,
-    RuleConfig(canonical="Thing", allowed_casings=("Thing", "THING"), disallowed=("Thhing", "Tthing", "th ing", "the thing"), ignore_words=("tiling",), severity="high"),
+    RuleConfig(canonical="Thing", allowed_casings=("Thing", "THING"), disallowed=("Whing", "Tiing", "th ing", "the thing"), ignore_words=("tiling",), severity="high"),
 )
 DOMAINS = ("ththre.example.com", "www.example.org")
 INCLUDE, EXCLUDE = (r"/[a-z]{2}/",), (r"[?&]ref=", r"/9\d\d")

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import web as W
 from ..operators import entities as E
 from ..operators import outcomes as O  # noqa: E741
-from ..operators import rulebook, runs
+from ..operators import review, rulebook, runs
 from . import report as R
 
 QUERIES, SQL = {}, {}
@@ -75,6 +75,43 @@ def image_step_counts(spark, d):
     return O.outcome_counts(O.image_outcomes(rows, limit=50), O.IMAGE_OUTCOMES, with_text=(F.col("outcome") == "ok") & (F.col("lines") > 0), stopped_ai=F.col("stopped_ai"))
 
 
+@query(f"WITH {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY asset_id) AS n FROM f WHERE status <> 200) SELECT run_id, asset_id, status FROM r WHERE n <= 20")
+def first_errors(spark, d):
+    """The errors that a run keeps: its first twenty."""
+    return R.capped(_files(spark, d).where("status <> 200").select("run_id", "asset_id", "status"), "run_id", ["asset_id"], 20).where("outcome = 'kept'").drop("outcome")
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+g AS (SELECT user_id, k, k - row_number() OVER (PARTITION BY user_id ORDER BY k) AS grp FROM e WHERE bad)
+SELECT user_id, CAST(min(k) AS INT) AS first_pos, count(*) AS length FROM g GROUP BY user_id, grp HAVING count(*) >= 3"""
+)
+def stopping_streaks(spark, d):
+    return R.refusal_streaks(E.table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+
+
+# --- review
+
+
+@query(E.with_sql("findings") + "SELECT finding_id, CASE WHEN length(matched_text) % 3 = 0 THEN 'not_brand' WHEN length(matched_text) % 3 = 1 THEN 'unsure' END AS verdict FROM findings WHERE status = 'ambiguous'")
+def review_judged(spark, d):
+    """Batches of candidates through a judge that leaves some out."""
+
+    def judge(prompt: str, rows: list[dict]) -> dict[int, str]:
+        assert prompt.count("<candidate ") == len(rows)
+        return {r["number"]: ("not_brand", "unsure")[len(r["matched_text"]) % 3] for r in rows if len(r["matched_text"]) % 3 < 2}
+
+    found = E.findings(spark, d).withColumn("language", F.lit(None).cast("string"))
+    return review.judged(review.batches(review.candidates(found, "m", "i", "Thing")), judge, "Thing", ["Thing"])
+
+
+@query(E.with_sql("findings") + """SELECT finding_id, CASE WHEN l > 0 THEN '…' ELSE '' END || substring(text, l + 1, r - l) || CASE WHEN r < length(text) THEN '…' ELSE '' END AS context
+FROM (SELECT finding_id, text, greatest(p - 70, 0) AS l, least(p + length(matched_text) + 70, length(text)) AS r FROM (SELECT *, instr(text, matched_text) - 1 AS p FROM findings))""")
+def wide_snippets(spark, d):
+    p = F.instr("text", F.col("matched_text")) - 1
+    return E.findings(spark, d).select("finding_id", T.snippet(F.col("text"), p, p + F.char_length("matched_text"), 70).alias("context"))
+
+
 # --- segments of all kinds, counters, comparison
 
 
