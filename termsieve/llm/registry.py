@@ -65,6 +65,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the quality rules that SQL can express."""
+    return op10_quality_rules(spark, sf_dir).drop("quality_score", "kept")
+
+
 EXACT_SQL = """
 WITH norm AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
@@ -84,6 +89,34 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM m
 """
 
+#: Every 400-byte string of every text by its MD5, in pieces so that substrings are taken from near the start.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT rid, b, substring(h, CAST(2 * b + 1 AS BIGINT), 1798) AS t FROM (SELECT rid, h, unnest(generate_series(0, length(h) // 2 - 400, 500)) AS b FROM d WHERE length(h) >= 800)),
+w AS (SELECT rid, b + k AS s, md5_number(substring(t, CAST(2 * k + 1 AS BIGINT), 800)) AS m FROM (SELECT rid, b, t, unnest(generate_series(0, length(t) // 2 - 400)) AS k FROM p)),
+r AS (SELECT rid, s, lag(s) OVER (PARTITION BY rid ORDER BY s) AS before FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT rid, s, sum(CASE WHEN s > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY s) AS run FROM r),
+spans AS (SELECT rid, run, min(s) AS lo, max(s) + 400 AS hi FROM g GROUP BY 1, 2),
+cut AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS last FROM spans),
+kept AS (SELECT rid, string_agg(substring(h, CAST(2 * last + 1 AS BIGINT), CAST(2 * (lo - last) AS BIGINT)), '' ORDER BY lo) AS k, max(hi) AS hi, sum(hi - lo) AS removed, count(*) AS n FROM cut JOIN d USING (rid) GROUP BY 1)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE k || substring(h, CAST(2 * hi + 1 AS BIGINT)) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+COUNTS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+i AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS k FROM w),
+g AS (SELECT rid, k, w || ' ' || lead(w, 1) OVER s || ' ' || lead(w, 2) OVER s || ' ' || lead(w, 3) OVER s || ' ' || lead(w, 4) OVER s AS g FROM i WINDOW s AS (PARTITION BY rid ORDER BY k)),
+r AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, g) AS c FROM g WHERE g IS NOT NULL) WHERE c > 1),
+n AS (SELECT rid, count(DISTINCT k + o) AS n_repeat_words FROM r, (SELECT unnest([0, 1, 2, 3, 4]) AS o) GROUP BY 1),
+l AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+c AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN n USING (rid) LEFT JOIN l USING (rid))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""
+
 CHAT_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -100,8 +133,8 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op2_suffix_dedup, op3_naive_bayes_svm, op4_deleted_interpolation, op5_simhash_groups, op6_exact_dedup, op7_byte_bpe, op8_chat_formatting, op9_sum_of_squares_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op2_suffix_dedup, op3_naive_bayes_svm, op4_deleted_interpolation, op5_simhash_groups, op6_exact_dedup, op7_byte_bpe, op8_chat_formatting, op9_sum_of_squares_packing, op10_quality_rules, quality_rule_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_arc_to_warc": WARC_SQL, "op6_exact_dedup": EXACT_SQL, "op8_chat_formatting": CHAT_SQL}
+    return {"op1_arc_to_warc": WARC_SQL, "op2_suffix_dedup": REPEATS_SQL, "quality_rule_counts": COUNTS_SQL, "op6_exact_dedup": EXACT_SQL, "op8_chat_formatting": CHAT_SQL}
