@@ -60,12 +60,30 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Intermediate folders of this process that are still there, in the order they were made.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/termsieve-{what}-{os.urandom(8).hex()}"
+    _made.append(f"{shared_dir(spark)}/termsieve-{what}-{os.urandom(8).hex()}")
+    return _made[-1]
+
+
+def made() -> int:
+    """A mark for `clear`: how many intermediate folders there are now."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int, keep: str) -> None:
+    """Deletes the intermediate folders made after the mark, but one: when a job's results are written."""
+    for path in [p for p in _made[since:] if p != keep]:
+        remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate folder that nothing lazy reads any more."""
+    if path in _made:
+        _made.remove(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -105,3 +105,11 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for _, stage in corpus.STAGES:
         now = stage(spark, now, str(tmp_path))
         assert now.count() == 0
+
+
+def test_run_leaves_its_result_only(spark, sf_dir):
+    corpus, base = importlib.import_module("corpus_pipeline"), importlib.import_module("termsieve.llm.base")
+    mark = base.made()
+    out = corpus.run(spark, sf_dir)
+    assert base.made() == mark + 1 and out.count() > 0
+    assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
