@@ -63,7 +63,8 @@ def clean_segments(spark, d):
 
 @query(with_sql("words") + "SELECT lower(word) AS word, count(*) AS n, count(DISTINCT asset_id) AS assets FROM words GROUP BY 1")
 def token_counts(spark, d):
-    return E.words(spark, d).groupBy(F.lower("word").alias("word")).agg(n(), F.countDistinct("asset_id").alias("assets"))
+    each = E.words(spark, d).groupBy(F.lower("word").alias("word"), "asset_id").agg(n())  # once, so that distinct assets need no expansion
+    return each.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("assets"))
 
 
 def _of_kind(kind):

@@ -1,7 +1,8 @@
 """Binary sources: decoding, gzip snapshots, sitemaps, SVG, images, PDF behind a pluggable reader, fetching.
 
 XML is read with entity declarations refused. Readers return (rows, error) and never raise for bad
-input. Nothing here needs more than one file in memory, and every cap is a parameter.
+input. A worker holds an Arrow batch of files (bounded by the session's bytes and rows a batch, one file at least), and
+every cap is a parameter.
 """
 
 from __future__ import annotations
