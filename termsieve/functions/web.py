@@ -156,3 +156,8 @@ def box(boxes: Column) -> Column:
     side = lambda of, k: F.round(of(F.transform(boxes, lambda b: b[k])), 1)
     around = F.array(side(F.array_min, 0), side(F.array_min, 1), side(F.array_max, 2), side(F.array_max, 3))
     return F.when(F.size(boxes) > 0, around)
+
+
+def routed(kind: Column, in_scope: Column) -> Column:
+    """Where what a page embeds goes: a frame that is in scope is crawled like a link, a kind unknown is `other`."""
+    return F.when((kind == "frame") & F.coalesce(in_scope, F.lit(False)), "link").otherwise(F.coalesce(kind, F.lit("other")))

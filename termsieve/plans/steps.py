@@ -10,6 +10,7 @@ from ..functions import web as W
 from ..operators import entities as E
 from ..operators import outcomes as O  # noqa: E741
 from ..operators import review, rulebook, runs
+from ..sources import html
 from . import report as R
 
 QUERIES, SQL = {}, {}
@@ -221,9 +222,31 @@ def rule_versions(spark, d):
     return rulebook.versions(h, 7)
 
 
+# --- pages
+
+
+@query(
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>', ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '(?i)</?(?:br|hr)\b[^>]*>', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(?:p|div|article|section|aside|main|nav|ul|ol|li|h[1-6]|header|footer|table|tbody|tr|td|th|pre|blockquote|form|body|html)\b[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g') AS h FROM a),
+c AS (SELECT page_id, unnest(string_split(h, chr(1))) AS t FROM b),
+d AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&'), '[ \t\n\r\f\v\x{00A0}]+', ' ', 'g'), ' ') AS text FROM c)
+SELECT page_id, text, count(*) AS n FROM d WHERE text <> '' GROUP BY 1, 2"""
+)
+def page_texts(spark, d):
+    """What a visitor reads on a page, block by block, from the parser's segments."""
+    s = html.page_segments(E.pages(spark, d)).where("visibility = 'visible'")
+    return s.groupBy("page_id", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- small functions
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 AND contains(url, '/fr/') THEN 'link' WHEN page_id % 4 = 0 THEN 'frame' WHEN page_id % 4 = 1 THEN 'image' ELSE 'other' END AS route FROM pages""")
+def resource_routes(spark, d):
+    kind = F.when(F.col("page_id") % 4 == 0, "frame").when(F.col("page_id") % 4 == 1, "image")
+    return E.table(spark, d, "pages").select("page_id", W.routed(kind, F.contains("url", F.lit("/fr/"))).alias("route"))
+
+
 @query(E.with_sql("findings") + "SELECT finding_id, CAST(len(string_split(text, matched_text)) AS INTEGER) AS pieces, string_split(text, matched_text)[1] AS first FROM findings")
 def occurrence_pieces(spark, d):
     cut = T.occurrences(F.col("text"), F.col("matched_text"))

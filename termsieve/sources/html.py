@@ -44,6 +44,10 @@ def kind_of(url: str) -> str | None:
     return next((k for k, pattern in _kinds if pattern.search(p)), None)
 
 
+#: How a rendered text's case differs from the markup's, where an inline style says so.
+_transform = re.compile(r"text-transform\s*:\s*(uppercase|lowercase|capitalize|none)\b", re.I)
+
+
 @dataclass
 class Element:
     tag: str
@@ -55,6 +59,7 @@ class Element:
     gap: bool = False
     order: int = -1
     source: str = "text"
+    transform: str | None = None
 
 
 @dataclass
@@ -93,7 +98,9 @@ class Extractor(HTMLParser):
         n = up.counts[tag] = up.counts.get(tag, 0) + 1
         place = f"#{a['id']}" if a.get("id") else tag if tag in ("html", "body") else f"{up.place} > {tag}:nth-of-type({n})".lstrip(" >")
         hidden = up.hidden or "hidden" in a or bool(_hiding.search(a.get("style", "")))
-        e = Element(tag, a, place, hidden)
+        e = Element(tag, a, place, hidden, transform=up.transform)
+        if said := _transform.search(a.get("style", "")):
+            e.transform = None if said[1].lower() == "none" else said[1].lower()
         if tag == "html":
             self.page.language = a.get("lang") or None
         elif tag == "base" and a.get("href"):
@@ -258,7 +265,7 @@ class Extractor(HTMLParser):
         for b in self.blocks:
             for visibility in ("visible", "hidden"):
                 if text := clean("".join(b.text.get(visibility, ()))):
-                    p.segments.append((text, b.source, visibility, b.place, {}))
+                    p.segments.append((text, b.source, visibility, b.place, {"transform": b.transform}))
         p.segments += self.later
         if p.title:
             p.segments.append((p.title[:MOST_CHARS], "title", "metadata", "head > title", {}))
@@ -293,7 +300,7 @@ def extract(html: str, url: str = "") -> Page:
     return x.finish()
 
 
-SEGMENTS = "text string, text_source string, visibility string, selector string, attribute string, path string"
+SEGMENTS = "text string, text_source string, visibility string, selector string, attribute string, path string, transform string"
 
 
 def page_segments(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -306,10 +313,10 @@ def page_segments(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
             for i, (markup, address) in enumerate(zip(batch.column(html).to_pylist(), batch.column(url).to_pylist())):
                 for k, (text, source, visibility, place, more) in enumerate(extract(markup or "", address or "").segments):
                     at.append(i)
-                    rows.append((k, text, source, visibility, place, more.get("attribute"), more.get("path")))
+                    rows.append((k, text, source, visibility, place, more.get("attribute"), more.get("path"), more.get("transform")))
             if at:
                 columns = [batch.column(c).take(pa.array(at, pa.int32())) for c in kept]
-                kinds = (pa.int32(), *(pa.string(),) * 6)
+                kinds = (pa.int32(), *(pa.string(),) * 7)
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [*kept, "pos", *(x.split()[0] for x in SEGMENTS.split(", "))])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != html)

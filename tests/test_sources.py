@@ -119,3 +119,9 @@ def test_fetching(spark):
     server.shutdown()
     assert rows[base + "/"].status == 200 and bytes(rows[base + "/"].body) == b"hel" and rows[base + "/"].truncated
     assert rows[base + "/missing"].status == 404 and rows["http://127.0.0.1:1/"].error
+
+
+def test_transforms_are_kept_with_the_text():
+    page = "<div style='text-transform: UPPERCASE'><p>loud</p><p style='text-transform:none'>plain <b>and so on</b></p></div><p>usual</p>"
+    got = [(s[0], s[4].get("transform")) for s in extract(page, "https://x.test/").segments]
+    assert got == [("loud", "uppercase"), ("plain and so on", None), ("usual", None)]
