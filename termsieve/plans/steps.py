@@ -230,7 +230,7 @@ def rule_versions(spark, d):
 b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(?:p|div|article|section|aside|main|nav|ul|ol|li|h[1-6]|header|footer|table|tbody|tr|td|th|pre|blockquote|form|body|html)\b[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g') AS h FROM a),
 c AS (SELECT page_id, unnest(string_split(h, chr(1))) AS t FROM b),
 d AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&'), '[ \t\n\r\f\v\x{00A0}]+', ' ', 'g'), ' ') AS text FROM c)
-SELECT page_id, text, count(*) AS n FROM d WHERE text <> '' GROUP BY 1, 2"""
+SELECT page_id, substring(text, 1, 5000) AS text, count(*) AS n FROM d WHERE text <> '' GROUP BY 1, 2"""
 )
 def page_texts(spark, d):
     """What a visitor reads on a page, block by block, from the parser's segments."""
