@@ -103,5 +103,6 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
 
 def runs_of(rows: DataFrame) -> int:
-    """How many input partitions a checkpointed table has."""
-    return max(1, rows.rdd.getNumPartitions())
+    """How many runs the rows are of, from their numbers."""
+    last = rows.agg(F.max("run")).first()[0]
+    return 1 if last is None else last + 1
