@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .base import text_rows
-from .kept import LETTERS, Kept
+from .kept import LETTERS, Kept, held, others_go
 from .nptext import buffers
 
 #: Chunks whose ids a worker keeps.
@@ -164,13 +164,12 @@ class Codec:
                 yield ids, ids.count(b",") + 1 if ids else 0, back.decode("utf-8", "replace").encode()
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    others_go("bpe")
+    mine = held("bpe")
+    if path not in mine:
+        mine[path] = Codec(path)
+    return mine[path]
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:

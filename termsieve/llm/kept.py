@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable
 from itertools import filterfalse
 
@@ -40,3 +42,24 @@ class Kept:
             self.young.update(zip(new, self.compute(new)))
         return self.young
 
+
+#: What a worker keeps from task to task, by operator.
+_held: dict[str, dict] = {}
+
+
+def held(name: str) -> dict:
+    """An operator's things in this worker."""
+    return _held.setdefault(name, {})
+
+
+def others_go(name: str = "") -> None:
+    """Frees what tasks of other operators have left in this worker, which Spark uses again for any task."""
+    left = [k for k in _held if k != name]
+    for other in left:
+        _held.pop(other).clear()
+    if left:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not that C library
+            pass

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import fresh_path, text_rows
-from .kept import LETTERS, Kept
+from .kept import LETTERS, Kept, held, others_go
 from .nptext import buffers
 
 WINDOW = 4096
@@ -190,13 +190,12 @@ def _nones(items: list) -> Iterator[int]:
         yield at
 
 
-_ids: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _ids:
-        _ids[path] = WordIds(path)
-    return _ids[path]
+    others_go("packing")
+    mine = held("packing")
+    if path not in mine:
+        mine[path] = WordIds(path)
+    return mine[path]
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("slot", pa.int64()), ("ids", pa.binary())])

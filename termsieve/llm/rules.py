@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .base import bounded, text_rows
+from .kept import others_go
 from .linear import SAMPLE_ROWS, collect_features, folds, labelled_sample, logistic, platt
 from .nptext import Chunk, chunks, mix, repeats, span_hash
 
@@ -136,6 +137,7 @@ def passing(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thresho
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
 
     def run(batches):
+        others_go()
         for batch in batches:
             keep = []
             for _, _, data, off in chunks(batch.column("text")):

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .base import Scratch, bounded, fresh_path, materialise, spare, text_rows
 from .components import components
+from .kept import others_go
 from .nptext import Chunk, buffers, chunks, mix
 
 SEED = 42
@@ -161,6 +162,7 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     """Hashes (in order) and counts of the most frequent shingles in a sample of the texts."""
 
     def run(batches):
+        others_go()
         for batch in batches:
             for h in _sets(batch.column("text"), words):
                 for i in range(0, len(h), BLOCK):
@@ -187,6 +189,7 @@ def prefix_rows(rows: DataFrame, words: int, similarity: float, common: tuple[np
     hashes, counts = common
 
     def run(batches):
+        others_go()
         for batch in batches:
             out, held = [], 0
             for k, h in zip(batch.column("id").to_pylist(), _sets(batch.column("text"), words)):

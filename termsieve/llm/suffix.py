@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import Scratch, bounded, spare
+from .kept import others_go
 from .nptext import BASE, INVERSE, WHITE, buffers, chunks, mix, powers, prefix_hash
 
 LENGTH = 400
@@ -126,6 +127,7 @@ def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
     def run(batches):
+        others_go()
         for batch in batches:
             k1, k2 = (np.asarray(batch.column(c)) for c in TEXT_KEY)
             for i, j, data, off in chunks(batch.column("text")):
