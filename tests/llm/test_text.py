@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from termsieve.llm import bpe, chat, packing, warc
+from termsieve.llm import bpe, chat, kept, packing, warc
 from termsieve.llm.kept import Kept
 from termsieve.llm.registry import HARD
 
@@ -65,6 +65,14 @@ def test_kept_table_is_bounded():
     assert len(asked) < 300 * 15
 
 
+def test_a_worker_frees_what_other_operators_left():
+    kept.held("mine")["a"], kept.held("other")["b"] = 1, 2
+    kept.others_go("mine")
+    assert kept.held("mine") == {"a": 1} and kept.held("other") == {}
+    kept.others_go()
+    assert kept.held("mine") == {}
+
+
 def check_packing(rows, got, window=4096):
     lib = Tokenizer.from_file(WORDS)
     by_doc: dict = {}
