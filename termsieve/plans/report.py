@@ -125,6 +125,11 @@ def breakdown(rows: DataFrame, by: str) -> DataFrame:
     return rows.where("status = 'violation'").groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def by_count(counts: DataFrame, name: str) -> DataFrame:
+    """Counts as they are shown: most first, then by name."""
+    return counts.orderBy(F.desc("n"), name)
+
+
 def compliance(rows: DataFrame, assets: DataFrame, before: DataFrame | None = None) -> dict:
     """The whole report of one run, with numbers rounded as exact binary values. Results are small by
     their kind: one row, or at most a row per facet value of a closed vocabulary, or a top-k."""

@@ -113,6 +113,11 @@ def wide_snippets(spark, d):
     return E.findings(spark, d).select("finding_id", T.snippet(F.col("text"), p, p + F.char_length("matched_text"), 70).alias("context"))
 
 
+@query(E.with_sql("rows") + "SELECT text_source, count(*) AS n FROM rows WHERE status = 'violation' GROUP BY 1 ORDER BY 2 DESC, 1")
+def sources_by_count(spark, d):
+    return R.by_count(R.breakdown(E.rows(spark, d), "text_source"), "text_source")
+
+
 # --- segments of all kinds, counters, comparison
 
 

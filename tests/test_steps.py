@@ -120,6 +120,17 @@ def test_discovery_goes_breadth_first_under_caps():
     assert discovery.discover([], None, get, str, lambda u: None, 10).seeds == []
 
 
+def test_requests_are_paced():
+    for interval, asked, waits in ((2, None, [0, 1.5, 0]), (2, 5.0, [0, 4.5, 1.5])):
+        clock = Clock()
+        p = discovery.Pacer(interval, asked, clock, clock.sleep)
+        got = []
+        for spent in (0.5, 3.5, 0):
+            got.append(p.wait())
+            clock.now += spent
+        assert got == waits
+
+
 def test_links_are_followed_to_the_end(spark):
     links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(70)] + [("5", "0"), ("x", "y")], "source string, target string")
     out = state.crawl_order(links, spark.createDataFrame([("0",)], "url string"), lambda df: spark.createDataFrame(df.collect(), df.schema))
