@@ -40,7 +40,7 @@ END_ID = 2
 #: Tokens of open windows that are packed in one task of a later round, about.
 TASK_TOKENS = 1 << 23
 #: Pieces whose ids a worker keeps.
-KEPT = 900_000
+KEPT = 700_000
 
 
 class Packer:
@@ -129,8 +129,8 @@ class WordIds:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f) | {"normalizer": None, "added_tokens": []}
         split, bytes_ = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.ascii = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": split}))
-        self.latin = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, bytes_]}}))
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, bytes_]}}))
+        del spec
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -150,16 +150,14 @@ class WordIds:
         last token is one that ends a word."""
         out: dict[bytes, bytes] = {}
         whole = self.WORD.fullmatch
-        plain = [p for p in new if p.isalpha() and p.islower()]
-        wide = [p for p in new if not p.isascii() and whole(p)]
-        for words, tokenizer in ((plain, self.ascii), (wide, self.latin)):
-            for i in range(0, len(words), 512):
-                some = words[i : i + 512]
-                ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode().lower()], add_special_tokens=False)[0].ids, dtype="<u4")
-                cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-                if len(cut) == len(some):
-                    raw = ids.tobytes()
-                    out.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)]))
+        words = [p for p in new if (p.isalpha() and p.islower() if p.isascii() else whole(p))]
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode().lower()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) == len(some):
+                raw = ids.tobytes()
+                out.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut)]))
         rest = [p for p in new if p not in out]
         for i in range(0, len(rest), 4096):
             got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest[i : i + 4096]], add_special_tokens=False)
