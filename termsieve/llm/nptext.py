@@ -76,14 +76,14 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
 
 
 class Chunk:
-    """Words and their hashes of some whole documents."""
+    """Words and their hashes of some whole documents. white: which bytes are no part of a word."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False, white: np.ndarray = WHITE):
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         self.data, self.off, self.n = data, off, len(off) - 1
         black = np.zeros(len(data) + 2, dtype=bool)
-        black[1:-1] = ~WHITE[data]
+        black[1:-1] = ~white[data]
         self.black = black[1:-1]
         begins, ends = black[1:-1] & ~black[:-2], black[1:-1] & ~black[2:]
         first = off[:-1][off[:-1] < off[1:]]
