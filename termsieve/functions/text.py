@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spelling import ZERO_WIDTH
+
 #: White space of either engine's patterns, spelled out.
 SPACE = r"[ \t\n\r\f\x0B]"
 WORD = r"\p{L}+"
@@ -29,6 +34,33 @@ def folded(c: Column) -> Column:
     return F.replace(sigma(F.lower(sigma(F.upper(sigma(F.lower(plain)))))), F.lit("\ue000"), F.lit("ı"))
 
 
+def _usual() -> str:
+    """The body of a character class: what the exact check's folding leaves alone and whose case every engine folds
+    alike. Signs and Latin letters with one compatibility form, themselves; sharp s is dealt with by `lowered`."""
+
+    def same(c: str) -> bool:
+        one_case = c == "ß" or c not in "ıİ" and len(c.casefold()) == 1 and c.casefold() == c.lower() and len(c.upper()) == 1
+        return c not in ZERO_WIDTH and unicodedata.normalize("NFKC", c) == c and (not c.isalpha() or one_case)
+
+    points = [n for n in chain(range(0xA1, 0x250), range(0x2010, 0x2028), (0x20AC,)) if same(chr(n))]
+    first = [n for n in points if n - 1 not in points]
+    last = [n for n in points if n + 1 not in points]
+    return r"\x00-\x7F" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(first, last))
+
+
+USUAL = _usual()
+
+
+def unusual(c: Column) -> Column:
+    """Whether a text has characters that built-in functions do not fold as the exact check does."""
+    return (F.octet_length(c) != F.char_length(c)) & F.rlike(c, F.lit(f"[^{USUAL}]"))
+
+
+def lowered(c: Column) -> Column:
+    """Case folding of a text that is not unusual."""
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+
+
 def lines(c: Column) -> Column:
     """Lines that hold more than white space."""
     return F.filter(F.split(c, r"[\r\n]"), lambda x: F.trim(x) != "")

@@ -8,68 +8,90 @@ from pyspark.sql import functions as F
 
 from ..config import RuleVersion
 from ..functions.spelling import SEPARATORS, SHORTEST_NEAR_MISS, Checker, fold, masked
+from ..functions.text import lowered, unusual
 
 FOUND = "rule_id long, rule_version int, kind string, start int, end int, matched_text string, expected string, status string, severity string, confidence double, note string"
 _KINDS = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
 
 
+#: Texts in which a place of an exception may be: what is blanked may then stand between the words of a phrase.
+MAY_MASK = r"[@#]|://|(?i:www)\.|\w\.\w"
+#: Where a url begins within a word, which ends there for the check.
+INNER_URL = r"(?i)(?<=\p{L})(?:https?://|www\.)"
+BLANKS = r"[\s\x1c-\x1f" + "".join("\\" + c if ord(c) < 128 else c for c in SEPARATORS) + "]+"
+
+
 def gate(text: Column, rules: list[RuleVersion]) -> Column:
-    """True for every text that some rule could match; false only for ASCII texts that none can.
+    """True for every text that some rule could match; false only for texts that none can and whose characters
+    the JVM folds as the check does.
 
-    For ASCII text folding is the identity, so lower-casing is exact. With white space and separators
-    taken out, a name or a disallowed spelling is a plain substring however it was split; a near miss
-    within d edits is within 2 * d plain edits.
+    With white space and separators taken out, a name or a disallowed spelling is a plain substring however it was split,
+    unless something that is blanked stood in it; a near miss within d edits is within 2 * d plain edits.
     """
-    low = F.lower(text)
-    joined = F.regexp_replace(low, r"[\s\x1c-\x1f" + "".join("\\" + c for c in SEPARATORS if ord(c) < 128) + "]+", "")
-    out = F.octet_length(text) != F.char_length(text)
-    strip = lambda s: "".join(c for c in s.lower() if not c.isspace() and c not in SEPARATORS)
+    low = lowered(text)
+    joined = F.regexp_replace(low, BLANKS, "")
+    out = unusual(text)
+    strip = lambda s: "".join(c for c in s.casefold() if not c.isspace() and c not in SEPARATORS)
     for rule in rules:
         c = rule.config
         for form in {strip(c.canonical), *(strip(d) for d in c.disallowed)} - {""}:
-            if form.isascii():
-                out = out | F.contains(joined, F.lit(form))
+            out = out | F.contains(joined, F.lit(form))
+        if any(strip(d) != d.casefold() for d in c.disallowed):
+            out = out | F.rlike(text, F.lit(MAY_MASK))
         if c.fuzzy:
-            key, d = c.canonical.lower(), c.max_edit_distance
+            key, d = c.canonical.casefold(), c.max_edit_distance
             lo, hi = max(SHORTEST_NEAR_MISS, len(key) - d), len(key) + d
-            if key.isascii() and lo <= hi:
-                words = F.regexp_extract_all(low, F.lit(rf"(?<![a-z])[a-z]{{{lo},{hi}}}(?![a-z])"), F.lit(0))
-                out = out | F.exists(words, lambda w: F.levenshtein(w, F.lit(key), 2 * d) >= 0)
+            if lo <= hi:
+                words = F.regexp_extract_all(low, F.lit(rf"(?<!\p{{L}})\p{{L}}{{{lo},{hi}}}(?!\p{{L}})"), F.lit(0))
+                out = out | F.exists(words, lambda w: F.levenshtein(w, F.lit(key), 2 * d) >= 0) | F.rlike(text, F.lit(INNER_URL))
     return out
 
 
-def evaluate(segments: DataFrame, rules: list[RuleVersion], text: str = "text", language: str = "language", visibility: str | None = "visibility") -> DataFrame:
-    """One row per finding: the segment's columns but its text, and the finding's.
-
-    Rules that are not enabled and spoken segments are left out. Texts that no rule can match never
-    leave the JVM.
-    """
-    active = [r for r in rules if r.enabled]
-    kept = [c for c in segments.columns if c != text]
+def of_interest(segments: DataFrame, text: str, visibility: str | None) -> DataFrame:
+    """Segments that are checked: with a text, not spoken."""
     rows = segments.where(F.col(text).isNotNull())
-    if visibility:
-        rows = rows.where(F.coalesce(F.col(visibility), F.lit("")) != "spoken")
-    rows = rows.where(gate(F.col(text), active) if active else F.lit(False))
-    fields = [f for f in rows.schema.fields if f.name != text]
+    return rows.where(F.coalesce(F.col(visibility), F.lit("")) != "spoken") if visibility else rows
+
+
+def checked_rows(rows: DataFrame, active: list[RuleVersion], text: str, language: str, which: str | None = None) -> DataFrame:
+    """One row per finding of the exact check. which: a column with the numbers of the rules to check, else all are."""
+    left_out = {text, which}
+    fields = [f for f in rows.schema.fields if f.name not in left_out]
 
     def run(batches):
-        checkers = [(r.rule_id, r.version, Checker(r.config)) for r in active]
+        checkers = [(r.rule_id, r.version, Checker(r.config)) if which is None else None for r in active]
+        every = range(len(active))
         for batch in batches:
             at, found = [], []
-            for i, (said, lang) in enumerate(zip(batch.column(text).to_pylist(), batch.column(language).to_pylist())):
-                for rule_id, version, checker in checkers:
+            asked = batch.column(which).to_pylist() if which else [every] * batch.num_rows
+            for i, (said, lang, some) in enumerate(zip(batch.column(text).to_pylist(), batch.column(language).to_pylist(), asked)):
+                for k in sorted(some):
+                    if checkers[k] is None:  # compiled when a text meets it
+                        checkers[k] = (active[k].rule_id, active[k].version, Checker(active[k].config))
+                    rule_id, version, checker = checkers[k]
                     for h in checker.check(said, lang):
                         at.append(i)
                         found.append((rule_id, version, h.kind, h.start, h.end, h.matched, h.expected, h.status, h.severity, h.confidence, h.note))
             if at:
                 index = pa.array(at, pa.int32())
-                columns = [batch.column(c).take(index) for c in kept] + [pa.array(c, k) for c, k in zip(zip(*found), _KINDS)]
-                yield pa.RecordBatch.from_arrays(columns, [*kept, *(x.split()[0] for x in FOUND.split(", "))])
+                columns = [batch.column(f.name).take(index) for f in fields] + [pa.array(c, k) for c, k in zip(zip(*found), _KINDS)]
+                yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in fields), *(x.split()[0] for x in FOUND.split(", "))])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return rows.mapInArrow(run, f"{schema}, {FOUND}")
 
 
+def evaluate(segments: DataFrame, rules: list[RuleVersion], text: str = "text", language: str = "language", visibility: str | None = "visibility") -> DataFrame:
+    """One row per finding: the segment's columns but its text, and the finding's.
+
+    Rules that are not enabled and spoken segments are left out. Texts that no rule can match never
+    leave the JVM. Every rule is in the plan: for more than a few see `rule_index`.
+    """
+    active = [r for r in rules if r.enabled]
+    rows = of_interest(segments, text, visibility)
+    return checked_rows(rows.where(gate(F.col(text), active) if active else F.lit(False)), active, text, language)
+
+
 def with_masked(rows: DataFrame, kinds: tuple[str, ...], text: str = "text") -> DataFrame:
     """Rows with `masked`: the folded text with its exceptions blanked, as the check reads it."""
     kept = rows.columns

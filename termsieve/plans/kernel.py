@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Market, RuleConfig, RuleVersion
 from ..operators import entities as E
 from ..operators import evaluate as V
+from ..operators import rule_index
 
 #: Names that the words of the documents come close to, so that every stage finds something.
 WORDS = RuleVersion(21, "WORDS", 1, RuleConfig(canonical="Ention", disallowed=("antion", "and the", "the antion", "in and"), ignore_words=("intion",), severity="high"))
@@ -144,7 +145,36 @@ def check_summary(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("asset_id").agg(F.count_if(F.col("status") == "violation").alias("violations"), F.count_if(F.col("status") == "ambiguous").alias("ambiguous"))
 
 
-QUERIES = {f.__name__: f for f in (check_words, check_split_names, check_market_forms, masked_segments, check_summary)}
-SQL = {"check_words": _sql(WORDS.config), "check_split_names": _sql(SPLIT.config), "check_market_forms": _FORMS_SQL, "masked_segments": _MASKED_SQL}
+def frequent_names(spark: SparkSession, d: str, most: int) -> list[RuleVersion]:
+    """A rule for each of the most frequent words of 5 to 9 letters whose first letter does not come again."""
+    low = F.lower("word").alias("low")
+    some = E.words(spark, d).select(low).where(r"low RLIKE '^[a-z]{5,9}$' AND instr(substring(low, 2), left(low, 1)) = 0")
+    top = some.groupBy("low").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "low").limit(most).collect()  # a report of the top
+    return [RuleVersion(k + 1, f"TOP-{k + 1}", 1, RuleConfig(canonical=r.low.capitalize())) for k, r in enumerate(top)]
+
+
+def findings_of_many_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment against the names of the 60 most frequent words, by the rule index."""
+    rows = E.segments(spark, d).withColumn("language", F.lit(None).cast("string"))
+    return rule_index.evaluate_many(rows, frequent_names(spark, d, 60)).select("segment_id", "rule_id", "kind", "start", "end", "matched_text")
+
+
+_MANY_SQL = E.with_sql("words") + f""", names AS (SELECT low AS name, upper(low[1]) || low[2:] AS canonical, row_number() OVER (ORDER BY count(*) DESC, low) AS rule_id FROM (SELECT lower(word) AS low FROM words)
+  WHERE regexp_full_match(low, '[a-z]{{5,9}}') AND instr(low[2:], low[1]) = 0 GROUP BY low QUALIFY row_number() OVER (ORDER BY count(*) DESC, low) <= 60),
+cut AS (SELECT segment_id, regexp_extract_all(text, '{_EMAIL}|\\p{{L}}+|[^\\p{{L}}]+') AS parts FROM segments),
+parts AS (SELECT segment_id, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM cut),
+placed AS (SELECT *, CAST(sum(length(p)) OVER s - length(p) AS INTEGER) AS place, replace(lower(p), 'ß', 'ss') AS low, regexp_full_match(p, '\\p{{L}}+') AS w, lead(p) OVER s AS p1, lead(p, 2) OVER s AS p2 FROM parts WINDOW s AS (PARTITION BY segment_id ORDER BY i)),
+met AS (SELECT low, rule_id, name, canonical, contains(low, name) AS has FROM (SELECT DISTINCT low FROM placed WHERE w) JOIN names ON contains(low, name)
+  OR (length(low) >= 4 AND length(low) BETWEEN length(name) - 1 AND length(name) + 1 AND damerau_levenshtein(regexp_replace(low, '[^ -~]', '1', 'g'), name) = 1)),
+sp AS (SELECT segment_id, rule_id, place AS a, CAST(place + length(p || p1 || p2) AS INTEGER) AS b, p || p1 || p2 AS said FROM placed JOIN names ON replace(lower(p || p2), 'ß', 'ss') = name WHERE w AND p1 IN (' ', '-', '.', '·', '‐', '‑') AND regexp_full_match(p2, '\\p{{L}}+')),
+one AS (SELECT segment_id, rule_id, 'casing' AS kind, CAST(place + k - 1 AS INTEGER) AS a, CAST(place + k - 1 + length(substring(p, k, length(name))) AS INTEGER) AS b, substring(p, k, length(name)) AS said
+  FROM (SELECT *, unnest(generate_series(1, length(placed.low) - length(name) + 1)) AS k FROM placed JOIN met ON placed.w AND placed.low = met.low AND has) WHERE substring(low, k, length(name)) = name AND substring(p, k, length(name)) <> canonical
+  UNION ALL SELECT segment_id, rule_id, 'near_miss', place, CAST(place + length(p) AS INTEGER), p FROM placed JOIN met ON placed.w AND placed.low = met.low AND NOT has)
+SELECT segment_id, rule_id, 'split' AS kind, a AS start, b AS "end", said AS matched_text FROM sp
+UNION ALL SELECT segment_id, rule_id, kind, a, b, said FROM one WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.segment_id = one.segment_id AND sp.rule_id = one.rule_id AND sp.a < one.b AND one.a < sp.b)"""
+
+
+QUERIES = {f.__name__: f for f in (check_words, check_split_names, check_market_forms, masked_segments, check_summary, findings_of_many_rules)}
+SQL = {"check_words": _sql(WORDS.config), "check_split_names": _sql(SPLIT.config), "check_market_forms": _FORMS_SQL, "masked_segments": _MASKED_SQL, "findings_of_many_rules": _MANY_SQL}
 SQL["check_summary"] = f"""SELECT asset_id, count(*) FILTER (status = 'violation') AS violations, count(*) FILTER (status = 'ambiguous') AS ambiguous
 FROM (SELECT segment_id // 100000 AS asset_id, status FROM ({SQL["check_words"]})) GROUP BY 1"""
