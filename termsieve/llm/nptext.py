@@ -141,6 +141,17 @@ class Chunk:
         at = np.flatnonzero(doc[:m] == doc[n - 1 :])
         return mix(h[at]), doc[at]
 
+    def char_grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and document of every n-gram of code points within a document."""
+        lead = np.flatnonzero((self.data & 0xC0) != 0x80)
+        m = len(lead) - n + 1
+        if m <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        doc = np.searchsorted(self.off, lead, side="right") - 1
+        at = np.flatnonzero(doc[:m] == doc[n - 1 :])
+        start, end = lead[at], np.append(lead, len(self.data))[at + n]
+        return mix(span_hash(self.prefix, start, end) + (end - start).astype(np.uint64)), doc[at]
+
 
 def repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each element: whether its key occurs twice or more, and whether it occurred before."""

@@ -2,9 +2,8 @@
 
 The counts (words, code points in words, symbols, repeated lines, words in repeated 5-word
 windows) are exact up to 64-bit hash equality within one document. The model is a logistic
-regression on hashed word 1/2-grams, byte 3-grams and the shapes of four words in a row (which of them
-are equal, whatever they say), as relative frequencies, fitted to at most `rows` labelled rows, calibrated on a fifth of them that the fit has not seen,
-and compared with a fixed threshold. Labels, ids, lang and source are never inputs of a score.
+regression on hashed word 1/2-grams and 3-grams of characters (code points), as relative frequencies, fitted to at most
+`rows` labelled rows, calibrated on a fifth of them that the fit has not seen, and compared with a fixed threshold. Labels, ids, lang and source are never inputs of a score.
 
 Defined results: null or empty text has zero words and fails the base rules; the verdict of a text
 without features rests on the model's intercept; without any labelled row of both classes every
@@ -24,14 +23,12 @@ from .nptext import Chunk, chunks, mix, repeats, span_hash
 
 BITS = 18
 WIDTH = 1 << BITS
-#: Weight of the word and the byte block; relative frequencies are small.
+#: Weight of the word and the character block; relative frequencies are small.
 SCALE = 8.0
 THRESHOLD = 0.6
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 5
-#: Words of an n-gram whose shape is a feature.
-SHAPE = 4
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -68,14 +65,12 @@ def base_failed(n: dict[str, np.ndarray]) -> np.ndarray:
 def grams(c: Chunk, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bin, document, weight of one occurrence) of each block of features."""
     g2, at = c.word_grams(h, 2)
-    b3, d3 = c.byte_grams(3)
+    c3, d3 = c.char_grams(3)
     out = []
-    for k, (key, doc) in enumerate(((np.concatenate([h, g2]), np.concatenate([c.word_doc, c.word_doc[at]])), (b3, d3))):
+    for k, (key, doc) in enumerate(((np.concatenate([h, g2]), np.concatenate([c.word_doc, c.word_doc[at]])), (c3, d3))):
         bins = (((key + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
         n = np.bincount(doc, minlength=c.n)
         out.append((bins, doc, SCALE / np.maximum(n, 1)))
-    f, fa = c.shapes(h, SHAPE)
-    out.append((((f * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64), c.word_doc[fa], SCALE / 4 / np.maximum(c.n_words - 1, 1)))
     return out
 
 

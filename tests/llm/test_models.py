@@ -73,6 +73,92 @@ def test_held_out_accuracy(spark):
     assert np.mean([kept[i] == bool(t) for i, t in truth.items()]) > 0.97
 
 
+GOLD, TURN, INVERSE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25
+M = (1 << 64) - 1
+
+
+def mixed(h):
+    for _ in range(2):
+        h = (h ^ h >> 32) * TURN & M
+    return h ^ h >> 32
+
+
+def poly(b):
+    return sum((x + 1) * pow(GOLD, j, 1 << 64) for j, x in enumerate(b)) & M
+
+
+def hashed(text):
+    """(words, pairs, runs of four bytes, runs of three characters) as the features' numbers, one string at a time."""
+    t = (text or "").encode()
+    words = [mixed(poly(w) + len(w) & M) for w in re.findall(rb"[^\x20\x09-\x0D]+", t)]
+    pairs = [mixed(a * INVERSE + b & M) for a, b in zip(words, words[1:])]
+    chars = [c.encode() for c in t.decode()]
+    three = [b"".join(chars[k : k + 3]) for k in range(len(chars) - 2)]
+    return words, pairs, [mixed(poly(t[k : k + 4])) for k in range(len(t) - 3)], [mixed(poly(g) + len(g) & M) for g in three]
+
+
+def bin_of(key):
+    return ((key & M) * GOLD & M) >> 64 - nbsvm.BITS
+
+
+def few(rows):
+    return [(i, t if t is None else t[:400]) for i, t in rows]
+
+
+def test_classifier_scores_equal_brute_force(spark):
+    """The model is fitted apart; every score is that of a set of strings and a dictionary of weights."""
+    d, marks, _ = quality_tables(spark, 150)
+    rows = few(TEXTS)
+    where = nbsvm.crc_mod(nbsvm.F.col("doc_id"), 5) != 0
+    r, wr, b, slope, offset = nbsvm.fit(d.unionByName(docs(spark, rows)), marks, where=where)
+    got = nbsvm.classify(d.unionByName(docs(spark, rows)), marks).where("doc_id IS NULL OR doc_id NOT BETWEEN 20 AND 149 OR doc_id > 100").collect()
+    texts = [(x.doc_id, x.text) for x in d.unionByName(docs(spark, rows)).where("doc_id IS NULL OR doc_id NOT BETWEEN 20 AND 149 OR doc_id > 100").collect()]
+    want = []
+    for i, t in texts:
+        words, pairs, four, _ = hashed(t)
+        bins = {bin_of(k) for k in words + pairs} | {bin_of(k + 1) for k in four}
+        length = math.sqrt(sum(float(r[k]) ** 2 for k in bins))
+        margin = sum(float(wr[k]) for k in bins) / max(length, 1e-9) + b
+        want.append((i, 1 / (1 + math.exp(-min(max(slope * margin + offset, -35), 35)))))
+    assert len(got) == len(want) and len(got) > 60
+    for (i, p), x in zip(sorted(want, key=key), sorted(((x.doc_id, x.score) for x in got), key=key)):
+        assert x[0] == i and abs(x[1] - p) < 1e-6
+
+
+def test_rule_verdicts_equal_brute_force(spark):
+    d, marks, _ = quality_tables(spark, 150)
+    rows = few(TEXTS)
+    every = d.unionByName(docs(spark, rows))
+    w, b, slope, offset = rules.fit(every, marks)
+    want = []
+    for i, t in [(x.doc_id, x.text) for x in every.collect()]:
+        words, pairs, _, three = hashed(t)
+        margin = b
+        for some in ([bin_of(k) for k in words + pairs], [bin_of(k + 1) for k in three]):
+            margin += rules.SCALE * sum(float(w[k]) for k in some) / max(1, len(some))
+        p = 1 / (1 + math.exp(-min(max(slope * margin + offset, -35), 35)))
+        c = counts(t)
+        want.append((i, p, not (c[0] < 10 or 100 * c[4] > 20 * c[0]) and p >= rules.THRESHOLD))
+    got = sorted(((x.doc_id, x.quality_score, x.kept) for x in rules.quality_rules(every, marks).collect()), key=key)
+    for x, y in zip(got, sorted(want, key=key), strict=True):
+        assert x[0] == y[0] and abs(x[1] - y[1]) < 1e-6 and (x[2] == y[2] or abs(y[1] - rules.THRESHOLD) < 1e-6)
+
+
+def test_character_grams_are_of_code_points():
+    texts = ["aé日b", "", "éé", "xyz日本語", "日"]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    off = np.cumsum([0] + [len(t.encode()) for t in texts])
+    got, doc = Chunk(data, off).char_grams(3)
+    for k, t in enumerate(texts):
+        assert got[doc == k].tolist() == hashed(t)[3]
+
+
+def test_shapes_are_a_parameter(spark):
+    d, marks, truth = quality_tables(spark, 200)
+    plain, shaped = ({x.doc_id: x.score for x in nbsvm.classify(d, marks, shape=n).collect()} for n in (0, 4))
+    assert plain != shaped and plain == {x.doc_id: x.score for x in nbsvm.classify(d, marks).collect()}
+
+
 def test_held_out_labels_teach_nothing(spark):
     d, marks, truth = quality_tables(spark, 200)
     wrong = spark.createDataFrame([(i, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, t in truth.items()], "doc_id long, quality int")
