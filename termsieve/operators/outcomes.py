@@ -29,9 +29,8 @@ def _stopped_at(rows: DataFrame, by: str, at: str, in_a_row: int) -> DataFrame:
     return fetched.withColumn("__hit", run).where("__hit").groupBy(by).agg(F.min(at).alias("__stop"))
 
 
-def _in_order(rows: DataFrame, order: str, limit: int, in_a_row: int) -> DataFrame:
-    """The rows with their number in the run, and the number at which the run's step was stopped (null: never)."""
-    counted = numbered(rows, ["run_id"], order, "__number")
+def _in_order(counted: DataFrame, limit: int, in_a_row: int) -> DataFrame:
+    """The numbered rows with the number at which the run's step was stopped (null: never)."""
     stops = _stopped_at(counted.where(F.col("__number") <= limit), "run_id", "__number", in_a_row).withColumnRenamed("run_id", "__run")
     return counted.join(stops, counted["run_id"].eqNullSafe(stops["__run"]), "left").drop("__run")
 
@@ -55,7 +54,16 @@ def file_outcomes(files: DataFrame, limit: int = FILES, in_a_row: int = BLOCKS)
         .when(~F.col("readable"), "unreadable")
         .otherwise("ok")
     )
-    return _in_order(files, "asset_id", limit, in_a_row).withColumn("outcome", outcome).drop("__number", "__stop")
+    return _in_order(numbered(files, ["run_id"], "asset_id", "__number"), limit, in_a_row).withColumn("outcome", outcome).drop("__number", "__stop")
+
+
+def _seen_first(images: DataFrame) -> DataFrame:
+    """The images with their number in the run: visible ones by id, then the others by id."""
+    parted = images.withColumn("__seen", F.coalesce("visible", F.lit(False)))
+    seen = parted.where("__seen").groupBy(F.col("run_id").alias("__run")).agg(F.count(F.lit(1)).alias("__first"))
+    own = numbered(parted, ["run_id", "__seen"], "asset_id", "__number")
+    after = F.when(F.col("__seen"), F.lit(0)).otherwise(F.coalesce("__first", F.lit(0)))
+    return own.join(seen, own["run_id"].eqNullSafe(seen["__run"]), "left").withColumn("__number", F.col("__number") + after).drop("__seen", "__run", "__first")
 
 
 def image_outcomes(images: DataFrame, limit: int = IMAGES, in_a_row: int = BLOCKS) -> DataFrame:
@@ -64,9 +72,7 @@ def image_outcomes(images: DataFrame, limit: int = IMAGES, in_a_row: int = BLOCK
 
     images: run_id, asset_id, visible, allowed, status, error, truncated, too_small, read_error, reader_out, lines.
     """
-    id_ = F.col("asset_id").cast("decimal(20,0)")
-    order = F.when(F.coalesce("visible", F.lit(False)), id_).otherwise(id_ + F.lit(2**63 - 1).cast("decimal(20,0)"))
-    ranked = _in_order(images.withColumn("__at", order), "__at", limit, in_a_row)
+    ranked = _in_order(_seen_first(images), limit, in_a_row)
     fine = F.col("status").between(200, 299) & F.col("error").isNull() & ~F.coalesce("truncated", F.lit(False))
     n = F.col("__number")
     outcome = (
@@ -84,7 +90,7 @@ def image_outcomes(images: DataFrame, limit: int = IMAGES, in_a_row: int = BLOCK
     ranked = ranked.join(out, ranked["run_id"].eqNullSafe(out["__run"]), "left").drop("__run")
     stop = F.least("__stop", "__out")
     said = F.when(n > stop, None).when(n > limit, "over_image_limit").otherwise(F.col("__outcome"))
-    return ranked.withColumns({"outcome": said, "stopped_ai": F.col("__out").isNotNull() & (n == F.col("__out")) & (F.col("__stop").isNull() | (F.col("__out") < F.col("__stop")))}).drop("__at", "__number", "__stop", "__out", "__outcome")
+    return ranked.withColumns({"outcome": said, "stopped_ai": F.col("__out").isNotNull() & (n == F.col("__out")) & (F.col("__stop").isNull() | (F.col("__out") < F.col("__stop")))}).drop("__number", "__stop", "__out", "__outcome")
 
 
 def outcome_counts(rows: DataFrame, outcomes=FILE_OUTCOMES, **more: Column) -> DataFrame:

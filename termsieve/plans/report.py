@@ -10,9 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from ..config import PRICE_IN, PRICE_OUT, SEVERITY_WEIGHT, VISIBILITY_FACTOR
-from ..functions.order import with_neighbours
+from ..functions.order import LARGE, streaks, with_neighbours
 from ..functions.text import exact_round, folded
 
 #: Identity of a finding across runs.
@@ -268,12 +269,14 @@ def readiness(sites: DataFrame) -> DataFrame:
     return sites.withColumn("readiness", state)
 
 
-def refusal_streaks(events: DataFrame, key: str, order: list[str], refused: Column, least: int = 3) -> DataFrame:
-    """Runs of at least `least` consecutive refusals per key: where they begin and how long they are."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = events.withColumn("__r", refused).withColumn("__n", F.row_number().over(w))
-    bad = marked.where("__r").withColumn("__g", F.col("__n") - F.row_number().over(w))
-    return bad.groupBy(key, "__g").agg(F.min("__n").alias("first_pos"), F.count(F.lit(1)).alias("length")).where(F.col("length") >= least).drop("__g")
+def refusal_streaks(events: DataFrame, key: str, order: list[str], refused: Column, least: int = 3, large: int = LARGE) -> DataFrame:
+    """Runs of at least `least` consecutive refusals per key: where they begin and how long they are. order tells a
+    key's events apart; a key of any size is dealt out by ranges of its first column."""
+    lead, kind = F.col(order[0]), events.schema[order[0]].dataType
+    at = F.unix_micros(lead.cast("timestamp")) if isinstance(kind, (TimestampType, TimestampNTZType, DateType)) else lead if isinstance(kind, NumericType) else F.lit(0)
+    marked = events.withColumns({"__at": at, "__refused": F.coalesce(refused, F.lit(False))})
+    found = streaks(marked, [key], "__at", order, "__refused", large).where(F.col("length") >= least)
+    return found.select(key, F.col("first_pos").cast("int").alias("first_pos"), "length")
 
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
