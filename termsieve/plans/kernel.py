@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Market, RuleConfig, RuleVersion
+from ..functions import web as W
 from ..operators import entities as E
 from ..operators import evaluate as V
 from ..operators import incremental, rule_index
 from ..operators.storage import fresh_path
+from ..streaming import state
 
 #: Names that the words of the documents come close to, so that every stage finds something.
 WORDS = RuleVersion(21, "WORDS", 1, RuleConfig(canonical="Ention", disallowed=("antion", "and the", "the antion", "in and"), ignore_words=("intion",), severity="high"))
@@ -199,7 +201,22 @@ def _passes_sql() -> str:
     return one(1, before) + "\nUNION ALL " + one(2, after)
 
 
-QUERIES = {f.__name__: f for f in (check_words, check_split_names, check_market_forms, masked_segments, check_summary, findings_of_many_rules, findings_incremental)}
-SQL = {"check_words": _sql(WORDS.config), "check_split_names": _sql(SPLIT.config), "check_market_forms": _FORMS_SQL, "masked_segments": _MASKED_SQL, "findings_of_many_rules": _MANY_SQL, "findings_incremental": _passes_sql()}
+def link_levels(spark: SparkSession, d: str) -> DataFrame:
+    """All that can be reached from every fiftieth page, breadth first. A page leads to its links, a link to the pages
+    that begin with it."""
+    pages = E.pages(spark, d).select("page_id", "url", W.links(F.col("html")).alias("to"))
+    links = pages.select(F.col("url").alias("source"), F.explode("to").alias("target"))
+    back = pages.where(F.size("to") > 0).select(F.get("to", F.lit(0)).alias("source"), F.col("url").alias("target"))
+    return state.crawl_order(links.unionByName(back).distinct(), pages.where("page_id % 50 = 0").select("url"))
+
+
+_LEVELS_SQL = """WITH RECURSIVE l AS (SELECT page_id, url, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS h FROM pages),
+edges AS (SELECT url AS s, unnest(h) AS t FROM l UNION SELECT h[1], url FROM l WHERE len(h) > 0),
+r(url, depth) AS (SELECT DISTINCT url, 0 FROM pages WHERE page_id % 50 = 0 UNION SELECT t, depth + 1 FROM r JOIN edges ON s = r.url WHERE depth < 30)
+SELECT url, min(depth) AS depth FROM r GROUP BY 1"""
+
+
+QUERIES = {f.__name__: f for f in (check_words, check_split_names, check_market_forms, masked_segments, check_summary, findings_of_many_rules, findings_incremental, link_levels)}
+SQL = {"check_words": _sql(WORDS.config), "check_split_names": _sql(SPLIT.config), "check_market_forms": _FORMS_SQL, "masked_segments": _MASKED_SQL, "findings_of_many_rules": _MANY_SQL, "findings_incremental": _passes_sql(), "link_levels": _LEVELS_SQL}
 SQL["check_summary"] = f"""SELECT asset_id, count(*) FILTER (status = 'violation') AS violations, count(*) FILTER (status = 'ambiguous') AS ambiguous
 FROM (SELECT segment_id // 100000 AS asset_id, status FROM ({SQL["check_words"]})) GROUP BY 1"""

@@ -1,6 +1,8 @@
 """Model calls, discovery, rule versions and the steps that have no query of their own."""
 
 import gzip
+import os
+import random
 
 import pytest
 
@@ -131,10 +133,45 @@ def test_requests_are_paced():
         assert got == waits
 
 
-def test_links_are_followed_to_the_end(spark):
-    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(70)] + [("5", "0"), ("x", "y")], "source string, target string")
-    out = state.crawl_order(links, spark.createDataFrame([("0",)], "url string"), lambda df: spark.createDataFrame(df.collect(), df.schema))
-    assert {r.url: r.depth for r in out.collect()} == {str(i): i for i in range(71)}
+def test_links_are_followed_to_the_end(spark, tmp_path):
+    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(60)] + [(str(i), "1") for i in range(20)] + [("5", "0"), ("x", "y"), ("3", None), (None, "z")], "source string, target string").cache()
+    path = str(tmp_path / "reached")
+    out = state.crawl_order(links, spark.createDataFrame([("0",)], "url string"), path, buckets=4)
+    assert sorted((r.url, r.depth) for r in out.collect()) == sorted((str(i), i) for i in range(61))
+    # A level is appended: each page lies in one file, that of the level it was found in.
+    files = [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 61 and spark.read.parquet(path).groupBy("url").count().where("count > 1").count() == 0
+
+
+def test_stops_in_time_do_not_depend_on_arrival(spark, tmp_path):
+    """One log dealt over micro-batches in any order, within the lateness: the stops are those of the whole log in order."""
+    r = random.Random(12)
+    rows = [(k, 60 * n + r.randint(0, 3), n, r.random() < 0.55) for k in "abcdef" for n in range(40)] + [("never", n, n, n % 2 == 0) for n in range(0, 600, 7)]
+    log = spark.createDataFrame(rows, "site string, at long, n long, refused boolean").withColumn("ts", F.timestamp_seconds("at"))
+    want = R.refusal_streaks(log, "site", ["ts", "n"], F.col("refused"))
+    places = {(s, k): at for s in {x[0] for x in rows} for k, (at, *_) in enumerate(sorted((a, n, b) for g, a, n, b in rows if g == s), 1)}
+    want = {s: min(places[s, x.first_pos + 2] for x in want.collect() if x.site == s) for s in {x.site for x in want.collect()}}
+    assert 4 <= len(want) < 7
+    source = str(tmp_path / "in")
+    dealt = rows[:]
+    r.shuffle(dealt)
+    end = [("end", 10**7, 0, False)]
+    for k in range(4):
+        some = dealt[k::4]
+        spark.createDataFrame(some, "site string, at long, n long, refused boolean").withColumn("ts", F.timestamp_seconds("at")).coalesce(1).write.parquet(f"{source}/{k}")
+    # What comes after the watermark has passed it does not count: three refusals long ago.
+    for k, some in ((4, end), (5, [("late", 5 + n, n, True) for n in range(3)] + [("end", 10**7 + 1, 1, False)])):
+        spark.createDataFrame(some, "site string, at long, n long, refused boolean").withColumn("ts", F.timestamp_seconds("at")).coalesce(1).write.parquet(f"{source}/{k}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+        stops = state.refusal_stops_in_time(stream, "site", "ts", "refused", "n", late="2 hours")
+        q = stops.writeStream.format("memory").queryName("timed").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [(x.site, x.at) for x in spark.table("timed").select("site", F.unix_seconds("stopped_at").alias("at")).collect()]
+    assert dict(got) == want and len(got) == len(want)
 
 
 def test_rules_and_functions_in_sql(spark):
