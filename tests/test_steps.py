@@ -1,6 +1,5 @@
 """Model calls, discovery, rule versions and the steps that have no query of their own."""
 
-import gzip
 import os
 import random
 
@@ -9,10 +8,9 @@ import pytest
 from termsieve.config import RuleConfig, RuleVersion
 from termsieve.functions import text as T
 from termsieve.operators import calls as C
-from termsieve.operators import discovery, evaluate, rulebook
+from termsieve.operators import evaluate, rulebook
 from termsieve.operators import outcomes as O  # noqa: E741
 from termsieve.operators import runs as L
-from termsieve.operators.preflight import Reply
 from termsieve.plans import report as R
 from termsieve.streaming import state
 
@@ -92,47 +90,6 @@ def test_transcription_and_pauses():
     assert C.paused(lambda: 1 / 0)["error"].startswith("ZeroDivisionError")
 
 
-def urlset(*urls, kind="urlset"):
-    return f"<{kind} xmlns='http://s'>{''.join(f'<x><loc>{u}</loc></x>' for u in urls)}</{kind}>".encode()
-
-
-def test_discovery_goes_breadth_first_under_caps():
-    site = "https://a.test"
-    pages = {
-        f"{site}/maps.xml": Reply(200, body=urlset(f"{site}/m1.xml", f"{site}/m2.xml.gz", f"{site}/gone.xml", f"{site}/odd.xml", f"{site}/private/m.xml", f"{site}/maps.xml", kind="sitemapindex")),
-        f"{site}/m1.xml": Reply(200, body=urlset(f"{site}/1", f"{site}/2", "https://b.test/3", f"{site}/1#x")),
-        f"{site}/m2.xml.gz": Reply(200, body=gzip.compress(urlset(f"{site}/4", f"{site}/2"))),
-        f"{site}/odd.xml": Reply(200, body=b"<!DOCTYPE x [<!ENTITY e 'y'>]><urlset/>"),
-    }
-    asked = []
-
-    def get(url):
-        asked.append(url)
-        return pages.get(url, Reply(404))
-
-    text = f"User-agent: *\nDisallow: /private/\nSitemap: {site}/maps.xml\n"
-    go = lambda **k: discovery.discover([f"{site}/", f"{site}/#top"], text, get, lambda u: u.partition("#")[0], lambda u: None if u.startswith(site) else "scope", **({"most_pages": 10} | k))
-    got = go()
-    assert got.seeds == [f"{site}/", f"{site}/1", f"{site}/2", f"{site}/4"] and (got.files_read, got.from_sitemaps) == (5, 3)
-    assert [n.split(": ")[0].rpartition("/")[2] for n in got.notes] == ["gone.xml", "odd.xml"] and asked[:2] == [f"{site}/maps.xml", f"{site}/m1.xml"]
-    assert go(most_files=2).seeds == [f"{site}/", f"{site}/1", f"{site}/2"] and go(most_pages=2).seeds == [f"{site}/", f"{site}/1"]
-    assert go(use_sitemaps=False).seeds == [f"{site}/"] and go(use_sitemaps=False).files_read == 0
-    endless = lambda url: Reply(200, body=urlset(url + "x", kind="sitemapindex"))
-    assert discovery.discover([f"{site}/"], None, endless, str, lambda u: None, 10).files_read == discovery.SITEMAP_FILES
-    assert discovery.discover([], None, get, str, lambda u: None, 10).seeds == []
-
-
-def test_requests_are_paced():
-    for interval, asked, waits in ((2, None, [0, 1.5, 0]), (2, 5.0, [0, 4.5, 1.5])):
-        clock = Clock()
-        p = discovery.Pacer(interval, asked, clock, clock.sleep)
-        got = []
-        for spent in (0.5, 3.5, 0):
-            got.append(p.wait())
-            clock.now += spent
-        assert got == waits
-
-
 def test_links_are_followed_to_the_end(spark, tmp_path):
     links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(60)] + [(str(i), "1") for i in range(20)] + [("5", "0"), ("x", "y"), ("3", None), (None, "z")], "source string, target string").cache()
     path = str(tmp_path / "reached")
