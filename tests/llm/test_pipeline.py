@@ -113,3 +113,16 @@ def test_run_leaves_its_result_only(spark, sf_dir):
     out = corpus.run(spark, sf_dir)
     assert base.made() == mark + 1 and out.count() > 0
     assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
+
+
+def test_passages_of_very_short_words_go(spark):
+    """51 words of one or two letters that two documents share, whatever stands around them."""
+    corpus, r = importlib.import_module("corpus_pipeline"), random.Random(8)
+    short = [" ".join(r.choice("abcdefgh") + r.choice(["", r.choice("xyz")]) for _ in range(51)) for _ in range(3)]
+    own = lambda: " ".join("".join(r.choice("klmnopq") for _ in range(r.randint(4, 9))) for _ in range(60))
+    kept = [own() for _ in range(8)]
+    rows = [(k, f"{kept[k]} {short[k % 3]} {own()}" if k < 6 else kept[k]) for k in range(8)]
+    out = corpus.passage_dedup(spark, docs(spark, rows), None).collect()
+    for x in out:
+        assert x.text.startswith(kept[x.doc_id]) and not any(s in x.text for s in short)
+        assert len(x.text.split()) <= 122
