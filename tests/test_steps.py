@@ -7,7 +7,6 @@ import pytest
 
 from termsieve.config import RuleConfig, RuleVersion
 from termsieve.functions import text as T
-from termsieve.operators import calls as C
 from termsieve.operators import evaluate, rulebook
 from termsieve.operators import outcomes as O  # noqa: E741
 from termsieve.operators import runs as L
@@ -15,81 +14,6 @@ from termsieve.plans import report as R
 from termsieve.streaming import state
 
 F = R.F
-ASK = C.Request("judge", "say", ["x"], {"verdict": str})
-
-
-class Clock:
-    def __init__(self):
-        self.now, self.slept = 100.0, []
-
-    def __call__(self):
-        return self.now
-
-    def sleep(self, seconds):
-        self.slept.append(round(seconds, 3))
-        self.now += seconds
-
-
-def caller(answers, **more):
-    clock, asked = Clock(), []
-
-    def ask(request):
-        asked.append(request)
-        clock.now += 0.25
-        out = answers[min(len(asked), len(answers)) - 1]
-        if isinstance(out, Exception):
-            raise out
-        return out
-
-    return C.Caller(ask, "m", clock=clock, sleep=clock.sleep, **more), clock, asked
-
-
-def test_calls_keep_the_pace_and_are_logged():
-    c, clock, asked = caller([C.Reply('{"verdict": "unsure", "more": 1}', 10, 5, 7)], per_minute=30, run_id=4)
-    for _ in range(3):
-        answer, reply = c.json(ASK)
-    assert answer == {"verdict": "unsure"} and (reply.input_tokens, reply.output_tokens) == (10, 5)
-    assert clock.slept == [1.75, 1.75] and asked[0].temperature == 0 and not asked[0].think
-    assert c.log[0] == {"stage": "judge", "model": "m", "run_id": 4, "input_tokens": 10, "output_tokens": 12, "latency_ms": 250, "ok": True, "error": None}
-
-
-def test_calls_try_again_and_give_up():
-    busy = C.ModelError(503, "busy")
-    c, clock, asked = caller([busy, C.ModelError(429, "slow down"), C.Reply('{"verdict": "not_brand"}')], per_minute=60_000)
-    assert c.json(ASK)[0] == {"verdict": "not_brand"} and clock.slept == [2, 4] and [r["ok"] for r in c.log] == [False, False, True]
-    c, clock, asked = caller([busy], per_minute=60_000)
-    with pytest.raises(C.ModelError):
-        c.json(ASK)
-    assert len(asked) == 5 and clock.slept == [2, 4, 8, 16] and c.used_today == 5
-    for error, kind, times in ((C.ModelError(400, "API key not valid"), C.Unavailable, 1), (C.ModelError(None, "no route"), C.Unavailable, 5), (C.ModelError(404, "no such model"), C.ModelError, 1)):
-        c, _, asked = caller([error], per_minute=60_000)
-        with pytest.raises(kind):
-            c.json(ASK)
-        assert len(asked) == times
-
-
-def test_calls_are_limited_checked_and_remembered():
-    c, _, asked = caller([C.Reply('{"verdict": "unsure"}')], per_day=2, used_today=1)
-    assert c.json(ASK, key="a")[1] is not None and c.json(ASK, key="a") == ({"verdict": "unsure"}, None)
-    with pytest.raises(C.LimitReached):
-        c.json(ASK, key="b")
-    assert len(asked) == 1
-    for said in ("no json", "[1]", '{"verdict": 3}', "{}"):
-        with pytest.raises(C.BadAnswer):
-            caller([C.Reply(said)])[0].json(ASK)
-
-
-def test_transcription_and_pauses():
-    lines = ["  two  words ", "", None, *map(str, range(300))]
-    c, _, asked = caller([C.Reply('{"lines": ' + __import__("json").dumps(lines) + "}")])
-    got = C.transcriber(c)(b"png", "image/png")
-    assert got[:3] == ["two words", "None", "0"] and len(got) == C.MOST_LINES and asked[0].parts == [(b"png", "image/png")]
-    assert C.paused(lambda: {"review": 1}) == {"enabled": True, "review": 1}
-    limit = caller([C.Reply("{}")], per_day=0)[0]
-    assert C.paused(lambda: limit.json(ASK)) == {"enabled": True, "error": "0 requests of today are used up"}
-    assert C.paused(lambda: 1 / 0)["error"].startswith("ZeroDivisionError")
-
-
 def test_links_are_followed_to_the_end(spark, tmp_path):
     links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(60)] + [(str(i), "1") for i in range(20)] + [("5", "0"), ("x", "y"), ("3", None), (None, "z")], "source string, target string").cache()
     path = str(tmp_path / "reached")
