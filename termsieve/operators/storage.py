@@ -7,6 +7,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +51,31 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     at, fs = _at(spark, path)
     fs.delete(at, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    at, fs = _at(spark, path)
+    if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
+def upsert(fresh: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Rows replace those of their key in a table stored in hash buckets, and are added where there are none.
+
+    Only buckets that fresh rows fall into are read, written anew and swapped when the job commits; the files of the others
+    stay as they are. fresh: each key once; the first call makes the table.
+    """
+    spark, bucket = fresh.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows = fresh.withColumn("bucket", bucket)
+    if children(spark, path):
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # `buckets` numbers at most
+        if not touched:
+            return
+        old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
+        rows = old.join(fresh.select(key), key, "left_anti").select(*rows.columns).unionByName(rows)
+    # A bucket is written by the task that its rows are dealt to: one file.
+    rows.repartition("bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import web as W
 from ..operators import entities as E
 from ..operators import evaluate as V
-from ..operators import review
+from ..operators import review, storage
 from ..operators.near import near_misses
 from ..sources import html, robots
 from . import kernel, steps
@@ -624,8 +624,11 @@ def dimension_lookup(spark, d):
 
 @query("""SELECT p_partkey, coalesce(n, p) AS p_name FROM (SELECT p_partkey, p_name AS p FROM part) LEFT JOIN (SELECT p_partkey, upper(p_name) AS n FROM part WHERE p_partkey % 4 = 0) USING (p_partkey)""")
 def upsert_latest(spark, d):
-    old = E.table(spark, d, "part").select("p_partkey", "p_name")
-    return R.latest_wins(old, old.where("p_partkey % 4 = 0").select("p_partkey", F.upper("p_name").alias("p_name")), "p_partkey")
+    """Stored in buckets; the buckets that new rows fall into are rewritten."""
+    old, path = E.table(spark, d, "part").select("p_partkey", "p_name"), storage.fresh_path(spark, "parts")
+    storage.upsert(old, path, "p_partkey")
+    storage.upsert(old.where("p_partkey % 4 = 0").select("p_partkey", F.upper("p_name").alias("p_name")), path, "p_partkey")
+    return storage.upserted(spark, path)
 
 
 @query("SELECT l_partkey AS rule_id, max(l_linenumber) + 1 AS next_version FROM lineitem GROUP BY 1")
