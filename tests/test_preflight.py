@@ -6,57 +6,89 @@ from termsieve.config import RuleConfig, RuleVersion, SiteConfig
 from termsieve.operators import preflight as P
 from termsieve.operators import rulebook
 
-S = "https://www.velora.test"
-SITE = SiteConfig("s", (S + "/",), ("www.velora.test",))
-ROBOTS = f"User-agent: *\nDisallow: /private\nCrawl-delay: 5\nSitemap: {S}/index.xml\n"
-HOME = '<html><head><title>Home</title></head><body><a href="/terms-of-use">Terms</a><a href="/a">A</a><a href="/legal">Legal</a></body></html>'
-MAP = "<urlset>" + "".join(f"<url><loc>{S}/p{i}</loc></url>" for i in range(3)) + "<url><loc>https://else.test/</loc></url></urlset>"
-REPLIES = {
-    S + "/robots.txt": P.Reply(200, {}, None, ROBOTS.encode()),
-    S + "/": P.Reply(200, {"content-type": "text/html"}, S + "/", HOME.encode()),
-    S + "/index.xml": P.Reply(200, {}, None, f"<sitemapindex><sitemap><loc>{S}/a.xml</loc></sitemap><sitemap><loc>{S}/b.xml.gz</loc></sitemap><sitemap><loc>{S}/c.xml</loc></sitemap></sitemapindex>".encode()),
-    S + "/a.xml": P.Reply(200, {}, None, MAP.encode()),
-    S + "/b.xml.gz": P.Reply(200, {}, None, gzip.compress(MAP.encode())),
+S = "https://shop.velora.test"
+SITE = SiteConfig("s", (S + "/start",), ("shop.velora.test",))
+RULES = f"User-agent: *\nDisallow: /intern\nCrawl-delay: 5\nSitemap: {S}/maps.xml\n"
+START = '<html><head><title> Shop  front </title></head><body><a href="/imprint/legal">Who we are</a><a href="/q">Q</a><a href="/agb">Conditions of sale</a></body></html>'
+
+
+def pages(first, n, *more):
+    return "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in [*(f"{S}/page{first + i}" for i in range(n)), *more]) + "</urlset>"
+
+
+def index(*names):
+    return "<sitemapindex>" + "".join(f"<sitemap><loc>{S}{n}</loc></sitemap>" for n in names) + "</sitemapindex>"
+
+
+def reply(body=b"", status=200, headers=None, final_url=None, error=None):
+    return (status, headers or {}, final_url, bytearray(body.encode() if isinstance(body, str) else body), error)
+
+
+GOOD = {
+    "/robots.txt": reply(RULES),
+    "/start": reply(START, headers={"content-type": "text/html"}, final_url=S + "/start"),
+    "/maps.xml": reply(index("/m1.xml", "/intern/m.xml", "/m2.xml.gz", "/m3.xml")),
+    "/m1.xml": reply(pages(0, 4, "https://else.test/")),
+    "/m2.xml.gz": reply(gzip.compress(pages(4, 2, "https://other.test/x").encode())),
+    "/m3.xml": reply(pages(10, 5)),
 }
+WRONG = [
+    ({"/robots.txt": reply(status=503)}, "robots", "fail"),
+    ({"/robots.txt": reply(status=404)}, "robots", "info"),
+    ({"/robots.txt": reply(status=401)}, "robots", "fail"),
+    ({"/robots.txt": None}, "robots", "fail"),
+    ({"/robots.txt": reply("User-agent: *\nDisallow: /")}, "robots-start", "fail"),
+    ({"/start": reply(status=403, headers={"cf-mitigated": "challenge"})}, "start-page", "fail"),
+    ({"/start": reply("no", 429, {"server": "Imperva/2"})}, "start-page", "fail"),
+    ({"/start": reply(status=None, error="timed out")}, "start-page", "fail"),
+    ({"/start": reply("<p>", final_url="https://else.test/")}, "start-page", "fail"),
+    ({"/maps.xml": reply('<!DOCTYPE x [<!ENTITY a "b">]><urlset>&a;</urlset>')}, "sitemap", "warn"),
+    ({"/maps.xml": reply(status=500)}, "sitemap", "warn"),
+    ({"/start": reply("<p>no links")}, "terms", "warn"),
+]
 
 
-def status(result):
-    return {c.key: c.status for c in result["checks"]}
+def table(spark, by_site):
+    rows = [(name, S + path, *r) for name, replies in by_site.items() for path, r in replies.items() if r is not None]
+    return spark.createDataFrame(rows, "site string, url string, status int, headers map<string,string>, final_url string, body binary, error string")
 
 
-def test_a_good_site():
-    got = P.preflight(SITE, REPLIES)
-    assert got["can_crawl"] and status(got) == {"robots": "ok", "robots-start": "ok", "start-page": "ok", "sitemap": "ok", "terms": "info"}
-    assert (got["sitemap"]["urls_seen"], got["sitemap"]["in_scope"], got["sitemap"]["unchecked"], len(got["sitemap"]["sample"])) == (8, 6, 1, 6)
-    assert got["terms"] == [S + "/terms-of-use", S + "/legal"] and got["crawl_delay"] == 5
+def test_good_and_bad_sites(spark):
+    """All sites in one table, as a crawl of many sites has them."""
+    by_site = {"good": GOOD, "stranger": GOOD} | {f"wrong{k}": GOOD | change for k, (change, _, _) in enumerate(WRONG)}
+    sites = {name: SITE for name in by_site if name != "stranger"}
+    got = {r.site: r for r in P.preflight(table(spark, by_site), sites).collect()}
+    assert set(got) == set(sites)
+    status = lambda r: {c.key: c.status for c in r.checks}
+    good = got["good"]
+    assert good.can_crawl and status(good) == {"robots": "ok", "robots-start": "ok", "start-page": "ok", "sitemap": "ok", "terms": "info"}
+    assert {c.key: c.detail for c in good.checks}["start-page"] == "Shop front" and good.crawl_delay == 5
+    m = good.sitemap
+    assert (m.urls_seen, m.in_scope, m.unchecked, m.sample) == (8, 6, 1, [f"{S}/page{k}" for k in range(6)])
+    assert good.terms == [S + "/imprint/legal", S + "/agb"]
+    for k, (_, key, want) in enumerate(WRONG):
+        r = got[f"wrong{k}"]
+        assert status(r)[key] == want and r.can_crawl == (want != "fail"), (k, r)
+    said = {k: {c.key: c.detail for c in got[f"wrong{k}"].checks}[key] for k, (_, key, _) in enumerate(WRONG)}
+    assert "Cloudflare" in said[5] and "Imperva" in said[6] and said[7] == "timed out" and "else.test" in said[8] and said[3].endswith("not fetched")
 
 
-@pytest.mark.parametrize(
-    ("change", "key", "want"),
-    [
-        ({S + "/robots.txt": P.Reply(503)}, "robots", "fail"),
-        ({S + "/robots.txt": P.Reply(404)}, "robots", "info"),
-        ({S + "/robots.txt": P.Reply(403)}, "robots", "fail"),
-        ({S + "/robots.txt": P.Reply(200, {}, None, b"User-agent: *\nDisallow: /")}, "robots-start", "fail"),
-        ({S + "/": P.Reply(403, {"cf-mitigated": "challenge"})}, "start-page", "fail"),
-        ({S + "/": P.Reply(503, {"server": "AkamaiGHost"}, None, b"no")}, "start-page", "fail"),
-        ({S + "/": P.Reply(None, error="timeout")}, "start-page", "fail"),
-        ({S + "/": P.Reply(200, {}, "https://else.test/", b"<p>")}, "start-page", "fail"),
-        ({S + "/index.xml": P.Reply(200, {}, None, b'<!DOCTYPE x [<!ENTITY a "b">]><urlset>&a;</urlset>')}, "sitemap", "warn"),
-        ({S + "/": P.Reply(200, {}, None, b"<p>no links")}, "terms", "warn"),
-    ],
-)
-def test_what_goes_wrong(change, key, want):
-    got = P.preflight(SITE, REPLIES | change)
-    assert status(got)[key] == want and got["can_crawl"] == (want != "fail")
+def test_sitemaps_are_opened_breadth_first(spark):
+    """Index files of index files, one that names itself, and one file named twice: three are opened, level by level."""
+    nested = {"/robots.txt": reply("User-agent: *\nDisallow: /no\n"), "/start": reply(START)}
+    nested |= {"/sitemap.xml": reply(index("/sitemap.xml", "/no/a.xml", "/deep.xml", "/p.xml", "/deep.xml")), "/deep.xml": reply(index("/last.xml")), "/p.xml": reply(pages(0, 3)), "/last.xml": reply(pages(5, 9))}
+    chain = {"/robots.txt": reply(status=404), "/sitemap.xml": reply(index("/a.xml")), "/a.xml": reply(index("/b.xml")), "/b.xml": reply(index("/c.xml", "/d.xml")), "/c.xml": reply(pages(0, 2))}
+    got = {r.site: r.sitemap for r in P.preflight(table(spark, {"n": nested, "c": chain, "off": nested}), {"n": SITE, "c": SITE, "off": SiteConfig("s", (S + "/start",), ("shop.velora.test",), use_sitemap=False)}).collect()}
+    assert (got["n"].urls_seen, got["n"].unchecked) == (3, 1) and (got["c"].urls_seen, got["c"].unchecked) == (0, 2)
+    assert got["off"].urls_seen is None
 
 
 def test_table_and_fingerprint(spark):
-    rows = [("s", u, r.status, r.headers, r.final_url, bytearray(r.body), r.error) for u, r in REPLIES.items()] + [("other", "u", 200, {}, None, bytearray(b""), None)]
-    df = spark.createDataFrame(rows, "site string, url string, status int, headers map<string,string>, final_url string, body binary, error string")
+    df = table(spark, {"s": GOOD, "other": GOOD})
     got = P.preflight_table(df, {"s": SITE}).collect()
-    assert {r.key: r.status for r in got} == status(P.preflight(SITE, REPLIES)) and all(r.can_crawl for r in got)
-    assert P.fingerprint(SITE) != P.fingerprint(SiteConfig("s", (S + "/",), ("www.velora.test",), use_sitemap=False))
+    assert {(r.site, r.key, r.status) for r in got} == {("s", k, v) for k, v in {"robots": "ok", "robots-start": "ok", "start-page": "ok", "sitemap": "ok", "terms": "info"}.items()} and all(r.can_crawl for r in got)
+    assert P.preflight_table(df.limit(0), {"s": SITE}).where("status = 'fail'").count() == 2
+    assert P.fingerprint(SITE) != P.fingerprint(SiteConfig("s", (S + "/start",), ("shop.velora.test",), use_sitemap=False))
 
 
 def test_rulebook(spark):
