@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,6 +116,11 @@ def list_clean(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
+def exactly_rounded(c: Column, digits: int) -> Column:
+    """The same for a column, of few rows: built-in rounding goes by the decimal digits that a number is shown with."""
+    return F.arrow_udf(lambda some: pa.array([exact_round(v, digits) for v in some.to_pylist()], pa.float64()), "double")(c)
+
+
 def exact_round(value: float | None, digits: int) -> float | None:
     """Rounding of the exact binary value, half to even: on the driver, for single results."""
     return None if value is None else round(value, digits)

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import REVIEW_BATCH, RuleConfig, RuleVersion
+from ..config import EXCEPTION_KINDS, REVIEW_BATCH, RuleConfig, RuleVersion
 from ..functions import text as T
 from ..functions import web as W
 from ..operators import entities as E
 from ..operators import evaluate as V
 from ..operators import review, storage
 from ..operators.near import near_misses
-from ..sources import html, robots
+from ..sources import files, html, robots
 from . import kernel, steps
 from . import report as R
 
@@ -47,6 +47,16 @@ def n(alias: str = "n"):
     return F.count(F.lit(1)).alias(alias)
 
 
+_URL = """u AS (SELECT page_id, url, html, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) AS scheme,
+  lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '^.*@', '')) AS authority,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query FROM pages),
+v AS (SELECT *, regexp_extract(authority, '^([^:]*)', 1) AS host, regexp_extract(authority, ':([0-9]+)$', 1) AS port FROM u),
+w AS (SELECT *, scheme || '://' || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END
+  || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS normalized,
+  array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS registrable FROM v)
+"""
+
+
 # --- text and segments
 
 
@@ -85,6 +95,27 @@ def near_miss_tokens(spark, d):
     return near_misses(w.groupBy(F.lower("word").alias("token")).agg(n()), "token", "thing", 1)
 
 
+@query(with_sql("words") + """, tokens AS (
+  SELECT lower(word) AS token, count(*) AS n FROM words WHERE length(word) BETWEEN 5 AND 9 AND octet_length(encode(word)) = length(word) GROUP BY 1),
+near AS (SELECT *, CAST(damerau_levenshtein(token, 'thinger') AS BIGINT) AS distance FROM tokens)
+SELECT token, n, distance, round(1 - distance / greatest(length(token), 7), 3) AS confidence FROM near WHERE distance BETWEEN 1 AND 2""")
+def near_miss_tokens_two(spark, d):
+    """Two edits, transpositions among them."""
+    w = E.words(spark, d).where(F.char_length("word").between(5, 9) & (F.octet_length("word") == F.char_length("word")))
+    return near_misses(w.groupBy(F.lower("word").alias("token")).agg(n()), "token", "thinger", 2)
+
+
+_CLAIMS = "'on ' || url || ' by @u' || page_id || ' #p' || page_id || ' in f' || page_id || '.pdf, ' || 'm' || page_id || '@x.test or ' || host || '!'"
+
+
+@query("WITH " + _URL + """SELECT page_id, 'on ' || repeat(' ', length(url)) || ' by ' || repeat(' ', length(CAST(page_id AS VARCHAR)) + 2) || ' ' || repeat(' ', length(CAST(page_id AS VARCHAR)) + 2) || ' in '
+  || repeat(' ', length(CAST(page_id AS VARCHAR)) + 5) || ', ' || repeat(' ', length(CAST(page_id AS VARCHAR)) + 8) || ' or ' || repeat(' ', length(host)) || CASE WHEN starts_with(host, 'www.') THEN ' ' ELSE '!' END AS masked FROM w""")
+def masked_claims(spark, d):
+    """Every kind of exception in one text: url, handle, hashtag, file, address, domain."""
+    p = E.pages(spark, d).select("page_id", "url", "host").withColumn("text", F.expr(_CLAIMS))
+    return V.with_masked(p, EXCEPTION_KINDS).select("page_id", "masked")
+
+
 @query(with_sql("segments") + """, w AS (
   SELECT segment_id, regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+') AS parts FROM segments),
 i AS (SELECT segment_id, parts, unnest(generate_series(1, len(parts) - 2)) AS k FROM w)
@@ -140,9 +171,8 @@ def language_fallback(spark, d):
 
 @query("SELECT sha256(text) AS digest, 'files/' || sha256(text)[1:2] || '/' || sha256(text) AS place, CAST(length(text) AS BIGINT) AS n FROM documents GROUP BY text")
 def content_dedup(spark, d):
-    docs = E.table(spark, d, "documents")
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    return docs.groupBy(digest.alias("digest")).agg(F.max(F.char_length("text")).cast("long").alias("n")).select("digest", F.concat(F.lit("files/"), F.substring("digest", 1, 2), F.lit("/"), "digest").alias("place"), "n")
+    content = E.table(spark, d, "documents").select(F.col("text").cast("binary").alias("content"))
+    return files.stored(content).select("digest", "place", F.char_length(F.col("content").cast("string")).cast("long").alias("n"))
 
 
 # --- reports over findings
@@ -371,14 +401,6 @@ def comparison(spark, d):
 
 # --- URLs and pages
 
-_URL = """u AS (SELECT page_id, url, html, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) AS scheme,
-  lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '^.*@', '')) AS authority,
-  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query FROM pages),
-v AS (SELECT *, regexp_extract(authority, '^([^:]*)', 1) AS host, regexp_extract(authority, ':([0-9]+)$', 1) AS port FROM u),
-w AS (SELECT *, scheme || '://' || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END
-  || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS normalized,
-  array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS registrable FROM v)
-"""
 
 
 @query("WITH " + _URL + "SELECT page_id, scheme, host, path, query, normalized, registrable FROM w")
@@ -387,9 +409,20 @@ def url_parts(spark, d):
     return E.pages(spark, d).select("page_id", W.scheme(u).alias("scheme"), "host", W.path(u).alias("path"), W.query(u).alias("query"), W.normalized(u).alias("normalized"), W.registrable(F.col("host")).alias("registrable"))
 
 
-@query("WITH " + _URL + "SELECT normalized, count(*) AS n, min(page_id) AS first FROM w GROUP BY 1 HAVING count(*) > 1")
+_FORMS = ("""SELECT page_id, url, html FROM pages UNION ALL SELECT page_id + 1000000, upper(split_part(url, ':', 1)) || '://U:p@' || upper(split_part(split_part(url, '://', 2), '/', 1)) || CASE WHEN starts_with(url, 'https') THEN ':443' ELSE ':80' END
+  || substring(split_part(url, '://', 2), length(split_part(split_part(url, '://', 2), '/', 1)) + 1) || CASE WHEN contains(url, '#') THEN '' ELSE '#end' END, html FROM pages WHERE page_id % 3 = 0""")
+
+
+@query("WITH " + _URL.replace("FROM pages)", f"FROM ({_FORMS}))", 1) + "SELECT normalized, count(*) AS n, min(page_id) AS first FROM w GROUP BY 1 HAVING count(*) > 1")
 def normalized_url_duplicates(spark, d):
-    return E.pages(spark, d).groupBy(W.normalized(F.col("url")).alias("normalized")).agg(n(), F.min("page_id").alias("first")).where("n > 1")
+    """A third of the pages has a second address: scheme and host in capitals, a user, the usual port, a fragment."""
+    p = E.pages(spark, d).select("page_id", "url")
+    scheme, rest = F.substring_index("url", ":", 1), F.substring_index("url", "://", -1)
+    host = F.substring_index(rest, "/", 1)
+    port, end = F.when(scheme == "https", ":443").otherwise(":80"), F.when(F.contains("url", F.lit("#")), "").otherwise("#end")
+    other = F.concat(F.upper(scheme), F.lit("://U:p@"), F.upper(host), port, F.substr(rest, F.char_length(host) + 1), end)
+    more = p.where("page_id % 3 = 0").select((F.col("page_id") + 1000000).alias("page_id"), other.alias("url"))
+    return p.unionByName(more).groupBy(W.normalized(F.col("url")).alias("normalized")).agg(n(), F.min("page_id").alias("first")).where("n > 1")
 
 
 @query("WITH " + _URL + f"""SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'not_http'
@@ -485,6 +518,11 @@ def page_limit_cap(spark, d):
     return R.capped(E.pages(spark, d).select("host", "page_id"), "host", ["page_id"], 3)
 
 
+@query("WITH " + _URL + "SELECT host, least(count(*), 3) AS done, CASE WHEN count(*) >= 3 THEN 'page_limit' END AS stop_reason, 'completed' AS status FROM w GROUP BY 1")
+def page_limit_stops(spark, d):
+    return R.stop_reasons(E.pages(spark, d), "host", 3)
+
+
 @query(with_sql("segments") + "SELECT asset_id, segment_id, CASE WHEN row_number() OVER (PARTITION BY asset_id ORDER BY visibility = 'visible' DESC, segment_id) <= 4 THEN 'kept' ELSE 'page_limit' END AS outcome FROM segments")
 def priority_cap(spark, d):
     return R.capped(E.segments(spark, d).select("asset_id", "segment_id", "visibility"), "asset_id", [F.col("visibility") != "visible", "segment_id"], 4).drop("visibility")

@@ -14,7 +14,7 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 
 from ..config import PRICE_IN, PRICE_OUT, SEVERITY_WEIGHT, VISIBILITY_FACTOR
 from ..functions.order import LARGE, streaks, with_neighbours
-from ..functions.text import exact_round, folded
+from ..functions.text import exact_round, exactly_rounded, folded
 
 #: Identity of a finding across runs.
 KEY = ["url", "kind", "matched_text", "text_source", "text"]
@@ -249,12 +249,12 @@ def usage(calls: DataFrame, price_in: float = PRICE_IN, price_out: float = PRICE
         F.sum("calls").alias("calls"), F.sum("failed").alias("failed"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", "calls")))).alias("stages"),
     )
-    return day.withColumn("cost", F.round(F.col("input_tokens") / 1e6 * price_in + F.col("output_tokens") / 1e6 * price_out, 4))
+    return day.withColumn("cost", exactly_rounded(F.col("input_tokens") / 1e6 * price_in + F.col("output_tokens") / 1e6 * price_out, 4))
 
 
 def usage_total(days: DataFrame) -> DataFrame:
     """Sums over all days; the cost is the sum of the days' rounded costs."""
-    return days.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "failed", "input_tokens", "output_tokens")), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost"))
+    return days.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "failed", "input_tokens", "output_tokens")), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost")).withColumn("cost", exactly_rounded(F.col("cost"), 4))
 
 
 def readiness(sites: DataFrame) -> DataFrame:
@@ -303,6 +303,12 @@ def capped(rows: DataFrame, by: str, order: list, cap: int, salts: int = 1024) -
     return joined.withColumn("outcome", F.when(kept, "kept").otherwise("page_limit")).drop("__at", "__by", "__last")
 
 
+def stop_reasons(rows: DataFrame, by: str, cap: int) -> DataFrame:
+    """Per group: rows that are taken, and `page_limit` where the last of them reached the cap; such a run is complete all the same."""
+    done = rows.groupBy(by).agg(F.least(F.count(F.lit(1)), F.lit(cap).cast("long")).alias("done"))
+    return done.withColumns({"stop_reason": F.when(F.col("done") >= cap, "page_limit"), "status": F.lit("completed")})
+
+
 def latest_wins(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """Upsert without a table format: of each key the row of the newer table."""
     both = stored.withColumn("__v", F.lit(0)).unionByName(fresh.withColumn("__v", F.lit(1)))
