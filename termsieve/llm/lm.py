@@ -20,9 +20,7 @@ answers meet by block number, so no text is shuffled and a word found in every d
 once a block. Memory follows the block and the bucket, not the corpus; the number of buckets
 follows the number of tokens.
 
-Two different words count as one only if 64-bit hashes collide. Keys of bigrams and trigrams have
-SPARE bits more than it takes to number the tokens (64 at most), so about one in 2**SPARE is not
-alone; that touches the score only, never the base score or the counts of known tokens.
+Two different words, bigrams or trigrams count as one only if 64-bit hashes collide, at every size of the corpus.
 
 A corpus so large that a block has fewer keys than there are buckets (10**12 tokens or so) still gets right
 counts, but a row per key and block: BLOCK should grow with the corpus then.
@@ -48,7 +46,8 @@ TEST, HELD = 2, 3
 #: Tokens of a block, and keys of a bucket, about.
 BLOCK = 1 << 20
 BUCKET = 1 << 21
-SPARE = 22
+#: Bits of every key.
+BITS = 64
 U = np.uint64
 END = int(mix(np.array([0x5851F42D4C957F2D], dtype=np.uint64))[0])
 BEGIN = int(mix(np.array([0x14057B7EF767814F], dtype=np.uint64))[0])
@@ -83,10 +82,6 @@ def bucket_of(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return ((keys >> U(bits - 32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def key_bits(tokens: int) -> int:
-    return min(64, max(40, int(tokens).bit_length() + SPARE))
-
-
 BLOCKS = "block long, role int, n_docs long, n_tokens long, doc_ids array<long>, lengths binary, words binary, stream binary"
 
 
@@ -285,7 +280,7 @@ def score(docs: DataFrame) -> DataFrame:
     shape = {r["role"]: r for r in blocks.groupBy("role").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t")).collect()}
     tokens = sum(r["t"] for r in shape.values())
     d_fit, d_held = (int(shape[r]["d"]) if r in shape else 0 for r in (0, 1))
-    buckets, bits = max(1, -(-tokens // BUCKET)), key_bits(tokens)
+    buckets, bits = max(1, -(-tokens // BUCKET)), BITS
     path = fresh_path(spark, "answers")
     answered(asked(blocks, buckets, bits)).write.parquet(path)
     answers = spark.read.schema(ANSWERED).parquet(path)
