@@ -98,10 +98,6 @@ def near_pairs(classes: DataFrame, most: int = 2, crowd: int = CROWD) -> DataFra
     rows = classes.select("fp", F.explode(F.when(F.bit_count(high) % 2 == 0, F.concat(own, around)).otherwise(own)).alias("e")).select("e.*", "fp")
     rows = materialise(rows)
     full = materialise(rows.where("home").groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).drop("n"))
-    # In a full entry members meet by a neighbour of their other half.
-    other = F.when(F.col("seg") == 0, low).otherwise(high)
-    fine = rows.join(full, ["seg", "key"], "left_semi").select("seg", "key", "home", "fp", F.explode(_ball(other, 32)).alias("fine"))
-    few = rows.join(full, ["seg", "key"], "left_anti").withColumn("fine", F.lit(-1).cast("long"))
     at = ["seg", "key", "fine"]
 
     def met(some: DataFrame) -> DataFrame:
@@ -110,6 +106,13 @@ def near_pairs(classes: DataFrame, most: int = 2, crowd: int = CROWD) -> DataFra
         pairs = left.join(right, at).where("x < y OR NOT visit_home AND x > y")
         return pairs.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
+    whole = F.lit(-1).cast("long")
+    if full.isEmpty():
+        return met(rows.withColumn("fine", whole)).distinct()
+    # In a full entry members meet by a neighbour of their other half.
+    other = F.when(F.col("seg") == 0, low).otherwise(high)
+    fine = rows.join(full, ["seg", "key"], "left_semi").select("seg", "key", "home", "fp", F.explode(_ball(other, 32)).alias("fine"))
+    few = rows.join(full, ["seg", "key"], "left_anti").withColumn("fine", whole)
     return met(few).unionByName(met(fine)).distinct()
 
 

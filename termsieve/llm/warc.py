@@ -283,6 +283,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, records: int = R
         yield from _by_bytes(_lines(_rows(batches), line, None, records, most), RECORD, lambda r: len(r[0]))
 
     _write_lines(rows.mapInArrow(run, "record binary"), warc_path, "\r\n\r\n", records)
+    remove(spark, path)
 
 
 WARC_ROW = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "target_uri": pa.string(), "record_id": pa.string()}
