@@ -54,6 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> SparkSession:
+    """A session of the same settings whose queries remove their shuffle files when they have ended, not when the driver
+    happens to collect its garbage. For what is written; the given session stays as it is."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return own
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -17,7 +17,7 @@ indices), which are written to the shared folder. A block asks for the counts of
 bigrams and trigrams: sorted keys, split over buckets by their leading bits. One task per bucket adds up what
 the blocks hold and answers each with the total counts of its keys, in their order. Blocks and
 answers meet by block number, so no text is shuffled and a word found in every document is asked for
-once a block. Memory follows the block and the bucket, not the corpus; the number of buckets
+once a block. Words and bigrams are answered first, then trigrams, and the shuffle files of each go at once. Memory follows the block and the bucket, not the corpus; the number of buckets
 follows the number of tokens.
 
 Two different words, bigrams or trigrams count as one only if 64-bit hashes collide, at every size of the corpus.
@@ -32,6 +32,8 @@ has the smoothed unigram estimate alone; with no training rows at all N and V ar
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import crc_mod, fresh_path, text_rows
+from .base import crc_mod, fresh_path, text_rows, tidy
 from .nptext import Chunk, chunks, mix
 
 TEST, HELD = 2, 3
@@ -139,31 +141,43 @@ class Block:
         self.words = unsqueeze_keys(row["words"])
         self.stream = unsqueeze(row["stream"], np.uint32).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        word, shift = self.words[self.stream], U(64 - bits)
+        self.word, self.shift = self.words[self.stream], U(64 - bits)
         before = np.empty(len(self.stream), dtype=np.uint64)
-        before[1:] = word[:-1]
+        before[1:] = self.word[:-1]
         before[self.start] = BEGIN
-        pair = mix(before * U(0x9FB21C651E98DF25) + word)
-        self.pairs, self.pair = np.unique(pair >> shift, return_inverse=True)
+        self.bits, self.both = bits, mix(before * U(0x9FB21C651E98DF25) + self.word)
         #: Tokens that have two before them, the beginning of the text being one.
         self.third = np.ones(len(self.stream), dtype=bool)
         self.third[self.start] = False
+
+    @cached_property
+    def two(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of pairs, and which of them each token has."""
+        return np.unique(self.both >> self.shift, return_inverse=True)
+
+    @cached_property
+    def three(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same of triples, for the tokens that have one."""
         at = np.flatnonzero(self.third)
-        self.triples, self.triple = np.unique(mix(pair[at - 1] * U(0xD6E8FEB86659FD93) + word[at]) >> shift, return_inverse=True)
-        self.kinds = ((self.words, self.stream, 64), (self.pairs, self.pair, bits), (self.triples, self.triple, bits))
+        return np.unique(mix(self.both[at - 1] * U(0xD6E8FEB86659FD93) + self.word[at]) >> self.shift, return_inverse=True)
+
+    def kind(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Keys, the key of each token, and bits of a key."""
+        return (self.words, self.stream, 64) if k == 0 else (*(self.two if k == 1 else self.three), self.bits)
 
 
 ASKED = "kind int, bucket long, block long, role int, keys binary, counts binary"
 
 
-def asked(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
+def asked(blocks: DataFrame, buckets: int, bits: int, kinds_asked: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """One row per block, kind (0: words, 1: bigrams, 2: trigrams) and bucket: the block's keys and own counts."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 b, out = Block(row, bits), []
-                for kind, (keys, own, width) in enumerate(b.kinds):
+                for kind in kinds_asked:
+                    keys, own, width = b.kind(kind)
                     counts = np.bincount(own, minlength=len(keys)).astype(np.uint32)
                     at = bucket_of(keys, buckets, width)
                     edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
@@ -215,7 +229,7 @@ class Estimates:
     """Of each token of a block: the estimates of the three orders and the buckets of both contexts."""
 
     def __init__(self, b: Block, counts: list[np.ndarray], n: int, v: int, docs: int):
-        of_word, of_pair = counts[0][b.stream], counts[1][b.pair]
+        of_word, of_pair = counts[0][b.stream], counts[1][b.two[1]]
         context = np.empty(len(b.stream), dtype=np.int64)
         context[1:] = of_word[:-1]
         context[b.start] = docs
@@ -225,7 +239,7 @@ class Estimates:
         context[1:] = of_pair[:-1]
         context[b.start] = 0
         self.top = np.zeros(len(b.stream))
-        self.top[b.third] = counts[2][b.triple]
+        self.top[b.third] = counts[2][b.three[1]]
         self.top = np.where(context > 0, self.top / np.maximum(context, 1), 0.0)
         self.top_level = level(context)
         self.known = of_word > 0
@@ -281,8 +295,9 @@ def score(docs: DataFrame) -> DataFrame:
     tokens = sum(r["t"] for r in shape.values())
     d_fit, d_held = (int(shape[r]["d"]) if r in shape else 0 for r in (0, 1))
     buckets, bits = max(1, -(-tokens // BUCKET)), BITS
-    path = fresh_path(spark, "answers")
-    answered(asked(blocks, buckets, bits)).write.parquet(path)
+    own, asks, path = tidy(spark), path, fresh_path(spark, "answers")
+    for kinds in ((0, 1), (2,)):  # one after the other, so that only one of them is on its way
+        answered(asked(own.read.schema(BLOCKS).parquet(asks), buckets, bits, kinds)).write.mode("append").parquet(path)
     answers = spark.read.schema(ANSWERED).parquet(path)
     s = answers.where("block IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_fit", "v_fit"))).first()
     answers = answers.where("block IS NOT NULL").select("block", "role", "kind", "bucket", "total", "fitted")
