@@ -51,3 +51,11 @@ def test_phrase_over_an_address_equals_sql(spark, sf_dir, tmp_path):
     d = written(spark, tmp_path, sf_dir, "documents", [(1, "heard and me@mail.example.com the and the antion", "en", "web", 48), (2, "in and a.b@c.example and", "en", "web", 25)])
     for name in ("check_words", "check_summary"):
         assert compare.differences(core.queries()[name](spark, d), compare.connection(d), core.oracle_sql()[name]) == ""
+
+
+def test_page_with_a_cut_reference_equals_sql(spark, sf_dir, tmp_path):
+    html = "<html><head><title>x&amp;&amp</title></head><body><h1>x&amp;&amp</h1><p>a &amp;lt; b &lt c &copy; d & e &am</p></body></html>"
+    d = written(spark, tmp_path, sf_dir, "pages", [(1, "http://a.example/1", html)])
+    got = core.queries()["page_texts"](spark, d)
+    assert compare.differences(got, compare.connection(d), core.oracle_sql()["page_texts"]) == ""
+    assert {r.text for r in got.collect()} == {"x&&amp", "a &lt; b &lt c © d & e &am"}
