@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RuleVersion
-from ..functions.spelling import SEPARATORS, SHORTEST_NEAR_MISS, Checker, fold, masked
+from ..functions.spelling import SEPARATORS, SHORTEST_NEAR_MISS, Checker, Reading, fold, masked
 from ..functions.text import lowered, unusual
 
 FOUND = "rule_id long, rule_version int, kind string, start int, end int, matched_text string, expected string, status string, severity string, confidence double, note string"
@@ -61,11 +61,15 @@ def checked_rows(rows: DataFrame, active: list[RuleVersion], text: str, language
             at, found = [], []
             asked = batch.column(which).to_pylist() if which else [every] * batch.num_rows
             for i, (said, lang, some) in enumerate(zip(batch.column(text).to_pylist(), batch.column(language).to_pylist(), asked)):
+                read = {}  # the text, by the exceptions of a rule
                 for k in sorted(some):
                     if checkers[k] is None:  # compiled when a text meets it
                         checkers[k] = (active[k].rule_id, active[k].version, Checker(active[k].config))
                     rule_id, version, checker = checkers[k]
-                    for h in checker.check(said, lang):
+                    kinds = tuple(checker.config.exceptions)
+                    if kinds not in read:
+                        read[kinds] = Reading(said, kinds)
+                    for h in checker.check(said, lang, read[kinds]):
                         at.append(i)
                         found.append((rule_id, version, h.kind, h.start, h.end, h.matched, h.expected, h.status, h.severity, h.confidence, h.note))
             if at:

@@ -154,13 +154,12 @@ def evaluate_many(segments: DataFrame, rules: list[RuleVersion], text: str = "te
     every = [e for k, r in enumerate(active) for e in entries(r.config, k)]
     names = segments.columns
     rows = with_words(of_interest(segments, text, visibility), text, any(e.form == "" for e in every))
-    distinct = rows.select(F.explode("__words").alias("word")).distinct()
-    met = kept(meeting(distinct, every), "met")
-
-    # Rows get a number before their words part, and are put together by it: only rows that meet a rule are shuffled.
-    numbered = rows.select(F.monotonically_increasing_id().alias("id"), F.struct(*names).alias("row"), "__plain", "__words")
-    apart = numbered.select("id", "row", "__plain", F.explode("__words").alias("word"))
-    has = F.col("needs").isNull() | F.contains("__plain", F.col("needs"))
-    pairs = apart.join(met, "word").where(has)
-    some = pairs.groupBy("id").agg(F.first("row").alias("row"), F.collect_set("rule").alias("__rules")).select("row.*", "__rules")
-    return checked_rows(some, active, text, language, which="__rules")
+    # Rows are written with a number and their words. Words part from their row with the number alone, since a row
+    # beside each of its words grows with the square of a text, and meet it again as the rules that they meet.
+    numbered = kept(rows.select(F.monotonically_increasing_id().alias("id"), F.struct(*names).alias("row"), "__plain", "__words"), "rows")
+    apart = numbered.select("id", F.explode("__words").alias("word"))
+    met = kept(meeting(apart.select("word").distinct(), every), "met")
+    pairs = apart.join(met, "word").groupBy("id").agg(F.collect_set(F.struct("rule", "needs")).alias("met"))
+    has = F.filter("met", lambda m: m["needs"].isNull() | F.contains("__plain", m["needs"]))
+    some = numbered.select("id", "row", "__plain").join(pairs, "id").select("row.*", F.array_distinct(has["rule"]).alias("__rules"))
+    return checked_rows(some.where(F.size("__rules") > 0), active, text, language, which="__rules")
