@@ -109,3 +109,17 @@ def test_index_and_pruning():
     index = urls.Index([f("ab"), f("c"), f("bcd")])
     assert [index.matches(x) for x in ("a", "b", "ab", "bca", "c", "bd", "", "xyz", "aa")] == [False, False, True, True, True, False, False, False, False]
     assert urls.pruned({f("a"): 0.8, f("ab"): 0.8, f("ac"): 0.9, f("acd"): 0.85, f("cd"): 0.8}) == {f("a"): 0.8, f("ac"): 0.9, f("cd"): 0.8}
+
+
+def test_no_token_is_left_out_of_mining(spark, tmp_path):
+    """Eleven tokens tell more than `zz`, which a rule needs all the same."""
+    long = "http://h.example.com/" + "/".join(f"w{chr(97 + k)}" for k in range(11))
+    rows = [(k, f"{long}{'/zz' if k < 25 else ''}/{k}") for k in range(60)] + [(1000 + k, f"http://fine.example.org/en/{1000 + k}") for k in range(300)]
+    marks = [(k, 0, 0) for k in range(60)] + [(1000 + k, 1, 0) for k in range(300)]
+    os.makedirs(tmp_path / "in")
+    for name, df in (("pages", pages(spark, rows + [(5000, "http://fine.example.org/zz/5000"), (5001, "http://fine.example.org/yy/5001")])), ("labels", labels(spark, marks))):
+        df.write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
+    d = str(tmp_path / "in")
+    got = registry.op13_url_rules(spark, d)
+    assert {r.page_id: r.verdict for r in got.where("page_id >= 5000").collect()} == {5000: "block", 5001: "allow"}
+    assert not differences(got, connection(d), registry.oracle_sql()["op13_url_rules"])
