@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, bounded, fresh_path, materialise, spare, text_rows
+from .base import IdFilter, Scratch, bounded, fresh_path, materialise, spare, text_rows
 from .components import components
 from .kept import others_go
 from .nptext import Chunk, buffers, chunks, mix
@@ -247,15 +247,17 @@ def shared_rows(first: DataFrame, small: int) -> DataFrame:
     return first.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(run, "key long, id long, at int, size int, many boolean")
 
 
-def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the sorted distinct hashes of each text's shingles, 32 bits of them."""
+def shingle_sets(rows: DataFrame, words: int, wanted: IdFilter) -> DataFrame:
+    """(id, shingles): the sorted distinct hashes of each text's shingles, 32 bits of them. Rows that are not wanted
+    are left out where they lie, but for the few that the filter lets pass: texts are not shuffled."""
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.has(batch.column("place").to_numpy())))
             sets = [np.unique(h.astype(np.uint32)).view(np.int32) for h in _sets(batch.column("text"), words)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int32()))], ["id", "shingles"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, shingles array<int>")
+    return rows.select("id", wanted.place().alias("place"), "text").mapInArrow(run, "id long, shingles array<int>")
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
@@ -308,6 +310,19 @@ def _fits(similarity: float):
     return (F.least(m, n) + 1e-9 >= similarity * F.greatest(m, n)) & (rest * (1 + similarity) + 1e-9 >= similarity * (m + n))
 
 
+def alike_pairs(rows: DataFrame, pairs: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Those of the written pairs (a, b) whose similarity reaches the value."""
+    sets = scratch.keep(shingle_sets(rows, words, IdFilter(_ends(pairs))), "sets")
+    sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    links = scratch.keep(pairs.join(sa, "a").join(sb, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"), "links")
+    scratch.drop("sets")
+    return links
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """The rows with a number of their own in the column `name`: the id where ids are unique, else one
     that is written with the rows to the shared folder."""
@@ -331,7 +346,7 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
 
     Candidates are complete: two texts alike have a shingle in common among their first ones
     (prefix_rows), and the first such shingle is compared. Most shingles belong to one text and go; pairs
-    whose sketches exclude the similarity go before any text is fetched;
+    whose sketches exclude the similarity go before any text is read;
     the members of one with up to `small` are all compared. In larger ones each member is first compared
     with two only, drawn by hash; what that links makes components. Then the members outside the
     shingle's most frequent component are compared with all others (once, at the first large
@@ -354,11 +369,8 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     near = scratch.keep(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
     near = scratch.keep(with_room(near, scratch.keep(sketches(rows, words), "sketches"), similarity), "room")
     many = scratch.keep(many.join(tables.select("key"), "key", "left_semi"), "many")
-    # Tables of ids are written, so that Spark can tell whether they are small enough to spare the texts a shuffle.
-    ids = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = scratch.keep(shingle_sets(rows.join(ids, "id", "left_semi"), words), "sets")
-    sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    links = scratch.keep(near.join(sa, "a").join(sb, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"), "links")
+    scratch.drop("met", "near", "sketches")
+    links = alike_pairs(rows, near, words, similarity, scratch)
 
     comp = components(links)
     many = many.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -367,7 +379,7 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     if many.isEmpty():
         scratch.drop()
         return comp
-    sets = shingle_sets(rows.join(scratch.keep(many.select("id").distinct(), "ids"), "id", "left_semi"), words)
+    sets = scratch.keep(shingle_sets(rows, words, IdFilter(many.select("id").distinct())), "sets")
     keys = many.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("at", "key")))["key"].alias("keys"))
     side = scratch.keep(many.join(sets.join(keys, "id"), "id").withColumn("out", F.col("root") != F.col("main")), "side")
     x, y = side.alias("x"), side.alias("y")

@@ -4,8 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from termsieve.llm import components, exact, simhash
+from termsieve.llm.base import SWEEP, IdFilter, Scratch
 
 from .edge import PROSE, TEXTS, docs, key
 
@@ -228,3 +230,48 @@ def test_near_groups_ask_for_no_distance(spark):
             bits.append(n)
             rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
     assert near(spark, rows) == [(k, k - k % 2) for k in range(24)] and max(bits) > 44
+
+
+def shuffle_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_"))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    scratch, before = Scratch(spark), shuffle_bytes(spark)
+    one, two = (scratch.keep(spark.range(50_000).groupBy((F.col("id") * 7 % 9973).alias("k")).count(), w) for w in ("one", "two"))
+    assert shuffle_bytes(spark) <= before and one.count() == two.count() == 9973
+    assert spark.conf.get(SWEEP) == "false"
+    scratch.drop("one")
+    assert len(scratch.paths) == 1 and "termsieve-two-" in scratch.paths[0]
+    scratch.drop()
+    assert scratch.paths == []
+
+
+def test_id_filter_misses_no_id(spark):
+    ids = list(range(0, 300_000, 100)) + [-5, 1 << 62]
+    wanted = IdFilter(spark.createDataFrame([(i,) for i in ids], "id long"))
+    has = lambda some: wanted.has(np.array([r[0] for r in spark.createDataFrame([(i,) for i in some], "id long").select(wanted.place()).collect()]))
+    assert has(ids).all() and has(range(1_000_001, 1_020_000)).mean() < 0.15
+    none = IdFilter(spark.createDataFrame([], "id long"))
+    assert not none.bits.any()
+
+
+def test_near_groups_shuffle_no_texts(spark, monkeypatch):
+    """Also where the table of candidates is too large to be sent to all tasks."""
+    plans, keep = [], Scratch.keep
+
+    def spied(self, df, what):
+        plans.append((what, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(self, df, what)
+
+    monkeypatch.setattr(Scratch, "keep", spied)
+    rows = [(k, f"{PROSE[k % 20]} more {k}") for k in range(40)] + [(100 + k, f"{PROSE[30]} x{k} " + " ".join(f"w{k}{j}" for j in range(k))) for k in range(12)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert near(spark, rows, small=3) == jaccard_groups(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sets = [p for what, p in plans if what == "sets"]
+    assert sets and not any("Exchange" in p or "Join" in p for p in sets)
