@@ -1,4 +1,4 @@
-"""SimHash fingerprints linked by multi-index hashing, and near-duplicate groups by shared shingles.
+"""SimHash fingerprints linked by multi-index hashing, and near-duplicate groups by fingerprints and shared shingles.
 
 Fingerprints are computed in Arrow batches. Equal fingerprints become one class first. Classes are
 then matched per segment of the fingerprint: every class puts its segment value into that segment's
@@ -130,7 +130,7 @@ def link_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- near-duplicate groups by word shingles ----------------------------------------------------
+# --- near-duplicate groups by fingerprints and word shingles -----------------------------------
 
 #: Shared shingles come last in the order of prefixes: those in COMMON or more of one text in SAMPLE,
 #: MOST_COMMON of them. The order decides how many candidates there are, never which pairs are found.
@@ -323,6 +323,26 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
+def print_pairs(rows: DataFrame, words: int, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
+    """(a, b): ids that SimHash takes for near copies. Fingerprints link as in `link_groups`; each row is paired with the
+    least id of its fingerprint, and these with each other where fingerprints link."""
+    prints = scratch.keep(fingerprints(rows.select(F.col("id").alias("doc_id"), "text"), words).withColumnRenamed("doc_id", "id"), "prints")
+    classes = scratch.keep(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
+    own = prints.join(classes.where("n > 1"), "fp").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    ends = [classes.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low")) for c in ("a", "b")]
+    linked = near_pairs(classes.select("fp"), crowd=crowd).join(ends[0], "a").join(ends[1], "b")
+    linked = linked.select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b"))
+    pairs = scratch.keep(own.unionByName(linked), "alike_prints")
+    scratch.drop("prints", "classes")
+    return pairs
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one group already. roots: (node, root)."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """The rows with a number of their own in the column `name`: the id where ids are unique, else one
     that is written with the rows to the shared folder."""
@@ -344,7 +364,12 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     in the verified sets, where two shingles of a pair of 500-shingle texts are taken for one about
     once in 10,000 pairs (a change of the similarity by less than 1/500).
 
-    Candidates are complete: two texts alike have a shingle in common among their first ones
+    First come the pairs that SimHash finds, fingerprints of 64 bits that differ in two or fewer; those whose
+    similarity bears it out make groups. Copies that differ by more, of which a fingerprint says too little (a
+    block of a fifth of a text is 13 to 16 % of its bits), are found by an exact search, which leaves
+    out pairs within one of these groups.
+
+    Its candidates are complete: two texts alike have a shingle in common among their first ones
     (prefix_rows), and the first such shingle is compared. Most shingles belong to one text and go; pairs
     whose sketches exclude the similarity go before any text is read;
     the members of one with up to `small` are all compared. In larger ones each member is first compared
@@ -355,6 +380,9 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     costs about n comparisons, not n * n.
     """
     scratch = Scratch(rows.sparkSession)
+    found = alike_pairs(rows, print_pairs(rows, words, scratch), words, similarity, scratch)
+    roots = scratch.keep(components(found), "roots")
+    scratch.drop("alike_prints")
     met = scratch.keep(shared_rows(prefix_rows(rows, words, similarity, common_shingles(rows, words)), small), "met")
     few = met.where("NOT many")
     ends = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _fits(similarity))
@@ -366,11 +394,12 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     # Of the drawn ones of a member some are enough: links of the others are found below.
     one = drawn.groupBy("id", F.pmod("key", F.lit(4)).alias("part")).agg(F.min_by("b", F.xxhash64("id", "b")).alias("b1"), F.max_by("b", F.xxhash64("id", "b")).alias("b2"))
     ends = ends.unionByName(one.select(F.col("id").alias("a"), F.explode(F.array("b1", "b2")).alias("b")))
-    near = scratch.keep(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    near = apart(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), roots)
+    near = scratch.keep(near, "near")
     near = scratch.keep(with_room(near, scratch.keep(sketches(rows, words), "sketches"), similarity), "room")
     many = scratch.keep(many.join(tables.select("key"), "key", "left_semi"), "many")
     scratch.drop("met", "near", "sketches")
-    links = alike_pairs(rows, near, words, similarity, scratch)
+    links = alike_pairs(rows, near, words, similarity, scratch).unionByName(found)
 
     comp = components(links)
     many = many.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

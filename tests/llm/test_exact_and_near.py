@@ -275,3 +275,38 @@ def test_near_groups_shuffle_no_texts(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     sets = [p for what, p in plans if what == "sets"]
     assert sets and not any("Exchange" in p or "Join" in p for p in sets)
+
+
+def test_near_copies_are_found_by_their_fingerprints_first(spark, monkeypatch):
+    """Groups by fingerprints of five-word shingles against all pairs; the search is left what they do not settle."""
+    r = random.Random(5)
+    bases = [" ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(400)) for _ in range(12)]
+    rows = [(10 * k + j, b if not j else b + f" e{j}" if j < 4 else b + " " + b[: 30 * j]) for k, b in enumerate(bases) for j in range(7)]
+    texts = spark.createDataFrame([(i, t) for i, t in rows] + [(900, ""), (901, "")], "id long, text string")
+    scratch, parent, want = simhash.Scratch(spark), {}, {}
+    prints = {i: int.from_bytes(simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5))) for i, t in [*rows, (900, ""), (901, "")]}
+    for a in prints:
+        for b in prints:
+            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 2:
+                parent[find(parent, a)] = find(parent, b)
+    for i in prints:
+        want.setdefault(find(parent, i), []).append(i)
+    pairs = simhash.print_pairs(texts, 5, scratch)
+    got = {x.node: x.root for x in components.components(pairs).collect()}
+    assert got == {i: own[0] for own in want.values() if len(own) > 1 for i in own} and len(got) > 12
+    found = {tuple(x) for x in simhash.alike_pairs(texts, pairs, 5, 0.8, scratch).collect()}
+    assert found and found <= {tuple(x) for x in pairs.collect()} and (900, 901) not in found
+    scratch.drop()
+
+    kept, keep = {}, simhash.Scratch.keep
+
+    def spied(self, df, what):
+        out = keep(self, df, what)
+        kept.setdefault(what, []).append({tuple(x) for x in out.collect()} if what in ("links", "near") else None)
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "keep", spied)
+    assert near(spark, rows) == jaccard_groups(rows)
+    assert kept["links"][0] == found
+    root = {x.node: x.root for x in components.components(spark.createDataFrame(sorted(found), "a long, b long")).collect()}
+    assert kept["near"][0] and all(root.get(a, a) != root.get(b, b) for a, b in kept["near"][0])
