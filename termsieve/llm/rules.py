@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .base import bounded, text_rows
-from .kept import others_go
+from .kept import others_go, trim
 from .linear import SAMPLE_ROWS, collect_features, folds, labelled_sample, logistic, platt
 from .nptext import Chunk, chunks, mix, repeats, span_hash
 
@@ -130,6 +130,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, t
 def passing(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, that the rules and the model keep. Nothing is shuffled."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
+    trim()  # the driver's
 
     def run(batches):
         others_go()

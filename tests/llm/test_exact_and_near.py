@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -136,6 +137,39 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 40, components.EDGES])
+def test_components_of_blocks(spark, most):
+    rng = np.random.default_rng(most)
+    for nodes, edges in ((500, 480), (3000, 1500), (60, 400)):
+        pairs, parent, want = rng.integers(-nodes, nodes, (edges, 2)).tolist(), {}, {}
+        pairs += [(k + 1, k) for k in range(2 * nodes, 2 * nodes + 90)] + [(None, 5), (6, None)]
+        for a, b in pairs:
+            if a is not None and b is not None and a != b:
+                parent[find(parent, a)] = find(parent, b)
+        for k in list(parent):
+            want.setdefault(find(parent, k), []).append(k)
+        want = sorted((k, min(own)) for own in want.values() for k in own)
+        got = components.components(spark.createDataFrame(pairs, "a long, b long").repartition(5), most=most)
+        assert sorted(tuple(x) for x in got.collect()) == want
+
+
+def test_small_components_take_few_tasks(spark):
+    """What a driver remembers of tasks is most of its memory where there are many partitions."""
+    own, sc = spark.newSession(), spark.sparkContext
+    own.conf.set("spark.sql.shuffle.partitions", 50)
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    steps = np.random.default_rng(3).permutation(400).tolist()
+    edges = own.createDataFrame(list(zip(steps, steps[1:])), "a long, b long").repartition(50)
+    sc.setJobGroup("small-components", "")
+    try:
+        assert {r.root for r in components.components(edges).collect()} == {0}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    track = sc.statusTracker()
+    stages = {s for j in track.getJobIdsForGroup("small-components") for s in track.getJobInfo(j).stageIds}
+    assert sum(info.numTasks for s in stages if (info := track.getStageInfo(s))) < 600
+
+
 def near_rows(rows, words=5, least=0.8):
     """Groups (two rows at least) of the places of rows that are near copies, by comparing all pairs."""
     sets = {}
