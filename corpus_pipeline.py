@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termsieve.llm import exact, packing, registry, rules, simhash, suffix
-from termsieve.llm.base import clear, fresh_path, made, table
+from termsieve.llm.base import clear, fresh_path, made, swept, table
 
 #: A passage that repeats is removed if it has more words than this. It is searched for as a string of PASSAGE
 #: bytes, which 51 words have at least: a letter each, and what stands between them.
@@ -56,7 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, mark = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         path = fresh_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        with swept(spark):
+            out.write.parquet(path)
         docs = spark.read.parquet(path)
         clear(spark, mark, keep=path)
     return docs

@@ -23,6 +23,7 @@ ignored; an empty table gives an empty result. Those of `near_groups` are stated
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import IdFilter, Scratch, bounded, fresh_path, materialise, spare, text_rows
+from .base import IdFilter, Scratch, bounded, fresh_path, materialise, spare, swept, text_rows
 from .components import components
 from .kept import others_go
 from .nptext import Chunk, buffers, chunks, mix
@@ -139,6 +140,8 @@ SAMPLE, COMMON, MOST_COMMON = 16, 3, 1 << 14
 SMALL = 64
 #: Parts that a common shingle's rows are dealt to.
 SALTS = 1 << 12
+#: Bytes of shingle sets that are brought to pairs at once, about: the PORTION-th part of the texts' bytes, but so many at least.
+SETS_BYTES, PORTION = 1 << 29, 4
 
 
 def _pack_rows(columns, kinds, names):
@@ -172,7 +175,9 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
                     yield pa.RecordBatch.from_arrays([pa.array(h[i : i + BLOCK].view(np.int64))], ["key"])
 
     some = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "key long")
-    top = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    top = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON)
+    with swept(rows.sparkSession):
+        top = top.collect()
     hashes = np.array([r.key for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], np.array([r.n for r in top], dtype=np.int64)[order]
@@ -310,13 +315,30 @@ def _fits(similarity: float):
     return (F.least(m, n) + 1e-9 >= similarity * F.greatest(m, n)) & (rest * (1 + similarity) + 1e-9 >= similarity * (m + n))
 
 
+def portions(rows: DataFrame, size: int) -> int:
+    """In how many parts so many bytes of sets are brought to their pairs. Pairs and rows of shared shingles grow faster than
+    the texts, so what they take on disk at once is held to a share of the texts."""
+    if size <= SETS_BYTES:
+        return 1
+    texts = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return -(-size // max(SETS_BYTES, texts // PORTION))
+
+
+def dealt(some: DataFrame, by: list[str], parts: int) -> list[DataFrame]:
+    """The rows in so many tables, rows of equal values in one."""
+    return [some.where(F.pmod(F.xxhash64(*by), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [some]
+
+
 def alike_pairs(rows: DataFrame, pairs: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Those of the written pairs (a, b) whose similarity reaches the value."""
     sets = scratch.keep(shingle_sets(rows, words, IdFilter(_ends(pairs))), "sets")
     sa, sb = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    links = scratch.keep(pairs.join(sa, "a").join(sb, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"), "links")
+    mean = sets.agg(F.avg(F.size("shingles"))).first()[0] or 0
+    links = []
+    for some in dealt(pairs, ["a", "b"], portions(rows, int(4 * mean * pairs.count()))):
+        links.append(scratch.keep(some.join(sa, "a").join(sb, "b").where(_alike(F.col("sa"), F.col("sb"), similarity)).select("a", "b"), "links"))
     scratch.drop("sets")
-    return links
+    return reduce(DataFrame.unionByName, links)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -377,7 +399,8 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     shingle's most frequent component are compared with all others (once, at the first large
     shingle that they share, and inside the join, so only links become rows): pairs inside one component add
     nothing, so no link between groups is lost, and a family of n near copies that belong together
-    costs about n comparisons, not n * n.
+    costs about n comparisons, not n * n. Sets are brought to pairs and to the rows of large shingles part by part
+    (portions), so that disk is bounded by the texts; the rows of one shingle stay in one part.
     """
     scratch = Scratch(rows.sparkSession)
     found = alike_pairs(rows, print_pairs(rows, words, scratch), words, similarity, scratch)
@@ -405,21 +428,26 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, small:
     many = many.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     often = many.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
     many = scratch.keep(many.join(often.where("roots > 1").drop("roots"), "key"), "apart")
-    if many.isEmpty():
+    size = many.agg(F.sum("size")).first()[0]
+    if size is None:
         scratch.drop()
         return comp
     sets = scratch.keep(shingle_sets(rows, words, IdFilter(many.select("id").distinct())), "sets")
     keys = many.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("at", "key")))["key"].alias("keys"))
-    side = scratch.keep(many.join(sets.join(keys, "id"), "id").withColumn("out", F.col("root") != F.col("main")), "side")
-    x, y = side.alias("x"), side.alias("y")
     c = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
     (kx, ky), (rx, ry) = c("key"), c("root")
     outside = F.col("x.out") & (~F.col("y.out") | (F.col("x.id") < F.col("y.id")))
     first_met = F.element_at(F.array_intersect(*c("keys")), 1) == kx
-    # The whole test is the join's condition: pairs that fail it are never rows.
-    more = x.join(y, (kx == ky) & outside & (rx != ry) & _fits(similarity) & first_met & _alike(*c("shingles"), similarity))
-    more = scratch.keep(more.select(F.least(*c("id")).alias("a"), F.greatest(*c("id")).alias("b")).distinct(), "more")
-    comp = components(links.unionByName(more))
+    more = []
+    # A row takes 4 bytes a shingle, and 8 for each of its keys, which are a fifth of the shingles at most.
+    for some in dealt(many, ["key"], portions(rows, 6 * size)):
+        side = scratch.keep(some.join(sets.join(keys, "id"), "id").withColumn("out", F.col("root") != F.col("main")), "side")
+        x, y = side.alias("x"), side.alias("y")
+        # The whole test is the join's condition: pairs that fail it are never rows.
+        met = x.join(y, (kx == ky) & outside & (rx != ry) & _fits(similarity) & first_met & _alike(*c("shingles"), similarity))
+        more.append(scratch.keep(met.select(F.least(*c("id")).alias("a"), F.greatest(*c("id")).alias("b")).distinct(), "more"))
+        scratch.drop("side")
+    comp = components(reduce(DataFrame.unionByName, more, links))
     scratch.drop()
     return comp
 

@@ -344,3 +344,38 @@ def test_near_copies_are_found_by_their_fingerprints_first(spark, monkeypatch):
     assert kept["links"][0] == found
     root = {x.node: x.root for x in components.components(spark.createDataFrame(sorted(found), "a long, b long")).collect()}
     assert kept["near"][0] and all(root.get(a, a) != root.get(b, b) for a, b in kept["near"][0])
+
+
+def test_near_groups_bring_few_sets_to_pairs_at_once(spark, monkeypatch):
+    """However many rows the large shingles have, and pairs the small ones: tables of sets and pairs are written in parts."""
+    r, rows = random.Random(5), []
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n)]
+    common = [text(30) for _ in range(6)]
+    for k in range(60):  # members of several large shingles that are hardly ever alike
+        rows.append((k, " ".join(sum((c for c in r.sample(common, 3)), []) + text(40))))
+    rows += [(100 + k, rows[k][1] + " " + " ".join(text(6))) for k in range(0, 60, 3)]
+    sides, links, keep = [], [], Scratch.keep
+
+    def spied(self, df, what):
+        out = keep(self, df, what)
+        if what == "side":
+            sides.append((out.select(F.sum(F.size("shingles"))).first()[0] or 0, {x.key for x in out.select("key").distinct().collect()}))
+        elif what == "links":
+            links.append(out)
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", spied)
+    monkeypatch.setattr(simhash, "SETS_BYTES", 1 << 18, raising=False)
+    want = jaccard_groups(rows)
+    assert near(spark, rows, small=3) == want and len(want) >= 40
+    whole = sum(n for n, _ in sides)
+    assert 2 < len(sides) < 9 and max(n for n, _ in sides) < whole / 2
+    assert sum(len(some) for _, some in sides) == len(set().union(*(some for _, some in sides)))
+
+    links.clear()
+    monkeypatch.setattr(simhash, "SETS_BYTES", 1 << 13, raising=False)
+    monkeypatch.setattr(simhash, "PORTION", 1 << 20, raising=False)
+    pairs = spark.createDataFrame([(k, 100 + k + n) for k in range(0, 60, 3) for n in (0, 3)], "a long, b long")
+    texts = spark.createDataFrame(rows, "id long, text string")
+    got = simhash.alike_pairs(texts, pairs, 5, 0.8, Scratch(spark)).collect()
+    assert len(links) > 1 and sorted(map(tuple, got)) == [(k, 100 + k) for k in range(0, 60, 3)]
