@@ -59,3 +59,11 @@ def test_page_with_a_cut_reference_equals_sql(spark, sf_dir, tmp_path):
     got = core.queries()["page_texts"](spark, d)
     assert compare.differences(got, compare.connection(d), core.oracle_sql()["page_texts"]) == ""
     assert {r.text for r in got.collect()} == {"x&&amp", "a &lt; b &lt c © d & e &am"}
+
+
+def test_page_of_very_many_blocks_equals_sql(spark, sf_dir, tmp_path):
+    html = "<html><head><title>x</title></head><body>" + "".join(f"<p>block {k}</p>" for k in range(20_010)) + "<p>the end</p></body></html>"
+    d = written(spark, tmp_path, sf_dir, "pages", [(1, "http://a.example/1", html)])
+    got = core.queries()["page_texts"](spark, d)
+    assert compare.differences(got, compare.connection(d), core.oracle_sql()["page_texts"]) == ""
+    assert got.count() == 20_011
